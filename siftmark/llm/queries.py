@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.llm.bpe import encode
+from siftmark.llm.credentials import find_credentials, redact_credentials
+from siftmark.llm.handwritten import judged_files
+from siftmark.llm.mixing import mixed
 from siftmark.llm.neighbours import most_similar, similar_pairs, usable_vectors
 from siftmark.llm.rankagg import aggregate_ranks, channel_scores
+from siftmark.llm.repetition import with_flag, with_share
 from siftmark.llm.split import oversized_pieces
 from siftmark.llm.topn import best_per_file
 from siftmark.runtime import table
@@ -34,11 +38,53 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return best_per_file(table(spark, sf, "candidates")).select("candidate_id")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_credentials(table(spark, sf, "blobs")).select("blob", "line").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact_credentials(table(spark, sf, "blobs"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return judged_files(table(spark, sf, "files"), table(spark, sf, "blobs")).where(~F.col("by_hand")).select("repo", "path")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids}
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixed(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return with_flag(table(spark, sf, "documents").select("doc_id", "text")).where("repetitive").select("doc_id")
+
+
+def p10_share(spark: SparkSession, sf: str) -> DataFrame:
+    return with_share(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_share": p10_share,
+}
 
 ORACLE = {
     "p1_found": r"""
