@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmark.functions.keys import clean_path, fingerprint
+from siftmark.runtime import ship
 
 CHUNK_ROWS = 64
 
@@ -109,6 +110,7 @@ def snapshot_changes(entries: DataFrame, pairs: list[tuple[int, int]], *, keys:
     One range shuffle by key puts all snapshots of a key range side by side, so chunks
     are compared where they are made; no window or group ever holds more than a chunk.
     """
+    ship(entries.sparkSession)
     wanted = sorted({s for p in pairs for s in p})
     left, right = fingerprint(*[F.col(k) for k in keys], F.col(value))
     rows = entries.where(F.col("snapshot").isin(wanted)).select(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,24 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "siftmark"
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that executors need no installation.
+
+    The driver serves one small archive; nothing is read from its disk by anyone else.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_siftmark_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    if home.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="siftmark-")) / "siftmark-package.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f"siftmark/{f.relative_to(home)}")
+        context.addPyFile(str(archive))
+    context._siftmark_shipped = True
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder all executors share. A session without the setting is a local one: it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
@@ -50,12 +70,14 @@ def cut(df: DataFrame) -> DataFrame:
     For results that several branches read: they are computed once, every branch
     sees the same rows, and a lost executor costs a re-read rather than a re-run.
     """
+    ship(df.sparkSession)
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table. ``timestamp_ntz`` columns become UTC timestamps, so that watermarks accept them."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df

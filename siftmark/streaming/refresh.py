@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.operators.snapshots import latest_entries
+from siftmark.runtime import ship
 
 
 def new_entries(stream: DataFrame) -> DataFrame:
@@ -62,6 +63,7 @@ def session_rounds(stream: DataFrame) -> DataFrame:
         state.update((sorted(seen), sorted(plans), idle))
         yield pd.DataFrame(out, columns=["ticket", "number", "new_evidence", "no_progress", "duplicate"])
 
+    ship(stream.sparkSession)
     return stream.groupBy("ticket").applyInPandasWithState(
         step, "ticket string, number int, new_evidence int, no_progress int, duplicate boolean", "seen array<string>, plans array<string>, idle int", "append", "NoTimeout"
     )
