@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.runtime import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,8 +173,9 @@ def count_tokens(df: DataFrame, text: str = "text", *, tokens: str = "tokens", v
 
 def _map(df: DataFrame, text: str, name: str, vocabulary: str, kind: str, use) -> DataFrame:
     spark = df.sparkSession
+    ship(spark)
     voc = spark.sparkContext.broadcast(Vocabulary.load(vocabulary))
-    keep = [c for c in df.columns if c not in (text, name)]
+    keep = [c for c in df.columns if c.lower() not in (text.lower(), name.lower())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(voc.value)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.operators.snapshots import latest_entries
-from siftmark.runtime import cut
+from siftmark.runtime import cut, ship
 
 #: Most labelled files of either class that the forest is fitted on.
 SAMPLE_PER_CLASS = 10_000
@@ -157,6 +157,7 @@ def blob_measures(blobs: DataFrame) -> DataFrame:
                 "features": [measures(t) for t in texts],
             })
 
+    ship(blobs.sparkSession)
     rows = blobs.where(F.col("blob").isNotNull() & F.col("content").isNotNull()).select(F.lower("blob").alias("blob"), "content")
     rows = rows.mapInPandas(run, "blob string, label int, body string, features array<double>")
     rows = rows.select("blob", "label", F.when(F.col("body") != "", F.md5("body")).alias("body_id"), "features")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmark.runtime import ship
+
 #: Words of a run.
 RUN_WORDS = 5
 #: Longest short piece, and how often it has to stand back to back.
@@ -268,7 +270,7 @@ def _by_size(texts: list[str]) -> Iterator[slice]:
 
 
 def _apply(df: DataFrame, text: str, name: str, kind: str, maker: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
-    keep = [c for c in df.columns if c not in (text, name)]
+    keep = [c for c in df.columns if c.lower() not in (text.lower(), name.lower())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use = maker()
@@ -279,6 +281,7 @@ def _apply(df: DataFrame, text: str, name: str, kind: str, maker: Callable[[], C
             out[name] = np.concatenate(values) if values else []
             yield out
 
+    ship(df.sparkSession)
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     return df.select(*keep, F.col(text).cast("string").alias(text)).mapInPandas(run, ", ".join([*fields, f"`{name}` {kind}"]))
 

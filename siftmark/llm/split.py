@@ -95,7 +95,7 @@ def split_text(df: DataFrame, text: str, *, max_chars: int = MAX_CHARS, max_line
         return _let(overlap(new, place["at"]), lambda over: F.struct((i + 1).alias("no"), (place["line"] - breaks(over) + 1).alias("first"), F.concat(over, new).alias("piece")))
 
     made = _let(body, lambda news: _let(places(news), lambda at: F.transform(news, lambda new, i: piece(new, F.get(at, i), i))))
-    keep = [c for c in df.columns if c not in (text, "piece_no", "pieces", "first_line", "last_line", "piece")]
+    keep = [c for c in df.columns if c.lower() not in (text.lower(), "piece_no", "pieces", "first_line", "last_line", "piece")]
     rows = df.where(F.col(text).isNotNull()).select(*keep, F.explode(_let(made, lambda m: F.transform(m, lambda p: F.struct(p.alias("p"), F.size(m).alias("n"))))).alias("__x"))
     last = F.col("__x.p.first") + F.greatest(line_count(F.col("__x.p.piece")), F.lit(1)) - 1
     return rows.select(*keep, F.col("__x.p.no").alias("piece_no"), F.col("__x.n").alias("pieces"), F.col("__x.p.first").alias("first_line"), last.alias("last_line"), F.col("__x.p.piece").alias("piece"))
