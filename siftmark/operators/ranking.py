@@ -126,12 +126,13 @@ def source_window(hits: DataFrame, sizes: DataFrame, window: int = WINDOW_LINES,
 def merge_intervals(evidence: DataFrame) -> DataFrame:
     """Overlapping or adjoining intervals of a file as one: greatest score, all channels, kinds in order of appearance.
 
-    An interval opens a new one if it starts more than a line beyond all before it.
+    An interval opens a new one if it starts more than a line beyond all before it;
+    intervals that are equal belong to the same one.
     """
     order = Window.partitionBy("repo", "path").orderBy("line_start", "line_end")
     reach = F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = evidence.withColumn("__opens", F.when(reach.isNull() | (F.col("line_start") > reach + 1), 1).otherwise(0))
-    rows = rows.withColumn("__island", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__island", F.sum("__opens").over(order))
     first = F.array_sort(F.collect_list(F.struct("line_start", "line_end", "kind")))
     kinds = F.array_distinct(F.transform(first, lambda x: x["kind"]))
     return rows.groupBy("repo", "path", "__island").agg(

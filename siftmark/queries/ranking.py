@@ -81,7 +81,7 @@ win AS (SELECT f.*, CASE WHEN n <= 50 THEN 1 ELSE greatest(1, line - 30) END::IN
 w AS (SELECT * FROM win WHERE line_start <= line_end)"""
 _ISLANDS = f"""{_WINDOWS},
 o AS (SELECT *, max(line_end) OVER (PARTITION BY repo, path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
-i AS (SELECT *, sum(CASE WHEN reach IS NULL OR line_start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, path ORDER BY line_start, line_end ROWS UNBOUNDED PRECEDING) AS island FROM o),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR line_start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, path ORDER BY line_start, line_end) AS island FROM o),
 m AS (SELECT repo, path, min(line_start) AS line_start, max(line_end) AS line_end, max(score) AS score, array_to_string(list_sort(list_distinct(flatten(list(found_by)))), ',') AS channels FROM i GROUP BY repo, path, island)"""
 _RANK = "ORDER BY score DESC, repo, path, line"
 

@@ -64,6 +64,8 @@ def test_intervals_merge_and_stitch(spark):
     e = spark.createDataFrame(rows, "repo string, path string, line_start int, line_end int, kind string, score double, found_by array<string>")
     merged = R.merge_intervals(e)
     assert {(r.line_start, r.line_end, r.score, tuple(r.found_by), r.kind) for r in merged.collect()} == {(1, 6, 9.0, ("a", "b"), "code, test"), (9, 9, 1.0, ("a",), "code")}
+    twice = R.merge_intervals(e.unionByName(e).unionByName(e))
+    assert {(r.line_start, r.line_end, r.score) for r in twice.collect()} == {(1, 6, 9.0), (9, 9, 1.0)} and twice.count() == 2
     lines = spark.createDataFrame([("r", "p", n, f"l{n}") for n in (1, 2, 4, 5, 6)], "repo string, path string, line int, text string")
     assert {r.line_start: r.content for r in R.stitch(merged, lines).collect()} == {1: "l1\nl2\n\nl4\nl5\nl6", 9: ""}
 
