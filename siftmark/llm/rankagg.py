@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmark.runtime import cut
+
 #: Distinct scores of one list that are ranked in one task; longer lists are cut into score ranges.
 RANGE_ROWS = 50_000
 
@@ -55,7 +57,7 @@ def normalised_ranks(scores: DataFrame, list_keys: list[str], item_keys: list[st
     shape = values.groupBy(*list_keys).agg(F.count("*").alias("__d"), F.percentile_approx("score", [i / 64 for i in range(1, 64)], 1000).alias("__cuts"))
     shape = shape.select(*list_keys, F.when(F.col("__d") > range_rows, F.array_distinct("__cuts")).otherwise(F.array().cast("array<double>")).alias("__cuts"))
     values = values.join(shape, list_keys)
-    values = values.withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("score")))).drop("__cuts")
+    values = cut(values.withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col("score")))).drop("__cuts"))
     above = Window.partitionBy(*list_keys).orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranges = values.groupBy(*list_keys, "__range").agg(F.sum("__n").alias("__m")).withColumn("__above", F.coalesce(F.sum("__m").over(above), F.lit(0))).drop("__m")
     inside = Window.partitionBy(*list_keys, "__range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,9 +94,9 @@ def aggregate_ranks(scores: DataFrame, request: str = "request_id", item: tuple[
     first rows of each request. Null items are items like others.
     """
     items = list(item)
-    best = scores.groupBy(request, *items, "channel").agg(F.max("score").alias("score"))
+    best = cut(scores.groupBy(request, *items, "channel").agg(F.max("score").alias("score")))
     places = normalised_ranks(best, [request, "channel"], items)
-    found = places.groupBy(request, *items).agg(F.collect_list("place").alias("places"))
+    found = cut(places.groupBy(request, *items).agg(F.collect_list("place").alias("places")))
     size = best.groupBy(request, "channel").agg(F.count("*").alias("__c")).groupBy(request).agg(F.count("*").cast("int").alias("channels"))
     count = found.groupBy(request).agg(F.count("*").alias("items"))
     rows = found.join(size.join(count, request), request)
