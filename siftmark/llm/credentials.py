@@ -73,7 +73,7 @@ XML_TAG = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>\s]{4,})\s*</\1
 XML_ATTRIBUTE = re.compile(r"""(?s)<\w[^<>]*?\b(?:name|key|id)\s*=\s*["']([\w.:-]+)["'][^<>]*?\bvalue\s*=\s*["']([^"'\s<>]{4,})["'][^<>]*?>""")
 QUOTED_PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]*)\1\s*,\s*(["'`])([^"'`\s]{4,})\3""")
 CALLED = re.compile(r"""\b(\w+)\(\s*(?:\[\]byte\()?(["'`])([^"'`\s]{4,})\2\s*\)""")
-ASSIGNED = re.compile(r"""([A-Za-z_@$][\w@$.-]*)["'`]?\]?\)?\s*(?::\s*[\w<>\[\], |?]+?\s=(?!=)|\|\|=|\?\?=|:=|=>|=(?![=>])|:(?!:))[ \t]*""")
+ASSIGNED = re.compile(r"""([A-Za-z_@$][\w@$.-]{0,200})["'`]?\]?\)?\s*(?::\s*[\w<>\[\], |?]+?\s=(?!=)|\|\|=|\?\?=|:=|=>|=(?![=>])|:(?!:))[ \t]*""")
 DEFAULTED = re.compile(r"\$\{([\w.-]+):([^\s{}\"']{4,})\}")
 VALUE = re.compile(r"""(?:\[\]byte\(|(?:[brufBRUF]{1,2})(?=["'`]))?("{3}|'{3}|["'`])((?:(?!\1)[^\\\r\n]|\\.)*)\1|([^\s,"'`(){}\[\]<>][^\s,"'`(){}\[\]<>]*)""")
 NAMED_ENTRY = re.compile(r"""(?m)^([ \t]*)-?[ \t]*["']?(?:name|key)["']?[ \t]*[:=][ \t]*["']?([\w.-]+)["']?[ \t]*,?\r?\n[ \t]*["']?(?:value|default)["']?[ \t]*[:=][ \t]*["']?([^\s"'#]{4,})""")
@@ -82,9 +82,12 @@ CONTINUED = re.compile(r"(?m)^[ \t]*[#!]?[ \t]*([\w.-]+)[ \t]*[=:][ \t]*\\\r?\n[
 FOLDED = re.compile(r"(?m)^([ \t]*)([\w.-]+):[ \t]*[|>][-+]?[ \t]*\r?\n[ \t]+([^\s:]{4,})[ \t]*$")
 JOINED = re.compile(r"""([A-Za-z_][\w.]*)\s*[:=]=?\s*\(?\s*(["'])([^"'\s\\]+)\2((?:\s*(?:\+|\.|\\)?\s*\r?\n?\s*(?:\+|\.)?\s*(["'])[^"'\s\\]+\5)+)""")
 STRING = re.compile(r"""(["'])([^"'\s\\]+)\1""")
-PROSE = re.compile(r"(?i)\b([a-z_]*(?:password|passwd|passphrase|pwd|secret|token|key|credential|kennwort|contrasena|motdepasse|pass|pw)[a-z_]*)\b(?:[ \t]+(?!is\b|=)[a-zA-Z]+){0,5}?(?:[ \t]+is|[ \t]*[:=])[ \t]+[`'\"]?([^\s`'\",]{6,})")
+PROSE = re.compile(r"(?i)\b(?=[a-z_]*(?:password|passwd|passphrase|pwd|secret|token|key|credential|kennwort|contrasena|motdepasse|pass|pw))([a-z_]++)\b(?:[ \t]+(?!is\b|=)[a-zA-Z]+){0,5}?(?:[ \t]+is|[ \t]*[:=])[ \t]+[`'\"]?([^\s`'\",]{6,})")
 NAMED_AFTER = re.compile(r"[`'\"]([^\s`'\"]{4,})[`'\"][ \t]*\(([A-Za-z_][\w ]*)\)")
 DOCKER_AUTH = re.compile(r"""["']auth["']\s*:\s*["']([A-Za-z0-9+/=]{8,})["']""")
+FIELD = re.compile(r"""["']?([A-Za-z_][\w.-]*)["']?\s*:\s*("[^"]*"|'[^']*'|[^\s,{}"']+)""")
+RECORD_BEFORE = re.compile(r"(\{[^{}]*\})\s*,\s*\Z")
+RECORD_AFTER = re.compile(r"\s*,\s*(\{[^{}]*\})")
 
 # What stands in a line that is read closer, in lower case.
 HINTS = (
@@ -195,6 +198,48 @@ def _joined(text: str, start: int, end: int, r: _Reader) -> None:
             r.add(parts[0][0], parts[-1][1], m[1], "joined")
 
 
+def _fields(record: str) -> list[tuple[str, str]]:
+    return [(m[1], m[2]) for m in FIELD.finditer(record)]
+
+
+def _is_row(text: str, key: str, start: int, end: int) -> bool:
+    """Whether a value under the mere word "token" is one of many alike in an array of records.
+
+    So it is if at least three of the nearest eight records beside its own differ from it by
+    the name of this one field only, each by another name that is none of a secret, and hold
+    a value of the same length there that mixes letters as much: "token" is a name like others.
+    """
+    first, last = text.rfind("{", 0, start), text.find("}", end)
+    if key.lower() != "token" or first < 0 or last < 0:
+        return False
+    beside, a, b = [], first, last + 1
+    for _ in range(4):
+        if a >= 0 and (m := RECORD_BEFORE.search(text, max(0, a - 2 * (last - first) - 200), a)):
+            beside.append(m[1])
+            a = m.start()
+        else:
+            a = -1
+        if b >= 0 and (m := RECORD_AFTER.match(text, b)):
+            beside.append(m[1])
+            b = m.end()
+        else:
+            b = -1
+    if len(beside) < 3:
+        return False
+    own = _fields(text[first : last + 1])
+    at = [i for i, (k, v) in enumerate(own) if k == key and v.strip("\"'`") == text[start:end]]
+    if not at:
+        return False
+    names, place, others = [k for k, _ in own], at[0], set()
+    for record in beside:
+        fields = _fields(record)
+        if len(fields) == len(own) and [k for k, _ in fields[:place]] == names[:place] and [k for k, _ in fields[place + 1 :]] == names[place + 1 :]:
+            name, value = fields[place]
+            if not names_secret(name) and len(value.strip("\"'`")) == end - start and is_mixed(value.strip("\"'`")):
+                others.add(name)
+    return len(others) >= 3
+
+
 def _line(line: str, base: int, r: _Reader, machine: bool) -> None:
     low = line.lower()
     for m in ISSUED.finditer(line):
@@ -251,25 +296,23 @@ def _line(line: str, base: int, r: _Reader, machine: bool) -> None:
         if not v:
             continue
         if v[1]:
-            # in a long row of data or minified code "token" is a name like others
-            if is_literal(v[2]) and not (len(line) > LONG_LINE and m[1].lower().endswith("token")):
+            if is_literal(v[2]) and not _is_row(r.text, m[1], base + v.start(2), base + v.end(2)):
                 r.hit(v, 2, m[1], "value", base)
         elif v[3]:
             value = v[3].rstrip(";")
             rest = line[v.start(3) + len(value) :].strip()
-            if len(line) <= LONG_LINE and is_literal(value, bare=True) and (not rest or rest[0] in "#,;}<\"'" or rest.startswith("//")):
+            if is_literal(value, bare=True) and (not rest or rest[0] in "#,;}<\"'" or rest.startswith("//")):
                 r.add(base + v.start(3), base + v.start(3) + len(value), m[1], "value")
     for m in NAMED_AFTER.finditer(line) if "(" in line else ():
         if names_secret(m[2].split()[-1]) and is_literal(m[1]) and is_mixed(m[1]):
             r.hit(m, 1, m[2], "prose", base)
-    for m in PROSE.finditer(line) if len(line) <= LONG_LINE else ():
+    for m in PROSE.finditer(line):
         value = m[2].rstrip(".;)")
-        if names_secret(m[1]) and is_literal(value, bare=True) and is_mixed(value):
-            r.add(base + m.start(2), base + m.start(2) + len(value), m[1], "prose")
+        start = base + m.start(2)
+        if names_secret(m[1]) and is_literal(value, bare=True) and is_mixed(value) and not _is_row(r.text, m[1], start, start + len(value)):
+            r.add(start, start + len(value), m[1], "prose")
 
 
-#: Characters from which a line is a row of data or minified code rather than a statement.
-LONG_LINE = 1000
 _hints = None
 
 
@@ -368,8 +411,9 @@ def redact(text: str, findings: list[Finding] | None = None) -> str:
 def find_credentials(blobs: DataFrame, key: str = "blob", content: str = "content") -> DataFrame:
     """(``key``, line, start_byte, end_byte, key_path, kind): the credentials of every text, found once per row.
 
-    Whole texts of any kind, whatever their path; a null or empty text has none. Repeated
-    rows of the input repeat their findings. No shuffle.
+    Whole texts of any kind, whatever their path and the length of their lines; a null or
+    empty text has none. A "token" that is one of many alike values in an array of records is
+    taken for data (``_is_row``). Repeated rows of the input repeat their findings. No shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -319,6 +319,33 @@ def test_credentials_offsets_after_other_letters():
     assert credentials.find("a:\n  b:\n    password: Tide2024.\n")[0].key == "a.b.password"
 
 
+def test_credentials_in_lines_of_any_length():
+    forms = [
+        ('{{"pad": "{pad}", "accessToken": "{v}", "n": 1}}', "tnshVw5pdjjoV6fURr"),
+        ('{{"pad": "{pad}", "token": "{v}"}}', "tnshVw5pdjjoV6fURr"),
+        ("docker run -e PAD={pad} -e DB_PASSWORD={v}", "Harbor-ledger-42"),
+        ("# {pad} the old token until the move: {v}", "219c3a764cb9359c55bcff1ca1f647f0"),
+    ]
+    for form, value in forms:
+        for size in (20, 900, 1100, 50_000):
+            text = form.format(pad="ab " * (size // 3) if form[0] != "d" else "x" * size, v=value)
+            got = [text[f.start : f.end] for f in credentials.find(text)]
+            assert got == [value], (form, size, got)
+
+
+def test_credentials_among_records():
+    rnd = random.Random(3)
+    value = lambda: "".join(rnd.choices("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=17)) + "7"
+    names = ["harbor", "berth", "cargo", "token", "ledger", "slot", "marker", "token", "crane", "depot"]
+    for between in (",", ",\n  "):
+        for n in (4, 10, 60):
+            records = [f'{{"id":{i},"{names[i % 10]}":"{value()}"}}' for i in range(n)]
+            assert credentials.find("rows = [" + between.join(records) + "]") == []
+            assert len(credentials.find("rows = [" + between.join(x.replace('"token"', '"accessToken"') for x in records) + "]")) == sum(names[i % 10] == "token" for i in range(n))
+        same = [f'{{"id":{i},"token":"{value()}"}}' for i in range(60)]
+        assert len(credentials.find("[" + between.join(same) + "]")) == 60
+
+
 def test_credentials_over_rows(spark):
     rows = [("a", "password=Tide2024!\n"), ("a", "password=Tide2024!\n"), ("n", None), ("e", ""), (None, "password=Tide2024!")]
     df = spark.createDataFrame(rows, "blob string, content string").withColumn("line", F.lit("mine"))
