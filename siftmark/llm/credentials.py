@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -59,6 +60,17 @@ ISSUED = re.compile(
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+# Of a key without END marker: line breaks, also escaped; lines of base64 in quotes or comments, those behind a prefix, what else stands before or between.
+KEY_BREAK = re.compile(r"(?:\\+[rn])+|\r?\n|\r")
+KEY_LINE = re.compile(r"""([^A-Za-z0-9+/=\r\n]*(?:(?://|[+/])[\s"'`]+)*)(={0,2}[A-Za-z0-9+/]+={0,2}(?:[ \t]+[A-Za-z0-9+/]{16,}={0,2})*(?<=[A-Za-z0-9+/=]{16})(?:[ \t]+[A-Za-z0-9+/]{1,15}={0,2})?|={0,2}[A-Za-z0-9+/]+={0,2})(?:[\s.…]*\\?\Z|(?=["'`<]))(?:["'`][\s"'`+.,;)\]\\]*\Z)?""")
+KEY_RUN = re.compile(r"[^A-Za-z0-9+/=]*((?:[A-Za-z0-9+/]{40,}={0,2}[ \t]+)+(?:[A-Za-z0-9+/]+={0,2}(?![^\s\"'`<]))?)")
+KEY_REST = re.compile(r"[ \t]*(={0,2}[A-Za-z0-9+/]+={0,2})[\s.…\"'`]*\Z")
+KEY_LOGGED = re.compile(r"""(?<![A-Za-z0-9+/])([A-Za-z0-9+/]{40,}={0,2})[\s.…"'`]*\Z""")
+KEY_BLANK = re.compile(r"[^A-Za-z0-9]*\Z")
+KEY_HEADER = re.compile(r"[^A-Za-z0-9]*[A-Za-z][A-Za-z0-9-]*: ")
+# What stays readable within a key: escaped line breaks, operators and comment signs between its lines; the rest is masked.
+KEY_SHOWN = re.compile(rb"""(\\[nr]|(?<![^\s"'`])(?:\+|//?)(?![^\s"'`]))|[A-Za-z0-9+/=]""")
+DIGIT = re.compile(r"\d")
 URL_USER = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`<>]{4,})@")
 PARAMETER = re.compile(r"(?i)(?:[?&;]|\b)((?:api[_-]?|access[_-]?|auth[_-]?|account|shared)?(?:key|token|secret|password|passwd|pwd|sig|signature))=([^\s&\"'`<>;,)]{6,})")
 HEADER = re.compile(r"(?i)\b(bearer|basic|token)\s+([A-Za-z0-9._~+/=-]{8,})")
@@ -162,15 +174,65 @@ class _Reader:
         self.add(base + m.start(group), base + m.end(group), key, kind)
 
 
+def _key_end(text: str, at: int, limit: int) -> int | None:
+    """Where the body of a private key without END marker ends, from ``at`` behind its BEGIN; None if there is no body.
+
+    The body is every line of base64 that follows, however many: after headers, indented, in
+    quotes or comments, behind the prefix of a log, with escaped line breaks or blanks between.
+    A short line counts directly after another. Where no line is one, a run of base64 in the
+    first 200 characters starts the body.
+    """
+
+    def lines(pos: int) -> Iterator[tuple[int, int]]:
+        while pos < limit:
+            b = KEY_BREAK.search(text, pos, limit)
+            yield pos, b.start() if b else limit
+            pos = b.end() if b else limit
+
+    def follow(pos: int, end: int | None) -> int | None:
+        lead, prefix, blank, step = None, None, 0, 0
+        for start, stop in lines(pos):
+            if KEY_BLANK.match(text, start, stop):
+                blank += end is not None and not text[start:stop].strip()
+                continue
+            alike = end is not None and blank in (0, step)
+            m = KEY_LINE.match(text, start, stop)
+            if m and (len(m[2]) >= 16 or alike and lead in (None, m[1])):
+                step, blank = blank if lead is not None else 0, 0
+                end, lead, prefix = m.end(2), m[1], None
+                if m.end() < stop:
+                    break
+            elif alike and prefix and DIGIT.sub("0", text[start : start + len(prefix)]) == prefix and (m := KEY_REST.match(text, start + len(prefix), stop)):
+                end, blank = m.end(1), 0
+            elif m := KEY_LOGGED.search(text, start, stop):
+                step, blank = blank if prefix is not None else 0, 0
+                end, lead, prefix = m.end(1), None, DIGIT.sub("0", text[start : m.start(1)])
+            elif m := KEY_RUN.match(text, start, stop):
+                return m.end(1)
+            elif end is not None or start > at and not KEY_HEADER.match(text, start, stop):
+                break
+        return end
+
+    end = follow(at, None)
+    if end is None and (m := PEM_BODY.search(text, at, min(limit, at + 200))):
+        end = max(follow(m.end(), m.end()), min(limit, at + 200))
+    return end
+
+
 def _whole(text: str, r: _Reader) -> None:
     """Forms that run over several lines."""
     if "PRIVATE KEY" in text:
-        for m in PEM.finditer(text):
-            end = PEM_END.search(text, m.end())
-            other = PEM.search(text, m.end())
-            stop = end.start() if end and not (other and other.start() < end.start()) else min(other.start() if other else len(text), m.end() + 200)
-            if PEM_BODY.search(text[m.end() : stop].replace("\\n", "\n")):
-                r.add(m.start(), end.end() if end and stop == end.start() else stop, "", "private key")
+        begins = list(PEM.finditer(text))
+        starts = [m.start() for m in begins]
+        ends = [m.span() for m in PEM_END.finditer(text)]
+        for n, m in enumerate(begins):
+            limit = starts[n + 1] if n + 1 < len(starts) else len(text)
+            i = bisect_left(ends, m.end(), key=lambda e: e[0])
+            if i < len(ends) and ends[i][0] < limit:
+                if PEM_BODY.search(text[m.end() : ends[i][0]].replace("\\n", "\n")):
+                    r.add(m.start(), ends[i][1], "", "private key")
+            elif (stop := _key_end(text, m.end(), limit)) is not None:
+                r.add(m.start(), stop, "", "private key")
     if "value" in text and "<" in text:
         for m in XML_ATTRIBUTE.finditer(text):
             if names_secret(m[1]) and is_literal(m[2]):
@@ -398,7 +460,7 @@ def redact(text: str, findings: list[Finding] | None = None) -> str:
         value = raw[f.start : f.end]
         pieces.append(raw[at : f.start])
         if value.startswith(b"-----BEGIN"):
-            value = re.sub(rb"(?s)(-----BEGIN [A-Z0-9 ]+-----)(.*?)(-----END [A-Z0-9 ]+-----|\Z)", lambda m: m[1] + re.sub(rb"\\[nr]|[A-Za-z0-9+/=]", lambda c: c[0] if c[0][:1] == b"\\" else b"*", m[2]) + m[3], value)
+            value = re.sub(rb"(?s)(-----BEGIN [A-Z0-9 ]+-----)(.*?)(-----END [A-Z0-9 ]+-----|\Z)", lambda m: m[1] + KEY_SHOWN.sub(lambda c: c[1] or b"*", m[2]) + m[3], value)
         elif f.kind == "joined":
             value = re.sub(rb"""(["']?)([^"'\s+]{2,})(?=["']|\Z)""", lambda m: m[1] + b"*" * len(m[2]), value)
         else:
