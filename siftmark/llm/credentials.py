@@ -92,7 +92,9 @@ NAMED_ENTRY = re.compile(r"""(?m)^([ \t]*)-?[ \t]*["']?(?:name|key)["']?[ \t]*[:
 DECLARED = re.compile(r"""(?m)\bvariable\s+"([\w.-]+)"\s*\{(?:\s*(?!default\b)\w+\s*=\s*[^\n{}]*\n)*\s*default\s*=\s*"([^"\s]{4,})\"""")
 CONTINUED = re.compile(r"(?m)^[ \t]*[#!]?[ \t]*([\w.-]+)[ \t]*[=:][ \t]*\\\r?\n[ \t]*(\S{4,})")
 FOLDED = re.compile(r"(?m)^([ \t]*)([\w.-]+):[ \t]*[|>][-+]?[ \t]*\r?\n[ \t]+([^\s:]{4,})[ \t]*$")
-JOINED = re.compile(r"""([A-Za-z_][\w.]*)\s*[:=]=?\s*\(?\s*(["'])([^"'\s\\]+)\2((?:\s*(?:\+|\.|\\)?\s*\r?\n?\s*(?:\+|\.)?\s*(["'])[^"'\s\\]+\5)+)""")
+JOINED = re.compile(r"""([A-Za-z_][\w.]*+)\s*[:=]=?\s*\(?\s*(["'])([^"'\s\\]+)\2((?:\s*(?:[+.\\]\s*)?(?:[+.]\s*)?(["'])[^"'\s\\]+\5)+)""")
+JOINED_KEY = re.compile(r"(?<![\w.])[^A-Za-z_\W]*+(?:\.[^A-Za-z_\W]*+)*+([A-Za-z_][\w.]*+)(?=\s*[:=])")
+OPERATOR = re.compile(r"\s*[:=]?")
 STRING = re.compile(r"""(["'])([^"'\s\\]+)\1""")
 PROSE = re.compile(r"(?i)\b(?=[a-z_]*(?:password|passwd|passphrase|pwd|secret|token|key|credential|kennwort|contrasena|motdepasse|pass|pw))([a-z_]++)\b(?:[ \t]+(?!is\b|=)[a-zA-Z]+){0,5}?(?:[ \t]+is|[ \t]*[:=])[ \t]+[`'\"]?([^\s`'\",]{6,})")
 NAMED_AFTER = re.compile(r"[`'\"]([^\s`'\"]{4,})[`'\"][ \t]*\(([A-Za-z_][\w ]*)\)")
@@ -128,7 +130,7 @@ def names_secret(key: str) -> bool:
 def is_literal(value: str, bare: bool = False, part: bool = False) -> bool:
     """Whether a value would grant access as it stands. ``bare``: written without quotes; ``part``: the first of joined strings."""
     v = value.strip()
-    if len(v) < (2 if part else 5) or len(v) > 5000 or any(c.isspace() for c in v):
+    if len(v) < (2 if part else 5) or any(c.isspace() for c in v):
         return False
     if PLACEHOLDER.search(v) or REFERENCE.search(v):
         return False
@@ -251,9 +253,12 @@ def _whole(text: str, r: _Reader) -> None:
 
 def _joined(text: str, start: int, end: int, r: _Reader) -> None:
     """A literal that is written as several strings, from the line ``start`` to ``end`` on."""
-    for m in JOINED.finditer(text, start, min(len(text), end + 4000)):
-        if m.start() > end:
-            return
+    at, reach = start, OPERATOR.match(text, end).end()
+    while (head := JOINED_KEY.search(text, at, reach)) and head.start(1) <= end:
+        m = JOINED.match(text, head.start(1))
+        at = m.end() if m else head.end()
+        if not m:
+            continue
         parts = [(m.start(3), m.end(3)), *[(m.start(4) + s.start(2), m.start(4) + s.end(2)) for s in STRING.finditer(m[4])]]
         joined = "".join(text[a:b] for a, b in parts)
         if (names_secret(m[1]) or ISSUED.fullmatch(joined)) and is_literal(joined):
@@ -462,7 +467,8 @@ def redact(text: str, findings: list[Finding] | None = None) -> str:
         if value.startswith(b"-----BEGIN"):
             value = re.sub(rb"(?s)(-----BEGIN [A-Z0-9 ]+-----)(.*?)(-----END [A-Z0-9 ]+-----|\Z)", lambda m: m[1] + KEY_SHOWN.sub(lambda c: c[1] or b"*", m[2]) + m[3], value)
         elif f.kind == "joined":
-            value = re.sub(rb"""(["']?)([^"'\s+]{2,})(?=["']|\Z)""", lambda m: m[1] + b"*" * len(m[2]), value)
+            inside = re.split(rb"""(["'])""", value)
+            value = b"".join(b"*" * len(x) if i % 4 == 0 else x for i, x in enumerate(inside))
         else:
             value = b"*" * len(value)
         pieces.append(value)

@@ -370,6 +370,22 @@ def test_private_keys_without_end_are_hidden_whole():
     assert credentials.find(f'if "{begin}" in text:\n    return load_the_private_key_of(text)\n') == []
 
 
+def test_long_credentials_are_found_whole():
+    rnd = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for size in (4_900, 5_100, 300_000):
+        value = "".join(rnd.choices(letters, k=size - 2)) + "=="
+        text = f'DEPLOY_KEY="{value}"\nname = "harbor"\n'
+        (f,) = credentials.find(text)
+        assert text[f.start : f.end] == value and credentials.redact(text) == text.replace(value, "*" * size)
+    parts = ["".join(rnd.choices(letters, k=70)) for _ in range(400)]
+    text = 'String deployKey = "' + '"\n    + "'.join(parts) + '";\nString name = "harbor" + "master";\n'
+    (f,) = credentials.find(text)
+    hidden = credentials.redact(text)
+    assert text[f.start : f.end].endswith(parts[-1]) and hidden == 'String deployKey = "' + '"\n    + "'.join(["*" * 70] * 400) + '";\nString name = "harbor" + "master";\n'
+    assert credentials.redact(hidden) == hidden
+
+
 def test_credentials_over_rows(spark):
     rows = [("a", "password=Tide2024!\n"), ("a", "password=Tide2024!\n"), ("n", None), ("e", ""), (None, "password=Tide2024!")]
     df = spark.createDataFrame(rows, "blob string, content string").withColumn("line", F.lit("mine"))
