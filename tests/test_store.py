@@ -1,5 +1,7 @@
 """The generation store, history, measures, plans, semantic parts and streams."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,21 @@ def test_streams(spark, tmp_path):
     query.awaitTermination()
     got = sorted(tuple(r) for r in spark.table("rounds").collect())
     assert got == [("T", 1, 1, 0, False), ("T", 2, 0, 1, False), ("T", 3, 0, 1, True), ("T", 4, 2, 0, False), ("U", 1, 0, 1, False)]
+
+
+def test_refresh_writes_returns_and_late_deliveries(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda n: datetime(2025, 1, n)
+
+    def run(rows):
+        spark.createDataFrame(rows, FILES).write.mode("append").parquet(source)
+        ST.refresh(spark.readStream.schema(FILES).parquet(source), out, str(tmp_path / "state")).awaitTermination()
+        return sorted((r.batch, r.snapshot, r.path, r.blob) for r in spark.read.parquet(out).collect())
+
+    rows = [(1, day(1), "r", "a", "A"), (2, day(2), "r", "a", "B"), (3, day(3), "r", "a", "A"), (1, day(1), "r", "b", "X"), (2, day(3), "r", "b", "Y"), (2, day(2), "r", "b", "X"), (3, day(3), "r", "b", None)]
+    first = [(0, 1, "a", "a"), (0, 1, "b", "x"), (0, 2, "a", "b"), (0, 2, "b", "y"), (0, 3, "a", "a")]
+    assert run(rows) == first
+    # unchanged, a late delivery that undoes a change, one of another path that is older than what counts
+    got = run([(4, day(4), "r", "a", "A"), (2, day(5), "r", "b", "X"), (1, day(1), "r", "a", "0")])
+    assert got == [*first, (1, 2, "b", "x")]
+    assert run([(4, day(6), "r", "a", "C")]) == [*got, (2, 4, "a", "c")]
