@@ -58,11 +58,11 @@ _DIGITS = b"0123456789"
 _SPACES = b" \t\r\n"
 
 
-def header_label(text: str) -> int | None:
+def header_notice(text: str) -> int | None:
     """1 for a notice of a tool or another project, 0 for a sign of a person's work here, None for neither.
 
     Only comments and annotations in the first lines count: code that merely speaks of
-    notices has none. Data stored as code carries no notices; it is told by its form.
+    notices has none.
     """
     sign = None
     for line in text.lstrip("﻿")[:20_000].split("\n")[:HEADER_LINES]:
@@ -77,15 +77,25 @@ def header_label(text: str) -> int | None:
             sign = 0
     if sign is None and re.match(r"\s*-----BEGIN ", text):
         return 0
+    return sign
+
+
+def header_label(text: str) -> int | None:
+    """The class that a file is learned as: by its header notice, else 1 for data stored as code, which carries none and is told by its form."""
+    sign = header_notice(text)
     return 1 if sign is None and is_data(text) else sign
 
 
+QUOTED_KEY = re.compile(r"""["']\s*:""")
 _STRINGS = re.compile(r"""\"(?:[^"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'""")
 
 
 def is_data(text: str) -> bool:
-    """Hardly a letter outside of quotes: tables and encoded data, which no tool marks with a notice."""
-    if len(text) < DATA_CHARS:
+    """Hardly a letter outside of quotes: tables and encoded data, which no tool marks with a notice.
+
+    A whole document of quoted keys and values is none: configuration has that form too.
+    """
+    if len(text) < DATA_CHARS or text.lstrip("\ufeff \t\r\n")[:1] in ("{", "[") and QUOTED_KEY.search(text):
         return False
     rest = _STRINGS.sub("", text).encode("utf-8", "surrogatepass")
     return len(rest.translate(None, _DIGITS + _SPACES + b"[](){}<>,;:+-*/=.|&_")) <= DATA_LETTERS * len(text)
@@ -141,7 +151,7 @@ def measures(text: str) -> list[float]:
 
 
 def blob_measures(blobs: DataFrame) -> DataFrame:
-    """(blob, label, body_id, features) of each stored blob, once: ids compare in lower case, repeated rows count once.
+    """(blob, notice, label, body_id, features) of each stored blob, once: ids compare in lower case, repeated rows count once.
 
     Rows with a null id or content are left out; of different contents under one id
     that with the least body id counts.
@@ -152,6 +162,7 @@ def blob_measures(blobs: DataFrame) -> DataFrame:
             texts = list(batch["content"])
             yield pd.DataFrame({
                 "blob": batch["blob"],
+                "notice": [header_notice(t) == 1 for t in texts],
                 "label": pd.array([header_label(t) for t in texts], dtype="Int32"),
                 "body": [re.sub(r"\s+", " ", body(t)).strip() for t in texts],
                 "features": [measures(t) for t in texts],
@@ -159,9 +170,9 @@ def blob_measures(blobs: DataFrame) -> DataFrame:
 
     ship(blobs.sparkSession)
     rows = blobs.where(F.col("blob").isNotNull() & F.col("content").isNotNull()).select(F.lower("blob").alias("blob"), "content")
-    rows = rows.mapInPandas(run, "blob string, label int, body string, features array<double>")
-    rows = rows.select("blob", "label", F.when(F.col("body") != "", F.md5("body")).alias("body_id"), "features")
-    return rows.groupBy("blob").agg(F.min(F.struct("body_id", "label", "features")).alias("x")).select("blob", "x.*")
+    rows = rows.mapInPandas(run, "blob string, notice boolean, label int, body string, features array<double>")
+    rows = rows.select("blob", "notice", "label", F.when(F.col("body") != "", F.md5("body")).alias("body_id"), "features")
+    return rows.groupBy("blob").agg(F.min(F.struct("body_id", "label", "features", "notice")).alias("x")).select("blob", "x.*")
 
 
 # How paths name other people's code, outputs, data and locks.
@@ -199,7 +210,7 @@ def judged_files(files: DataFrame, blobs: DataFrame, *, sample_per_class: int =
     rows = rows.join(copies, "body_id", "left")
     sensitive = F.col("path").rlike(PATH_FEATURES["path_hidden"])
     label = F.when(F.col("label").isNull() & sensitive, F.lit(0)).otherwise(F.col("label"))
-    rows = rows.select("repo", "path", "blob", label.alias("label"), F.coalesce("repos", F.lit(0.0)).alias("repos"), F.coalesce("features", F.array(*[F.lit(-1.0)] * len(CONTENT_FEATURES))).alias("content"), *path_features(F.col("path")))
+    rows = rows.select("repo", "path", "blob", label.alias("label"), F.coalesce("notice", F.lit(False)).alias("notice"), F.coalesce("repos", F.lit(0.0)).alias("repos"), F.coalesce("features", F.array(*[F.lit(-1.0)] * len(CONTENT_FEATURES))).alias("content"), *path_features(F.col("path")))
     rows = cut(rows)
     spread = F.xxhash64("repo", "path", "blob")
     pick = Window.partitionBy("label").orderBy(spread, "repo", "path", "blob")
@@ -213,7 +224,7 @@ def judged_files(files: DataFrame, blobs: DataFrame, *, sample_per_class: int =
         rated = model.transform(_assembled(rows)).withColumn("likelihood", F.get(vector_to_array("probability"), F.lit(1)))
     else:
         rated = rows.withColumn("likelihood", F.lit(1.0 if classes == {1} else 0.0))
-    each = rated.groupBy("repo", "path").agg(F.avg("likelihood").alias("likelihood"), F.coalesce(F.avg(F.when(F.col("label") == 1, 1.0).otherwise(0.0)) > 0.5, F.lit(False)).alias("notice"))
+    each = rated.groupBy("repo", "path").agg(F.avg("likelihood").alias("likelihood"), (F.avg(F.col("notice").cast("double")) > 0.5).alias("notice"))
     return each.withColumn("by_hand", ~F.col("notice") & (F.col("likelihood") < 0.5))
 
 

@@ -447,6 +447,16 @@ def test_nothing_to_learn_from(spark):
     assert handwritten.judged_files(files.limit(0), blobs.limit(0)).count() == 0
 
 
+def test_form_of_data_settles_no_file(spark):
+    config = "{\n" + ",\n".join(f'  "tide.outer.timeout{i}": {i}' for i in range(40)) + "\n}\n"
+    table = "var DATA = [" + ",".join(f"[{i},{i * i},0.5]" for i in range(200)) + "];\n"
+    assert handwritten.header_label(config) is None and handwritten.header_label(table) == 1 and handwritten.header_notice(table) is None
+    files = spark.createDataFrame([(1, T0, "r", "config/app.json", "a"), (1, T0, "r", "src/table.js", "b")], "snapshot int, delivered_at timestamp, repo string, path string, blob string")
+    blobs = spark.createDataFrame([("a", config), ("b", table)], "blob string, content string")
+    assert handwritten.judged_files(files.where("blob = 'a'"), blobs).select("by_hand", "notice").collect() == [(True, False)]
+    assert not handwritten.judged_files(files, blobs).where("notice").count()
+
+
 # --- tokens
 
 
