@@ -6,13 +6,14 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import is_config, is_test
 from siftmark.operators import lexical, ranking
 from siftmark.operators.corpus import blob_lines, corpus
 from siftmark.operators.measure import coverage
+from siftmark.operators.snapshots import latest_entries
 from siftmark.runtime import cut
 
 # What a symbol request may include.
@@ -159,6 +160,7 @@ class Engine:
 
     def __init__(self, files: DataFrame, blobs: DataFrame, snapshot: int = 4):
         self.files, self.blobs = corpus(files, blobs, snapshot), blobs
+        self.entries = latest_entries(files).where(F.col("snapshot") <= snapshot)
 
     def _scope(self, repos: list[str] | tuple[str, ...] | None) -> DataFrame:
         return self.files.where(F.col("repo").isin(list(repos))) if repos else self.files
@@ -182,8 +184,15 @@ class Engine:
                 else:
                     continue
                 parts.append((f"{kind}:{s['name']}", hits))
+        for f in request.files:
+            hits = self._scope([str(f["repo"])] if f.get("repo") else None).where(F.col("path") == f["path"])
+            first = int(f.get("line_start") or 1)
+            parts.append((self._file(f), hits.select("repo", "path", F.lit(first).alias("line"), F.lit("").alias("text"), F.lit("file").alias("kind"), F.lit(100.0).alias("score"), F.array(F.lit("file")).alias("found_by"))))
+        for h in request.history:
+            parts.append((f"history:{h['query']}", self._changed(h["query"], h.get("repos"))))
         if not parts:
-            raise ValueError("the request asks for nothing")
+            asked = ", ".join(f"{k}:{v}" for k, v in self._asked(request))
+            raise ValueError(f"nothing of the request can be run: {asked}" if asked else "the request asks for nothing")
         columns = ["repo", "path", "line", "text", "kind", "score", "found_by"]
         out = None
         for asked, hits in parts:
@@ -191,6 +200,28 @@ class Engine:
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    @staticmethod
+    def _file(f: dict) -> str:
+        return f"file:{f.get('repo')}:{f['path']}"
+
+    def _changed(self, query: str, repos: list[str] | None, limit: int = 20) -> DataFrame:
+        """Files of the snapshot that changed, from one snapshot to the next, how often the literal ``query`` occurs.
+
+        The ``limit`` newest changes by snapshot, repo and path, at the first line that holds the
+        literal now, else at line 1. Only the numbers of the contents that hold it are joined.
+        """
+        held = self.blobs.where(F.col("blob").isNotNull() & F.col("content").contains(query)).select(F.lower("blob").alias("blob"), F.regexp_count("content", F.lit(r"\Q" + query + r"\E")).alias("n"))
+        held = held.groupBy("blob").agg(F.max("n").alias("n"))
+        entries = self.entries.where(F.col("repo").isin(list(repos))) if repos else self.entries
+        before = F.lag("n").over(Window.partitionBy("repo", "path").orderBy("snapshot"))
+        rows = entries.where(F.col("blob").isNotNull()).join(held, "blob", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("was", before)
+        rows = rows.where(F.col("was").isNotNull() & (F.col("n") != F.col("was"))).groupBy("repo", "path").agg(F.max("snapshot").alias("changed"))
+        few = rows.join(self.files, ["repo", "path"]).orderBy(F.col("changed").desc(), "repo", "path").limit(limit)
+        lines = blob_lines(self.blobs.withColumn("blob", F.lower("blob")).join(F.broadcast(held.select("blob").join(few.select("blob").distinct(), "blob")), "blob", "left_semi"))
+        first = lines.where(F.col("text").contains(query)).groupBy("blob").agg(F.min(F.struct("line", "text")).alias("x"))
+        hits = few.join(first, "blob", "left")
+        return hits.select("repo", "path", F.coalesce("x.line", F.lit(1)).alias("line"), F.coalesce("x.text", F.lit("")).alias("text"), F.lit("history").alias("kind"), F.lit(50.0).alias("score"), F.array(F.lit("history")).alias("found_by"))
+
     def retrieve(self, request: Request, *, limit: int = 100, **quotas: int) -> dict[str, DataFrame]:
         """``selected`` and ``omitted`` regions, merged ``evidence`` with content, ``unresolved`` parts and ``coverage``."""
         hits = self.candidates(request, limit)
@@ -215,5 +246,8 @@ class Engine:
 
     @staticmethod
     def _asked(request: Request) -> list[tuple[str, str]]:
+        """Every part that the request names; those that no channel runs (callees, expand) stay unresolved."""
         out = [("search", q["query"]) for q in request.searches] + [("path", p["query"]) for p in request.paths]
-        return out + [(k, s["name"]) for s in request.symbols for k in s.get("include") or ["definition"] if k != "callees"]
+        out += [(k, s["name"]) for s in request.symbols for k in s.get("include") or ["definition"]]
+        out += [("file", f"{f.get('repo')}:{f['path']}") for f in request.files] + [("history", h["query"]) for h in request.history]
+        return out + [("expand", c) for c in request.expand]

@@ -138,3 +138,17 @@ def test_refresh_writes_returns_and_late_deliveries(spark, tmp_path):
     got = run([(4, day(4), "r", "a", "A"), (2, day(5), "r", "b", "X"), (1, day(1), "r", "a", "0")])
     assert got == [*first, (1, 2, "b", "x")]
     assert run([(4, day(6), "r", "a", "C")]) == [*got, (2, 4, "a", "c")]
+
+
+def test_engine_runs_files_and_history_and_reports_the_rest(spark):
+    at = datetime(2025, 1, 1)
+    files = spark.createDataFrame([(3, at, "r", "a.py", "a"), (4, at, "r", "a.py", "b"), (3, at, "r", "c.py", "c"), (4, at, "r", "c.py", "c"), (4, at, "r", "d.py", "d")], FILES)
+    blobs = spark.createDataFrame([("a", "x = 1\n"), ("b", "x = 1\n# OPS-203\n"), ("c", "# OPS-203\n"), ("d", "y = 2\n")], "blob string, content string")
+    engine = P.Engine(files, blobs)
+    text = "history:\n  - query: OPS-203\n  - query: OPS-999\nfiles:\n  - path: d.py\n    repo: r\nsymbols:\n  - name: main\n    include: [callees]\nexpand: [C1]\n"
+    request = P.parse_request(text)
+    hits = {(r.asked, r.path, r.line) for r in engine.candidates(request).collect()}
+    assert hits == {("history:OPS-203", "a.py", 2), ("file:r:d.py", "d.py", 1)}
+    got = engine.retrieve(request)
+    assert {r.path for r in got["evidence"].collect()} == {"a.py", "d.py"}
+    assert sorted(r.asked for r in got["unresolved"].collect()) == ["callees:main", "expand:C1", "history:OPS-999"]
