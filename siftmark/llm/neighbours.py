@@ -274,8 +274,9 @@ def _neighbours(routed: DataFrame, groups: list[str], router, k: int, relax: flo
     local = cut(routed.groupBy(*shard).applyInPandas(own, result))
 
     reach = local.groupBy(*groups, "v1", "v2").agg(F.min("similarity").alias("s"), F.count("*").alias("n"))
-    radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))).otherwise(2.0).cast("float")
-    waiting = routed.join(reach, [*groups, "v1", "v2"], "left").withColumn("reached", F.coalesce(radius, F.lit(2.0).cast("float"))).select(*groups, "v1", "v2", "vector", "leaf", "part", "parts", "reached")
+    # a list that is not full bounds nothing, relaxed or not
+    radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))).otherwise(float("inf")).cast("float")
+    waiting = routed.join(reach, [*groups, "v1", "v2"], "left").withColumn("reached", F.coalesce(radius, F.lit(float("inf")).cast("float"))).select(*groups, "v1", "v2", "vector", "leaf", "part", "parts", "reached")
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

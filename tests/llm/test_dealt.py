@@ -266,6 +266,13 @@ def test_top_n_group_of_nulls(spark):
     assert {(r.g, r.v, r["rank"]) for r in got.collect()} == {(None, 9, 1), (None, 8, 2), ("g", 1, 1)}
 
 
+def test_neighbours_of_small_shards_fill_their_lists(spark):
+    rows = [(f"a{a}", "p", 2, [math.cos(math.radians(a)), math.sin(math.radians(a))]) for a in (0, 80, -80, 100, -100, 180)]
+    df = spark.createDataFrame(rows, "key string, pack_id string, dimension int, vector array<double>")
+    got = neighbours.most_similar(df, 5, shard_rows=3).groupBy("key").count().collect()
+    assert len(got) == 6 and all(r["count"] == 5 for r in got)
+
+
 # --- credentials
 
 SECRETS = [
