@@ -17,6 +17,8 @@ from siftmark.runtime import cut
 
 #: Ranges of the keys that running totals are taken in, so that no source is one task.
 RANGES = 1024
+#: Most wanted sources that are compared as a list; more of them are joined.
+NAMES = 10_000
 
 
 def letter_share(text: Column) -> Column:
@@ -55,24 +57,38 @@ def targets(mix: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.max("x").alias("x")).select("source", "x.*")
 
 
-def budgets(sized: DataFrame, wanted: DataFrame, total: int | None = None) -> DataFrame:
+def budgets(sized: DataFrame, wanted: DataFrame, total: int | None = None, *, exact: bool = False) -> DataFrame:
     """One row for each wanted source: available tokens, target share, budget, complete epochs and the rest to draw.
 
     Shares are those of the weights among the sources that have documents; a source
     without any has share 0 and stays in the report. ``total`` is the size of the
-    collection in tokens; without it, the greatest at which no source needs more than
-    its cap of repeats, so that every target can be met. With a larger one the capped
-    sources fall short.
+    collection in tokens, by default all tokens of the wanted sources. A source that
+    cannot give its share even at its cap of repeats gives all its repeats; what is
+    missing is shared among the other sources by their weights, so the total is missed
+    only where every source is at its cap. ``exact`` asks for unshifted targets instead:
+    the greatest size, up to ``total``, at which no source is over its cap, however
+    little a scarce source leaves of the others.
     """
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     rows = wanted.join(have, "source", "left").withColumns({"available": F.coalesce("available", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
     everything = Window.partitionBy()  # as many rows as there are sources in the target table
     usable = F.when(F.col("available") > 0, F.col("weight"))
-    rows = rows.withColumn("target_share", F.coalesce(usable / F.sum(usable).over(everything), F.lit(0.0)))
-    most = F.min(F.when(F.col("target_share") > 0, F.col("available") * F.col("max_repeats") / F.col("target_share"))).over(everything)
-    size = F.lit(float(total)) if total is not None else F.coalesce(most, F.lit(0.0))
-    quota = F.least(F.col("target_share") * size, (F.col("available") * F.col("max_repeats")).cast("double"))
-    rows = rows.withColumn("budget", F.floor(quota + 1e-6).cast("bigint"))
+    cap = (F.col("available") * F.col("max_repeats")).cast("double")
+    rows = rows.withColumns({"target_share": F.coalesce(usable / F.sum(usable).over(everything), F.lit(0.0)), "__cap": cap})
+    size = F.lit(float(total)) if total is not None else F.sum("available").over(everything).cast("double")
+    # tokens for each unit of share at which a source reaches its cap; sources reach it in this order
+    rows = rows.withColumns({"__full": F.when(F.col("target_share") > 0, F.col("__cap") / F.col("target_share")), "__size": size})
+    if exact:
+        level = F.least(F.min("__full").over(everything), F.col("__size"))
+    else:
+        order = Window.partitionBy().orderBy(F.col("__full").asc_nulls_last(), "source")
+        capped = F.coalesce(F.sum(F.when(F.col("target_share") > 0, F.col("__cap"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        left = F.sum("target_share").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        rows = rows.withColumn("__level", F.when(F.col("target_share") > 0, (F.col("__size") - capped) / left))
+        level = F.min(F.when(F.col("__full") > F.col("__level"), F.struct("__full", "source", "__level"))).over(everything)["__level"]
+    quota = F.least(F.col("target_share") * F.coalesce(level, F.lit(float("inf"))), F.col("__cap"))
+    quota = F.when(F.col("target_share") > 0, quota).otherwise(0.0)
+    rows = rows.withColumn("budget", F.floor(quota + 1e-6).cast("bigint")).drop("__cap", "__full", "__size", "__level")
     epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")
     return rows.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
 
@@ -96,10 +112,20 @@ def mix_sources(sized: DataFrame, plan: DataFrame, *, ranges: int = RANGES) -> D
     return rows.withColumn("repeats", F.col("epochs") + more).where(F.col("repeats") > 0).select("doc_id", "source", "tokens", "repeats")
 
 
-def mixed(documents: DataFrame, mix: DataFrame, *, total: int | None = None, weight: Column | None = None, seed: int = 17, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(collection, report): ``mix_sources`` and, for every wanted source, what was asked for and what was reached."""
-    sized = cut(sized_documents(documents, weight=weight, seed=seed, vocabulary=vocabulary))
-    plan = cut(budgets(sized, targets(mix), total))
+def mixed(documents: DataFrame, mix: DataFrame, *, total: int | None = None, exact: bool = False, weight: Column | None = None, seed: int = 17, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(collection, report): ``mix_sources`` and, for every wanted source, what was asked for and what was reached.
+
+    Documents of sources that are not wanted are left out before they are tokenized.
+    """
+    wanted = cut(targets(mix))
+    names = [r.source for r in wanted.select("source").limit(NAMES + 1).collect()]
+    source = _name(F.col("source"))
+    if len(names) <= NAMES:
+        rows = documents.where(source.isin(names))
+    else:
+        rows = documents.join(wanted.select(F.col("source").alias("__wanted")), source == F.col("__wanted"), "left_semi")
+    sized = cut(sized_documents(rows, weight=weight, seed=seed, vocabulary=vocabulary))
+    plan = cut(budgets(sized, wanted, total, exact=exact))
     taken = mix_sources(sized, plan)
     got = taken.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached"), F.count("*").alias("used"), F.max("repeats").alias("most_repeats"))
     rows = plan.join(got, "source", "left")

@@ -512,7 +512,7 @@ def test_mix_reaches_targets_and_caps(spark):
     rows = [(i, "word " * rnd.randint(5, 60), rnd.choice(["big"] * 6 + [" Small ", "mid"])) for i in range(1500)]
     rows += [(9000, None, "big"), (9001, "", "big"), (9002, "x", None), (9003, "never wanted", "other")]
     mix = spark.createDataFrame([("big", 1.0, 1), ("small", 2.0, 3), ("mid", 1.0, 2), ("absent", 5.0, 2), ("other", None, 1), ("small", 1.0, 9), (None, 1.0, 1)], "source string, weight double, max_repeats int")
-    taken, report = mixing.mixed(spark.createDataFrame(rows, DOC), mix)
+    taken, report = mixing.mixed(spark.createDataFrame(rows, DOC), mix, exact=True)
     taken, report = taken.collect(), {r.source: r for r in report.collect()}
     assert set(report) == {"big", "small", "mid", "absent"} and report["absent"].reached == 0
     for s, share in (("big", 0.25), ("small", 0.5), ("mid", 0.25)):
@@ -522,7 +522,7 @@ def test_mix_reaches_targets_and_caps(spark):
         used = [r.repeats for r in taken if r.source == s]
         assert not used or max(used) - min(used) <= 1 and (min(used) == max(used) or len(used) == report[s].documents or max(used) == 1)
         assert sum(r.tokens * r.repeats for r in taken if r.source == s) == report[s].reached
-    again = mixing.mixed(spark.createDataFrame(rows, DOC), mix)[0].collect()
+    again = mixing.mixed(spark.createDataFrame(rows, DOC), mix, exact=True)[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, taken))
     more = {r.source: r for r in mixing.mixed(spark.createDataFrame(rows, DOC), mix, total=10**9)[1].collect()}
     assert all(more[s].reached == more[s].available * more[s].max_repeats for s in ("big", "small", "mid"))
@@ -530,6 +530,38 @@ def test_mix_reaches_targets_and_caps(spark):
     assert none.count() == 0 and empty.count() == 4
 
 
+def filled(total, sources):
+    """Budgets by raising the level until the next source is at its cap."""
+    free, left, out = dict(sources), total, {}
+    while free:
+        weight = sum(w for w, _ in free.values())
+        full = {s: c for s, (w, c) in free.items() if c <= w / weight * left + 1e-9}
+        if not full:
+            return out | {s: w / weight * left for s, (w, _) in free.items()}
+        out |= full
+        left -= sum(full.values())
+        free = {s: v for s, v in free.items() if s not in full}
+    return out
+
+
+def test_mix_size_is_not_that_of_the_scarcest(spark):
+    rnd = random.Random(4)
+    docs = {"a": 400, "b": 300, "c": 40, "d": 1}
+    rows = [(n, "word " * rnd.randint(5, 60), s) for n, s in enumerate(s for s, k in docs.items() for _ in range(k))]
+    want = {"a": (4.0, 1), "b": (1.0, 2), "c": (2.0, 3), "d": (3.0, 4), "none": (5.0, 2)}
+    mix = spark.createDataFrame([(s, w, r) for s, (w, r) in want.items()], "source string, weight double, max_repeats int")
+    df = spark.createDataFrame(rows, DOC)
+    for total in (None, 2_000, 30_000, 10**9):
+        report = {r.source: r for r in mixing.mixed(df, mix, total=total)[1].collect()}
+        size = total or sum(r.available for r in report.values())
+        expect = filled(size, {s: (w, float(report[s].available * r)) for s, (w, r) in want.items() if report[s].available})
+        for s, budget in expect.items():
+            assert abs(report[s].budget - budget) <= 1, (total, s)
+            assert abs(report[s].reached - budget) <= 62 and report[s].most_repeats <= want[s][1]
+        assert report["none"].budget == report["none"].reached == 0
+    assert report["d"].reached == 4 * report["d"].available
+
+
 def test_mix_draws_by_key_and_weight(spark):
     docs = spark.createDataFrame([(i, "tok " * 10, "a") for i in range(2000)], DOC).withColumn("w", F.when(F.col("doc_id") < 1000, 1.0).otherwise(0.25))
     sized = mixing.sized_documents(docs, weight=F.col("w"))
