@@ -9,6 +9,8 @@ hidden from the measures, so the forest has to judge the rest of the file.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -51,7 +53,7 @@ OWN = re.compile(r"(?i)internal use only|\bOWNERS\b|not generated, edit|hand-kep
 
 CONTENT_FEATURES = [
     "log_size", "compression", "entropy", "distinct_names", "name_length", "short_names", "long_names", "comment_density",
-    "line_length", "longest_line", "line_variety", "digits", "spaces", "marks", "has_content",
+    "line_length", "longest_line", "line_variety", "digits", "spaces", "marks", "letters_unquoted", "quoted", "has_content",
 ]
 _WORDS = bytes(c for c in range(256) if chr(c).isalnum() or c == 95 or c > 127)
 _DIGITS = b"0123456789"
@@ -65,7 +67,7 @@ def header_notice(text: str) -> int | None:
     notices has none.
     """
     sign = None
-    for line in text.lstrip("﻿")[:20_000].split("\n")[:HEADER_LINES]:
+    for line in text.lstrip("﻿").split("\n", HEADER_LINES)[:HEADER_LINES]:
         if BANNER.match(line) or ANNOTATED.match(line) or LOCKED.match(line):
             return 1
         if COMMENT.match(line):
@@ -97,8 +99,13 @@ def is_data(text: str) -> bool:
     """
     if len(text) < DATA_CHARS or text.lstrip("\ufeff \t\r\n")[:1] in ("{", "[") and QUOTED_KEY.search(text):
         return False
+    return unquoted_letters(text)[0] <= DATA_LETTERS * len(text)
+
+
+def unquoted_letters(text: str) -> tuple[int, int]:
+    """Bytes outside of quotes that are no digits, blanks or common signs, and all bytes outside of quotes."""
     rest = _STRINGS.sub("", text).encode("utf-8", "surrogatepass")
-    return len(rest.translate(None, _DIGITS + _SPACES + b"[](){}<>,;:+-*/=.|&_")) <= DATA_LETTERS * len(text)
+    return len(rest.translate(None, _DIGITS + _SPACES + b"[](){}<>,;:+-*/=.|&_")), len(rest)
 
 
 def body(text: str) -> str:
@@ -117,7 +124,11 @@ def body(text: str) -> str:
 
 def measures(text: str) -> list[float]:
     """The content features of a whole text without its header."""
-    raw = body(text).encode("utf-8", "surrogatepass")
+    return _measured(body(text))
+
+
+def _measured(text: str) -> list[float]:
+    raw = text.encode("utf-8", "surrogatepass")
     size = len(raw)
     if not size:
         return [0.0] * (len(CONTENT_FEATURES) - 1) + [1.0]
@@ -131,6 +142,7 @@ def measures(text: str) -> list[float]:
     digits = size - len(raw.translate(None, _DIGITS))
     spaces = size - len(raw.translate(None, _SPACES))
     words = size - len(raw.translate(None, _WORDS))
+    letters, unquoted = unquoted_letters(text)
     return [
         log2(1 + size),
         len(zlib.compress(raw, 1)) / size,
@@ -146,6 +158,8 @@ def measures(text: str) -> list[float]:
         digits / size,
         spaces / size,
         (size - words - spaces) / size,
+        letters / size,
+        1 - unquoted / size,
         1.0,
     ]
 
@@ -160,21 +174,27 @@ def blob_measures(blobs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = list(batch["content"])
+            bodies = [body(t) for t in texts]
             yield pd.DataFrame({
                 "blob": batch["blob"],
                 "notice": [header_notice(t) == 1 for t in texts],
                 "label": pd.array([header_label(t) for t in texts], dtype="Int32"),
-                "body": [re.sub(r"\s+", " ", body(t)).strip() for t in texts],
-                "features": [measures(t) for t in texts],
+                "body_id": [_body_id(b) for b in bodies],
+                "features": [_measured(b) for b in bodies],
             })
 
     ship(blobs.sparkSession)
     rows = blobs.where(F.col("blob").isNotNull() & F.col("content").isNotNull()).select(F.lower("blob").alias("blob"), "content")
-    rows = rows.mapInPandas(run, "blob string, notice boolean, label int, body string, features array<double>")
-    rows = rows.select("blob", "notice", "label", F.when(F.col("body") != "", F.md5("body")).alias("body_id"), "features")
+    rows = rows.mapInPandas(run, "blob string, notice boolean, label int, body_id string, features array<double>")
     return rows.groupBy("blob").agg(F.min(F.struct("body_id", "label", "features", "notice")).alias("x")).select("blob", "x.*")
 
 
+def _body_id(text: str) -> str | None:
+    """A digest of a body whatever its white space; None for a blank one."""
+    words = " ".join(text.split())
+    return hashlib.md5(words.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest() if words else None
+
+
 # How paths name other people's code, outputs, data and locks.
 PATH_FEATURES = {
     "path_vendor": r"(?i)(^|/)(vendor(ed)?|third[-_]?party|external|extern|node_modules|bower_components|deps|lib|libs|pods)/",
@@ -198,8 +218,11 @@ def judged_files(files: DataFrame, blobs: DataFrame, *, sample_per_class: int =
 
     The rows of the latest deliveries count. A file whose content changed has the mean
     likelihood of its contents. A file never read, or whose blobs are not stored, is
-    judged by its path alone. ``notice`` tells that a header notice of a tool or another
-    project settles it; else ``by_hand`` is a likelihood under one half. Where no file
+    judged by its path alone. The forest rates every file, those it learned from too, and
+    ``by_hand`` is a likelihood under one half; a check of the header follows, since the
+    measures don't see it: a file whose ``notice`` names a tool or another project keeps
+    that label where the forest takes the rest of it for hand-written code. It learns from
+    about ``sample_per_class`` files of either class. Where no file
     of either class has a notice there is nothing to learn from: without any notice all
     are taken as written by hand. Empty tables give an empty result.
     """
@@ -212,11 +235,9 @@ def judged_files(files: DataFrame, blobs: DataFrame, *, sample_per_class: int =
     label = F.when(F.col("label").isNull() & sensitive, F.lit(0)).otherwise(F.col("label"))
     rows = rows.select("repo", "path", "blob", label.alias("label"), F.coalesce("notice", F.lit(False)).alias("notice"), F.coalesce("repos", F.lit(0.0)).alias("repos"), F.coalesce("features", F.array(*[F.lit(-1.0)] * len(CONTENT_FEATURES))).alias("content"), *path_features(F.col("path")))
     rows = cut(rows)
-    spread = F.xxhash64("repo", "path", "blob")
-    pick = Window.partitionBy("label").orderBy(spread, "repo", "path", "blob")
-    known = rows.where(F.col("label").isNotNull()).withColumn("n", F.row_number().over(pick)).where(F.col("n") <= sample_per_class).drop("n")
+    known = _sampled(rows.where(F.col("label").isNotNull()), sample_per_class)
     blind = known.withColumn("content", F.array(*[F.lit(-1.0)] * len(CONTENT_FEATURES))).withColumn("repos", F.lit(0.0))
-    known = cut(known.unionByName(blind))
+    known = cut(_in_order(known.unionByName(blind)))
     classes = {r["label"] for r in known.select("label").distinct().collect()}
     if classes == {0, 1}:
         forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2)
@@ -228,6 +249,24 @@ def judged_files(files: DataFrame, blobs: DataFrame, *, sample_per_class: int =
     return each.withColumn("by_hand", ~F.col("notice") & (F.col("likelihood") < 0.5))
 
 
+def _spread() -> Column:
+    return F.xxhash64("repo", "path", "blob")
+
+
+def _sampled(labelled: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each class at most, those of the least hashes; a threshold on the hash, so nothing is sorted or moved."""
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    span = 1 << 40
+    part = {c: min(span, math.ceil(span * most / n)) for c, n in sizes.items()}
+    limit = F.coalesce(*[F.when(F.col("label") == c, F.lit(p)) for c, p in part.items()]) if part else F.lit(0)
+    return labelled.where(F.pmod(_spread(), F.lit(span)) < limit)
+
+
+def _in_order(sample: DataFrame, tasks: int = 8) -> DataFrame:
+    """The bounded sample in tasks and an order that depend on its rows alone, so that a seed gives the same forest anywhere."""
+    return sample.repartition(tasks, _spread()).sortWithinPartitions(_spread(), "repo", "path", "blob", "label", "repos", "content")
+
+
 def _assembled(rows: DataFrame) -> DataFrame:
     names = ["repos", *PATH_FEATURES]
     wide = rows.select("*", *[F.get("content", F.lit(i)).alias(f"c_{c}") for i, c in enumerate(CONTENT_FEATURES)])
