@@ -590,13 +590,15 @@ def brute(text, run=5):
             covered[spans[i][0] : end] = [True] * (end - spans[i][0])
         seen.add(g)
     low = "".join("0" if c.isdigit() and c.isascii() else c for c in (text.lower() if len(text.lower()) == len(text) else text))
-    for p in range(1, repetition.PIECE_CHARS + 1):
+    for p in range(1, len(low) // repetition.PIECE_TIMES + 1):
         i = p
         while i < len(low):
             j = i
             while j < len(low) and low[j] == low[j - p]:
                 j += 1
-            if j - i >= p * (repetition.PIECE_TIMES - 1):
+            # longer pieces that hold the start of a word count as runs of words
+            plain = p <= repetition.DIRECT_CHARS or re.fullmatch(r"[^\W\d_]+|[\W\d_]+", low[i - p : j])
+            if j - i >= p * (repetition.PIECE_TIMES - 1) and plain:
                 covered[i:j] = [True] * (j - i)
             i = max(j, i + 1)
     return sum(covered) / max(1, len(text))
@@ -614,6 +616,9 @@ def documents(seed, n=250):
             parts.insert(rnd.randint(0, len(parts)), rnd.choice([again, again.upper(), again.replace(" ", "  "), again.replace("12", "77")]))
         if rnd.random() < 0.2:
             parts.append(rnd.choice(["ok", "…—", "0x0,", "lol "]) * rnd.randint(3, 60))
+        if rnd.random() < 0.1:
+            long = "".join(rnd.choice(rnd.choice(["01-+", "-=", "qwzt", "ab"])) for _ in range(rnd.randint(33, 90)))
+            parts.append(long * rnd.randint(6, 12) + long[: rnd.randint(0, 30)])
         out.append(rnd.choice([" ", "\n"]).join(parts))
     return out
 
@@ -625,6 +630,17 @@ def test_share_is_that_of_plain_loops():
         assert abs(s - brute(t)) < 1e-9, (t, s, brute(t))
 
 
+@pytest.mark.parametrize("letters", ["0123456789", "-=", "ab", "qwertz"])
+def test_pieces_of_any_length(letters):
+    rnd = random.Random(letters)
+    line = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = [line(50) * 60, line(33) * 8, line(33) * 7, line(64) * 9 + line(20), line(20) + line(65) * 8, line(200) * 8, line(260) * 9, (line(40) + line(3) * 9) * 8, line(70) * 3 + line(71) * 8, line(1200)]
+    half = line(37)
+    texts += [(half + half + line(5)) * 9, (half * 3 + line(1)) * 8, "x, " + line(48) * 10 + " y"]
+    for t, s in zip(texts, repetition.repeated_share(texts)):
+        assert abs(s - brute(t)) < 1e-9, (t[:80], len(t), s, brute(t))
+
+
 def test_rules_are_bounds_and_order_changes_nothing():
     texts = documents(2)
     share = repetition.repeated_share(texts)
