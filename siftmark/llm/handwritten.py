@@ -53,7 +53,7 @@ OWN = re.compile(r"(?i)internal use only|\bOWNERS\b|not generated, edit|hand-kep
 
 CONTENT_FEATURES = [
     "log_size", "compression", "entropy", "distinct_names", "name_length", "short_names", "long_names", "comment_density",
-    "line_length", "longest_line", "line_variety", "digits", "spaces", "marks", "letters_unquoted", "quoted", "has_content",
+    "line_length", "longest_line", "line_variety", "digits", "spaces", "marks", "letters_unquoted", "has_content",
 ]
 _WORDS = bytes(c for c in range(256) if chr(c).isalnum() or c == 95 or c > 127)
 _DIGITS = b"0123456789"
@@ -99,13 +99,13 @@ def is_data(text: str) -> bool:
     """
     if len(text) < DATA_CHARS or text.lstrip("\ufeff \t\r\n")[:1] in ("{", "[") and QUOTED_KEY.search(text):
         return False
-    return unquoted_letters(text)[0] <= DATA_LETTERS * len(text)
+    return unquoted_letters(text) <= DATA_LETTERS * len(text)
 
 
-def unquoted_letters(text: str) -> tuple[int, int]:
-    """Bytes outside of quotes that are no digits, blanks or common signs, and all bytes outside of quotes."""
+def unquoted_letters(text: str) -> int:
+    """Bytes outside of quotes that are no digits, blanks or common signs."""
     rest = _STRINGS.sub("", text).encode("utf-8", "surrogatepass")
-    return len(rest.translate(None, _DIGITS + _SPACES + b"[](){}<>,;:+-*/=.|&_")), len(rest)
+    return len(rest.translate(None, _DIGITS + _SPACES + b"[](){}<>,;:+-*/=.|&_"))
 
 
 def body(text: str) -> str:
@@ -142,7 +142,7 @@ def _measured(text: str) -> list[float]:
     digits = size - len(raw.translate(None, _DIGITS))
     spaces = size - len(raw.translate(None, _SPACES))
     words = size - len(raw.translate(None, _WORDS))
-    letters, unquoted = unquoted_letters(text)
+    letters = unquoted_letters(text)
     return [
         log2(1 + size),
         len(zlib.compress(raw, 1)) / size,
@@ -159,7 +159,6 @@ def _measured(text: str) -> list[float]:
         spaces / size,
         (size - words - spaces) / size,
         letters / size,
-        1 - unquoted / size,
         1.0,
     ]
 
