@@ -1,10 +1,13 @@
 """Credentials in source code and configuration: found with key path and byte offsets, redacted in place.
 
-A text is read as a sequence of (key path, value) items, whatever its format: assignments
-and calls of code, properties with continued lines, YAML, JSON, XML, SQL, shell, docker
-and netrc files, URLs, headers, PEM blocks and prose. An item is a credential if its value
-has the shape of an issued token, or if the last part of its key names something secret
-and the value is a literal rather than a reference, a placeholder, a mask or a plain word.
+Configuration (JSON, YAML, XML, properties, env, INI, TOML, HCL) is parsed into key paths
+and values with offsets (``keypaths``). A value is a credential if the path names
+something secret - its last part, or the part above a neutral last one such as ``value``
+or a place in a list - and the shape of the value is that of a literal rather than a
+reference, a placeholder, a mask or a label. What no parser covers is read line by line:
+assignments and calls of code, SQL, shell, docker and netrc files, URLs, headers, PEM
+blocks, comments and prose; there too a value has a key and a shape, or the shape of an
+issued token.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from siftmark.llm import keypaths
 from siftmark.runtime import ship
 
 
@@ -41,6 +45,15 @@ SECRET_NAMES = (
 ).split()
 # Whole last words that name a secret.
 SECRET_WORDS = frozenset("pass pw pin".split())
+# Names of what people choose themselves, so that any word may be the value.
+CHOSEN = ("password", "passwd", "passphrase", "pwd", "passwort", "kennwort", "contrasena", "contraseña", "motdepasse")
+# Last parts of a key path that say nothing; the part above them counts.
+NEUTRAL = frozenset("value val default content plain plaintext plain_text literal string current data text raw".split())
+# Parts of a key path under which texts for people stand, and settings that are no secrets.
+SHOWN = frozenset("label labels message messages msg title hint hints help placeholder prompt tooltip error errors i18n description caption translation translations".split())
+SETTINGS = frozenset("required optional disabled enabled hidden prompt never always string varchar plain strong weak default manual masked inherit forbidden".split())
+# Beginnings of a sentence to a person.
+SPOKEN = re.compile(r"(?i)^(?:please|enter|type|your|the|a|an|must|should|is|no|not|use|see|set|invalid|wrong|bitte|saisi\w*|introdu\w*|geben)\b|[.:?!…]$")
 # Public shapes of issued tokens.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
@@ -143,6 +156,37 @@ def is_literal(value: str, bare: bool = False, part: bool = False) -> bool:
     return True
 
 
+def is_chosen(value: str, path: tuple[str, ...]) -> bool:
+    """Whether a value may be a password that somebody chose: a word, a number or several words, unless it is meant for a reader."""
+    v = value.strip()
+    low = v.lower()
+    if len(v) < 5 or not v.isprintable() or PLACEHOLDER.search(v) or REFERENCE.search(v) or low in SETTINGS:
+        return False
+    if any(w in low for w in ("pass", "secret", "token", "key", "kennwort", "contrase")) or SHOWN & {x.lower() for p in path for x in p.split(".")}:
+        return False
+    if " " not in v:
+        return bool(re.fullmatch(r"[\w!?%.+/=@#&*~^-]+", v)) and not re.search(r"^\w+(?:\.\w+)+$|\*{3}", v)
+    return len(v.split()) >= 3 and not SPOKEN.search(v)
+
+
+def is_secret(path: tuple[str, ...], value: str, quoted: bool) -> bool:
+    """Whether the value at a key path is a credential, by the names on the path and the shape of the value."""
+    keys = [k for k in path if k]
+    above = False
+    while len(keys) > 1 and (keys[-1].isdigit() or keys[-1].lower() in NEUTRAL):
+        keys.pop()
+        above = True
+    if not keys:
+        return False
+    last = keys[-1].rstrip("s") if above else keys[-1]
+    if not names_secret(last):
+        return False
+    chosen = re.sub(r"[^a-zà-ÿ]", "", last.lower()).endswith(CHOSEN)
+    if is_literal(value, bare=not quoted):
+        return not above or chosen or is_mixed(value)
+    return chosen and is_chosen(value, path)
+
+
 def is_random(value: str) -> bool:
     """A value that nobody would write as a word: long, with digits among letters."""
     return len(value) >= 7 and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value)) and not re.match(r"^[A-Z]+-\d+$|^v?\d+(\.\d+)+\w*$|^[\w.-]+\.(?:java|py|go|ts|js|md|example|test|invalid)$", value)
@@ -168,6 +212,11 @@ class _Reader:
     def __init__(self, text: str):
         self.text = text
         self.spans: list[tuple[int, int, str, str]] = []
+        self.paths: dict[int, str] = {}
+
+    def parsed(self, start: int, end: int, path: str) -> None:
+        self.paths[start] = path
+        self.add(start, end, path, "value")
 
     def add(self, start: int, end: int, key: str, kind: str) -> None:
         self.spans.append((start, end, key, kind))
@@ -176,6 +225,20 @@ class _Reader:
         self.add(base + m.start(group), base + m.end(group), key, kind)
 
 
+def _parsed(text: str, r: _Reader) -> None:
+    """The credentials among the key paths of a configuration text. An object with a name and a value is a key with that value."""
+    named: tuple[tuple[str, ...], str] | None = None
+    for item in keypaths.items(text):
+        path, value = item.path, text[item.start : item.end]
+        last = path[-1].lower() if path else ""
+        if last in keypaths.NAMING and len(value) <= 200:
+            named = (path[:-1], value)
+        elif named and named[0] == path[:-1] and last in keypaths.HOLDING:
+            path = (*path[:-1], named[1])
+        if is_secret(path, value, item.quoted) and not _is_row(text, path[-1], item.start, item.end):
+            r.parsed(item.start, item.end, ".".join(path))
+
+
 def _key_end(text: str, at: int, limit: int) -> int | None:
     """Where the body of a private key without END marker ends, from ``at`` behind its BEGIN; None if there is no body.
 
@@ -401,24 +464,27 @@ def _hinted(text: str) -> list[int]:
     return np.unique(np.searchsorted(breaks, np.array(at))).tolist()
 
 
-def _path(text: str, at: int, key: str) -> str:
-    """The key with the keys of the less indented lines above it, as in YAML and JSON."""
-    start = text.rfind("\n", 0, at) + 1
-    line = text[start : text.find("\n", start) if "\n" in text[start:] else len(text)]
-    depth = len(line) - len(line.lstrip())
-    parents: list[str] = []
-    while depth and start and len(parents) < 16:
-        end = start - 1
-        start = text.rfind("\n", 0, end) + 1
-        above = text[start:end]
-        m = re.match(r"""(\s*)(?:-\s*)?["']?([\w.-]+)["']?\s*:\s*(?:\{\s*)?(?:#.*)?\r?$""", above)
-        if above.strip() and len(above) - len(above.lstrip()) < depth:
-            depth = len(above) - len(above.lstrip())
-            if m:
-                parents.append(m[2])
-            elif not re.match(r"\s*[\[{(]?\s*\r?$", above):
-                break
-    return ".".join([*reversed(parents), key]) if key else ".".join(reversed(parents))
+def _above(lines: list[str], wanted: list[int]) -> dict[int, str]:
+    """For each wanted line the keys of the less indented lines above it, joined by dots, in one pass."""
+    out: dict[int, str] = {}
+    stack: list[tuple[int, str | None]] = []
+    todo = sorted(set(wanted), reverse=True)
+    opens = re.compile(r"""\s*(?:-\s*)?["']?([\w.-]+)["']?\s*:\s*(?:\{\s*)?(?:#.*)?\r?$""")
+    for number, line in enumerate(lines):
+        if not todo:
+            break
+        depth = len(line) - len(line.lstrip())
+        if line.strip():
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+        if number == todo[-1]:
+            keys = [k for _, k in stack]
+            cut = max((i for i, k in enumerate(keys) if k is None), default=-1)
+            out[todo.pop()] = ".".join(k for k in keys[cut + 1 :] if k)
+        if line.strip():
+            m = opens.match(line)
+            stack.append((depth, m[1] if m else "" if re.match(r"\s*[\[{(]?\s*\r?$", line) else None))
+    return out
 
 
 def find(text: str) -> list[Finding]:
@@ -427,6 +493,7 @@ def find(text: str) -> list[Finding]:
     if not rows:
         return []
     r = _Reader(text)
+    _parsed(text, r)
     _whole(text, r)
     lines = text.split("\n")
     starts = np.cumsum([0, *[len(line) + 1 for line in lines]])
@@ -448,9 +515,10 @@ def find(text: str) -> list[Finding]:
         number += text.count("\n", chars, start)
         size += len(text[chars:start].encode("utf-8", "surrogatepass"))
         length = len(text[start:end].encode("utf-8", "surrogatepass"))
-        out.append(Finding(number, size, size + length, _path(text, start, key), kind))
+        out.append((Finding(number, size, size + length, r.paths.get(start, key), kind), start in r.paths))
         chars = start
-    return out
+    above = _above(lines, [f.line - 1 for f, parsed in out if not parsed])
+    return [f if parsed else f._replace(key=".".join(k for k in (above[f.line - 1], f.key) if k)) for f, parsed in out]
 
 
 def redact(text: str, findings: list[Finding] | None = None) -> str:

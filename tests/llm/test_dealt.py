@@ -393,6 +393,48 @@ def test_long_credentials_are_found_whole():
     assert credentials.redact(hidden) == hidden
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ('{"password":{"value":"Zx81pqLm"},"other":{"value":"Zx81pqLm"}}', ["Zx81pqLm"]),
+        ('{"db": {"users": [{"name": "ada", "pwd": "hunter"}, {"name": "eve", "pwd": "12345678"}]}}', ["hunter", "12345678"]),
+        ('{"env": [{"name": "API_TOKEN", "value": "q8Zt1mvB9xK2"}, {"name": "MODE", "value": "q8Zt1mvB9xK2"}]}', ["q8Zt1mvB9xK2"]),
+        ('{"apiKeys": ["k3J9xQ2mLp0", "harbor"], "i18n": {"password": "harbor"}}', ["k3J9xQ2mLp0"]),
+        ("db:\n  password:\n    value: Zx81pqLm\n  user: ada\n", ["Zx81pqLm"]),
+        ("tide:\n  password: blue horse staple 42\n  # passwd: Gh77kkLq\n  label:\n    password: harbor lights are on\n", ["blue horse staple 42", "Gh77kkLq"]),
+        ("auth:\n  tokens:\n    - q8Zt1mvB9xK2\n    - ${VAULT}\n", ["q8Zt1mvB9xK2"]),
+        ("a: {secret: {default: Zx81pqLm}, size: 4}\nb: 1\n", ["Zx81pqLm"]),
+        ("passphrase: >-\n  Zx81pqLm\nname: x\n", ["Zx81pqLm"]),
+        ("<config>\n  <password>\n    <value>Zx81pqLm</value>\n  </password>\n  <!-- <secret>Gh77kkLq</secret> -->\n</config>\n", ["Zx81pqLm", "Gh77kkLq"]),
+        ('<map><entry key="password">hunter</entry><entry key="mode">hunter</entry></map>', ["hunter"]),
+        ("[db.password]\nvalue = \"Zx81pqLm\"\nsize = 4\n", ["Zx81pqLm"]),
+        ("export DB_PASSWORD='12345678'\nMODE=12345678\n", ["12345678"]),
+        ("db.password=\\\n   Zx81pqLm\ndb.mode=x\n", ["Zx81pqLm"]),
+        ('resource "db" "main" {\n  master {\n    password = "hunter"\n  }\n  name = "hunter"\n}\n', ["hunter"]),
+        ("password: required\nsecret: harbor-secret-name\ntoken_limit: 4096\npublicKey: Zx81pqLm99\n", []),
+    ],
+)
+def test_key_paths_decide(text, values):
+    found = credentials.find(text)
+    raw = text.encode()
+    assert [raw[f.start : f.end].decode() for f in found] == values
+    hidden = credentials.redact(text)
+    assert len(hidden) == len(text) and credentials.find(hidden) == [] and hidden.count("\n") == text.count("\n")
+
+
+def test_key_paths_have_offsets():
+    from siftmark.llm import keypaths
+
+    got = lambda t: [(".".join(i.path), t[i.start : i.end]) for i in keypaths.items(t)]
+    assert got('{"a": {"b": [1, "x"], "c": {"d": "y"}}, "e": null}') == [("a.b.1", "x"), ("a.c.d", "y"), ("e", "null")]
+    assert got("a:\n  b: x\n  c:\n    - y\n    - d: 'z'\ne: 1 # no\n") == [("a.b", "x"), ("a.c.0", "y"), ("a.c.d", "z"), ("e", "1")]
+    assert got("<a>\r\n <b c='1'>x</b>\r\n <d/> </a>") == [("a.b.c", "1"), ("a.b", "x")]
+    assert got("[s]\nk = 'v'\nlong.key: w\n") == [("s.k", "v"), ("s.long.key", "w")]
+    assert got("def f(x):\n    return x\n") == [] and got("") == [] and got("{") == []
+    deep = "{" + '"a": {' * 3000 + '"password": "Zx81pqLm"' + "}" * 3001
+    assert [f.line for f in credentials.find(deep)] == [1]
+
+
 def test_credentials_over_rows(spark):
     rows = [("a", "password=Tide2024!\n"), ("a", "password=Tide2024!\n"), ("n", None), ("e", ""), (None, "password=Tide2024!")]
     df = spark.createDataFrame(rows, "blob string, content string").withColumn("line", F.lit("mine"))
