@@ -16,6 +16,8 @@ LANGUAGES = {
     "sh": "Shell", "yaml": "YAML", "yml": "YAML", "json": "JSON", "xml": "XML", "md": "Markdown", "properties": "Properties", "tf": "Terraform", "css": "CSS",
 }
 TICKET = r"[A-Z][A-Z0-9]+-[0-9]+"
+# Marks around matches: the first two characters of the private use area.
+_OPEN, _CLOSE = "\ue000", "\ue001"
 # What marks a path as a test, and the suffixes of configuration.
 TEST_PATH = r"(?i)(^|/)(test|tests|src/test)/|(?:Test|Tests|IT|Spec)\."
 CONFIG_SUFFIXES = ("conf", "gradle", "json", "properties", "toml", "xml", "yaml", "yml")
@@ -28,8 +30,8 @@ def unified(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """The lines of a text; the nothing after a last line end is no line, an empty text has none."""
-    parts = F.split(unified(text), "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    body = F.regexp_replace(text, r"(?:\r\n?|\n)\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r\n?|\n", -1))
 
 
 def line_of(text: Column, offset: Column) -> Column:
@@ -38,6 +40,28 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.length(head) - F.length(F.translate(head, "\n", "")) + 1
 
 
+def places(text: Column, pattern: str) -> Column:
+    """Every match of a Java expression in a text: (line, match, before), with the 300 characters before it.
+
+    Marks are set around the matches and the text is cut at them, so nothing leaves the
+    JVM. The two private-use characters of the marks may not occur in the text; they
+    are taken out first. Line ends are unified.
+    """
+    clean = F.translate(unified(text), _OPEN + _CLOSE, "")
+    parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
+    breaks = lambda c: F.length(c) - F.length(F.translate(c, "\n", ""))
+    start = F.struct(F.lit(1).alias("line"), F.lit("").alias("tail"), F.array().cast("array<struct<line:int,match:string,before:string>>").alias("out"))
+
+    def step(a: Column, part: Column) -> Column:
+        match = F.substring_index(part, _CLOSE, 1)
+        marked = F.contains(part, F.lit(_CLOSE))
+        plain = F.translate(part, _CLOSE, "")
+        out = F.when(marked, F.concat(a["out"], F.array(F.struct(a["line"].alias("line"), match.alias("match"), a["tail"].alias("before"))))).otherwise(a["out"])
+        return F.struct((a["line"] + breaks(plain)).alias("line"), F.right(F.concat(a["tail"], plain), F.lit(300)).alias("tail"), out.alias("out"))
+
+    return F.aggregate(parts, start, step, lambda a: a["out"])
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/", -1), -1)
 
@@ -78,8 +102,8 @@ def terms(text: Column) -> Column:
 
 
 def ticket_ids(text: Column) -> Column:
-    """Distinct ticket ids in a text, in order of their first place; none within a longer word."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(^|[^A-Za-z0-9-])({TICKET})(?![A-Za-z0-9])"), F.lit(2)))
+    """Distinct ticket ids in a text, in order of their first place; none beside other capitals or digits."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![A-Z0-9])({TICKET})(?![A-Z0-9])"), F.lit(1)))
 
 
 def overlap_score(a: Column, b: Column) -> Column:
@@ -103,6 +127,32 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", "")
 
 
+def ssh_endpoint(remote: Column) -> Column:
+    """``user@host:port`` of an SSH remote, in URL or in scp form, the host in lower case; null for any other."""
+    url = r"^(?:ssh|git\+ssh)://(?:([^@/:]+)(?::[^@/]*)?@)?([^@/:]+)(?::(\d+))?(?:/.*)?$"
+    short = r"^(?:([^@/:]+)@)?([^/:@]+):.+$"
+    part = lambda p, i: F.regexp_extract(remote, p, i)
+    at = lambda p: F.when(part(p, 1) != "", F.concat(part(p, 1), F.lit("@"))).otherwise("")
+    port = F.when(part(url, 3) != "", F.concat(F.lit(":"), part(url, 3))).otherwise("")
+    return (
+        F.when(remote.rlike(url), F.concat(at(url), F.lower(part(url, 2)), port))
+        .when(remote.contains("://") | remote.rlike(r"^[A-Za-z]:[\\/]"), F.lit(None))
+        .when(remote.rlike(short), F.concat(at(short), F.lower(part(short, 2))))
+    )
+
+
+def cut_text(text: Column, size: int) -> Column:
+    """A text in pieces of at most ``size`` characters, each cut behind the last line end of its second half, if there is one.
+
+    One expression with bounded quantifiers consumes a piece at a time; the pieces joined are the text, an empty text is one empty piece.
+    """
+    if size < 1:
+        raise ValueError("the size of a piece has to be positive")
+    # a line end at position size // 2 or later closes the piece behind it
+    lines = rf"[\s\S]{{{size // 2},{size - 1}}}\n" if size > 1 else r"\n"
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"\G(?:[\s\S]{{1,{size}}}\z|{lines}|[\s\S]{{{size}}})"), F.lit(0)))
+
+
 def version_key(version: Column) -> Column:
     """A version's numbers as an array, which compares like the version."""
     return F.transform(F.regexp_extract_all(version, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))

@@ -6,9 +6,13 @@ line_end in place of line. Each stage has a total order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmark.functions.text import suffix
+
 # Constants of fusion and selection.
 RRF_K = 60
 FEATURES = {"definition": 14, "requested": 30, "test": 8, "relationship": 6}
@@ -37,29 +41,43 @@ def fuse(hits: DataFrame) -> DataFrame:
     return rows.select("repo", "path", "line", F.col("best.text").alias("text"), F.col("best.kind").alias("kind"), score.alias("score"), F.col("channels").alias("found_by"))
 
 
-def anchor_regions(hits: DataFrame, distance: int = max(10, WINDOW_LINES), keep: tuple[str, ...] = ("text", "kind", "found_by")) -> DataFrame:
-    """Hits of a file that lie near an anchor become one region, that of its best hit.
+def anchor_regions(hits: DataFrame, distance: int = max(10, WINDOW_LINES)) -> DataFrame:
+    """Hits of a file that lie near an anchor become one region: line, text and score of its best hit, all channels and kinds.
 
     In line order, a hit within ``distance`` of the current anchor joins its region and
     becomes the anchor if it scores higher; one farther away opens a new region. The
-    distance counts from the moving anchor, so this is a fold and no gap window. One
-    file's hits are folded as an array; hits without a line are left out.
+    distance counts from the moving anchor, so this is a fold and no gap window. Two
+    neighbours farther apart than ``distance`` always part regions, so a file is cut there
+    first and each piece is folded on its own. Kinds are joined in order of appearance.
+    Hits without a line are left out.
     """
-    row = F.struct("line", "score", *keep)
-    start = F.array().cast(f"array<{_struct_type(hits, ['line', 'score', *keep])}>")
+    near = Window.partitionBy("repo", "path").orderBy("line")
+    rows = hits.where(F.col("line").isNotNull()).withColumn("__gap", F.coalesce(F.col("line") - F.lag("line").over(near) > distance, F.lit(True)).cast("int"))
+    rows = rows.withColumn("__piece", F.sum("__gap").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = rows.groupBy("repo", "path", "__piece").agg(F.array_sort(F.collect_list(F.struct("line", "score", "text", "kind", "found_by"))).alias("hits"))
+    text, score = hits.schema["text"].dataType.simpleString(), hits.schema["score"].dataType.simpleString()
+    region = f"struct<line:int,score:{score},text:{text},kinds:array<string>,found_by:array<string>>"
+    opened = lambda x: F.struct(x["line"].cast("int").alias("line"), x["score"].alias("score"), x["text"].alias("text"), kind_parts(x["kind"]).alias("kinds"), x["found_by"].alias("found_by"))
+
+    def joined(r: Column, x: Column) -> Column:
+        better = x["score"] > r["score"]
+        pick = lambda c: F.when(better, x[c]).otherwise(r[c]).alias(c)
+        return F.struct(F.when(better, x["line"]).otherwise(r["line"]).cast("int").alias("line"), pick("score"), pick("text"), F.array_distinct(F.concat(r["kinds"], kind_parts(x["kind"]))).alias("kinds"), F.array_union(r["found_by"], x["found_by"]).alias("found_by"))
 
-    def step(regions: Column, x: Column) -> Column:
-        last = F.try_element_at(regions, F.lit(-1))
-        front = F.slice(regions, F.lit(1), F.greatest(F.size(regions) - 1, F.lit(0)))
-        apart = (F.size(regions) == 0) | (x["line"] - last["line"] > distance)
-        return F.when(apart, F.concat(regions, F.array(x))).when(x["score"] > last["score"], F.concat(front, F.array(x))).otherwise(regions)
+    def step(a: Column, x: Column) -> Column:
+        apart = a["now"].isNull() | (x["line"] - a["now"]["line"] > distance)
+        closed = F.when(apart & a["now"].isNotNull(), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+        return F.struct(closed.alias("done"), F.when(apart, opened(x)).otherwise(joined(a["now"], x)).alias("now"))
 
-    files = hits.where(F.col("line").isNotNull()).groupBy("repo", "path").agg(F.array_sort(F.collect_list(row)).alias("hits"))
-    return files.select("repo", "path", F.explode(F.aggregate("hits", start, step)).alias("h")).select("repo", "path", "h.*")
+    start = F.struct(F.array().cast(f"array<{region}>").alias("done"), F.lit(None).cast(region).alias("now"))
+    regions = F.aggregate("hits", start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+    out = pieces.select("repo", "path", F.explode(regions).alias("r"))
+    return out.select("repo", "path", F.col("r.line").alias("line"), F.col("r.score").alias("score"), F.col("r.text").alias("text"), F.array_join("r.kinds", ", ").alias("kind"), F.array_sort("r.found_by").alias("found_by"))
 
 
-def _struct_type(df: DataFrame, columns: list[str]) -> str:
-    return "struct<" + ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in columns) + ">"
+def kind_parts(kind: Column) -> Column:
+    """The kinds that a text names, parted by commas."""
+    return F.transform(F.split(F.coalesce(kind, F.lit("")), ","), lambda k: F.trim(k))
 
 
 def by_rank() -> list[Column]:
@@ -90,11 +108,19 @@ def numbered(rows: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def min_max_bonus(scores: DataFrame, value: str = "rerank", bonus: float = RERANK_BONUS, group: tuple[str, ...] = ()) -> DataFrame:
-    """``bonus`` times the min-max normalised value, rounded to three places; 1 where all values are equal; 0 for a null value."""
-    w = Window.partitionBy(*group)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    norm = F.when(high == low, 1.0).otherwise((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)))
-    return scores.withColumn("bonus", F.round(F.coalesce(norm, F.lit(0.0)) * bonus, 3))
+    """``bonus`` times the min-max normalised value, rounded to three places; 1 where all values are equal; 0 for a null value.
+
+    Least and greatest values are aggregates that combine before the shuffle, so no group is one task.
+    """
+    if group:
+        ends = scores.groupBy(*group).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+        same = [F.col(f"s.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group]
+        rows = scores.alias("s").join(ends.alias("e"), same).select("s.*", "e.__low", "e.__high")
+    else:
+        rows = scores.withColumns({"__low": scores.agg(F.min(value)).scalar(), "__high": scores.agg(F.max(value)).scalar()})
+    norm = F.when(F.col("__high") == F.col("__low"), 1.0).otherwise((F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0)))
+    norm = F.when(F.col(value).isNotNull(), norm)
+    return rows.withColumn("bonus", F.round(F.coalesce(norm, F.lit(0.0)) * bonus, 3)).drop("__low", "__high")
 
 
 def token_overlap(query: Column, text: Column) -> Column:
@@ -103,14 +129,45 @@ def token_overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(words(query), words(text)))
 
 
-def rerank(hits: DataFrame, query: str, pool: int = RERANK_POOL, protected: tuple[str, ...] = ("definition", "requested")) -> DataFrame:
-    """Hits with a bonus for the first ``pool`` unprotected locations by rank, by the overlap of their text with a query."""
-    free = hits.where(~F.col("kind").isin(*protected)).groupBy("repo", "path", "line").agg(F.max(F.struct("score", "text")).alias("x")).select("repo", "path", "line", "x.*")
-    chosen = free.orderBy(*by_rank()).limit(pool).withColumn("rerank", token_overlap(F.lit(query), F.col("text")).cast("double"))
-    rated = min_max_bonus(chosen).select("repo", "path", "line", "bonus")
-    rows = hits.join(F.broadcast(rated), ["repo", "path", "line"], "left")  # at most ``pool`` rows
-    add = F.when(F.col("kind").isin(*protected), 0.0).otherwise(F.coalesce("bonus", F.lit(0.0)))
-    return rows.withColumn("score", F.round(F.col("score") + add, 3)).drop("bonus")
+# What a kind holds that no rerank may move, and the characters of a snippet.
+PROTECTED, SNIPPET_CHARS = ("definition", "requested"), 1200
+
+
+def is_protected(kind: Column) -> Column:
+    """Whether a kind holds a protected word, in any case; a null kind does not."""
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    out = F.lit(False)
+    for word in PROTECTED:
+        out = out | low.contains(word)
+    return out
+
+
+def snippet() -> Column:
+    """What a reranker reads of a hit: repository, path, suffix, kind and the beginning of its text."""
+    language = F.when(suffix(F.col("path")) != "", suffix(F.col("path"))).otherwise("text")
+    text = F.substring(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), "\x00", " "), 1, SNIPPET_CHARS)
+    parts = [("Repository: ", F.col("repo")), ("Path: ", F.col("path")), ("Language: ", language), ("Kind: ", F.coalesce("kind", F.lit(""))), ("Snippet: ", text)]
+    return F.concat_ws("\n", *[F.concat(F.lit(n), v) for n, v in parts])
+
+
+def rerank(hits: DataFrame, query: str, pool: int = RERANK_POOL, score: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
+    """Hits with a bonus for the first ``pool`` unprotected locations by rank, by what ``score`` gives their snippet for a query.
+
+    A location counts once, with its best hit; only that hit gets the bonus and the
+    reranker among its channels. Protected hits and those beyond the pool stay as they are.
+    """
+    first = Window.partitionBy("repo", "path", "line").orderBy(F.col("score").desc_nulls_last(), "kind", "text")
+    free = hits.where(~is_protected(F.col("kind"))).withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1)
+    chosen = free.orderBy(*by_rank()).limit(pool).withColumn("rerank", score(F.lit(query), snippet()).cast("double"))
+    key = ["repo", "path", "line", "kind", "text"]
+    rated = min_max_bonus(chosen).select(*[F.col(c).alias(f"__{c}") for c in key], "bonus")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rows = hits.join(F.broadcast(rated), same, "left")  # at most ``pool`` rows
+    moved = F.col("bonus").isNotNull()
+    rows = rows.withColumn("score", F.when(moved, F.round(F.col("score") + F.col("bonus"), 3)).otherwise(F.col("score")))
+    return rows.withColumn("found_by", F.when(moved, F.array_sort(F.array_union("found_by", F.array(F.lit("reranker"))))).otherwise(F.col("found_by"))).select(*hits.columns)
 
 
 def source_window(hits: DataFrame, sizes: DataFrame, window: int = WINDOW_LINES, full: int = FULL_FILE_LINES) -> DataFrame:
@@ -127,19 +184,19 @@ def merge_intervals(evidence: DataFrame) -> DataFrame:
     """Overlapping or adjoining intervals of a file as one: greatest score, all channels, kinds in order of appearance.
 
     An interval opens a new one if it starts more than a line beyond all before it;
-    intervals that are equal belong to the same one.
+    intervals that are equal belong to the same one. A kind that names several counts as these.
     """
     order = Window.partitionBy("repo", "path").orderBy("line_start", "line_end")
     reach = F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = evidence.withColumn("__opens", F.when(reach.isNull() | (F.col("line_start") > reach + 1), 1).otherwise(0))
     rows = rows.withColumn("__island", F.sum("__opens").over(order))
-    first = F.array_sort(F.collect_list(F.struct("line_start", "line_end", "kind")))
-    kinds = F.array_distinct(F.transform(first, lambda x: x["kind"]))
+    first = F.array_sort(F.collect_set(F.struct("line_start", "line_end", "kind")))
+    kinds = F.array_distinct(F.flatten(F.transform(first, lambda x: kind_parts(x["kind"]))))
     return rows.groupBy("repo", "path", "__island").agg(
         F.min("line_start").alias("line_start"),
         F.max("line_end").alias("line_end"),
         F.max("score").alias("score"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found_by")))).alias("found_by"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("found_by")))).alias("found_by"),
         F.array_join(kinds, ", ").alias("kind"),
     ).drop("__island")
 
@@ -153,18 +210,18 @@ def stitch(merged: DataFrame, lines: DataFrame) -> DataFrame:
     return merged.join(content, ["repo", "path", "line_start", "line_end"])
 
 
-def within_budget(rows: DataFrame, size: str, budget: int, limit: int = HYDRATED) -> DataFrame:
+def within_budget(rows: DataFrame, size: str, budget: int, limit: int = HYDRATED, used: int = 0) -> DataFrame:
     """Of the first ``limit`` rows by rank those taken one after the other while the sum of ``size`` fits ``budget``.
 
-    A row that does not fit is skipped and the next is tried; the first row is always taken.
+    A row that does not fit is skipped and the next is tried. Where nothing is ``used`` yet a row is always taken.
     """
     top = rows.orderBy(*by_rank()).limit(limit)
     order = F.struct((-F.col("score")).alias("s"), "repo", "path", "line", F.col(size).cast("bigint").alias("n"))
     listed = top.agg(F.array_sort(F.collect_list(order)).alias("all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("take"))
+    start = F.struct(F.lit(used).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("take"))
 
     def step(a: Column, x: Column) -> Column:
-        fits = (F.size(a["take"]) == 0) | (a["used"] + x["n"] <= budget)
+        fits = (a["used"] == 0) | (a["used"] + x["n"] <= budget)
         return F.struct((a["used"] + F.when(fits, x["n"]).otherwise(0)).alias("used"), F.concat(a["take"], F.array(fits)).alias("take"))
 
     taken = listed.select(F.explode(F.arrays_zip("all", F.aggregate("all", start, step, lambda a: a["take"]).alias("take"))).alias("x"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from siftmark.operators import ranking as R
 from siftmark.operators.corpus import blob_lines
-from siftmark.queries.base import CORPUS, HITS, fused, hits, source
+from siftmark.queries.base import CORPUS, HITS, fused, regions, source
 from siftmark.runtime import table
 
+RERANK = "harbor-core code java c0000000123 kind:"
 QUERY = "Roughly some rows were affected by the old ledger writer"
 
 
@@ -18,7 +19,7 @@ def fusion_rrf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def region_anchor_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return R.anchor_regions(fused(spark, sf), 40).select("repo", "path", "line", "score")
+    return R.anchor_regions(fused(spark, sf), 40).select("repo", "path", "line", "score", "kind", F.array_join("found_by", ",").alias("channels"))
 
 
 def diversity_quota(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +66,7 @@ def token_overlap_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bounded_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rerank(fused(spark, sf), "C0000000123 c0000000200").select("repo", "path", "line", "score")
+    return R.rerank(fused(spark, sf), RERANK).select("repo", "path", "line", "score", F.array_join("found_by", ",").alias("channels"))
 
 
 def budget_with_skips(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,15 +88,7 @@ _RANK = "ORDER BY score DESC, repo, path, line"
 
 ORACLE = {
     "fusion_rrf": f"WITH {HITS} SELECT repo, path, line, kind, score, array_to_string(found_by, ',') AS channels FROM fused",
-    "region_anchor_merge": f"""WITH RECURSIVE {HITS},
-n AS MATERIALIZED (SELECT repo, path, line, score, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS i FROM fused),
-fold AS (
-  SELECT repo, path, 1::BIGINT AS i, 1 AS region, line, score FROM n WHERE i = 1
-  UNION ALL
-  SELECT n.repo, n.path, n.i, CASE WHEN n.line - f.line > 40 THEN f.region + 1 ELSE f.region END,
-    CASE WHEN n.line - f.line > 40 OR n.score > f.score THEN n.line ELSE f.line END, CASE WHEN n.line - f.line > 40 OR n.score > f.score THEN n.score ELSE f.score END
-  FROM fold f JOIN n ON n.repo = f.repo AND n.path = f.path AND n.i = f.i + 1)
-SELECT repo, path, arg_max(line, i) AS line, arg_max(score, i) AS score FROM fold GROUP BY repo, path, region""",
+    "region_anchor_merge": f"WITH RECURSIVE {HITS}, {regions(40)} SELECT repo, path, line, score, array_to_string(kinds, ', ') AS kind, array_to_string(found_by, ',') AS channels FROM regions",
     "diversity_quota": f"""WITH {HITS}, top AS (SELECT repo, path, line, score FROM fused {_RANK} LIMIT 500),
 f AS (SELECT *, row_number() OVER (PARTITION BY repo, path {_RANK}) AS a FROM top),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo {_RANK}) AS b FROM f WHERE a <= 2),
@@ -113,10 +106,12 @@ SELECT repo, path, line, score, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - l
     "token_overlap_rank": rf"""WITH q AS (SELECT list_distinct(regexp_split_to_array(lower('{QUERY}'), '\s+')) AS q),
 d AS (SELECT doc_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), q))::INT AS common FROM documents, q WHERE text IS NOT NULL)
 SELECT * FROM d WHERE common > 0""",
-    "bounded_rerank": f"""WITH {HITS}, free AS (SELECT * FROM fused WHERE kind NOT IN ('definition', 'requested') {_RANK} LIMIT 40),
-v AS (SELECT repo, path, line, (CASE WHEN lower(text) IN ('c0000000123', 'c0000000200') THEN 1 ELSE 0 END)::DOUBLE AS v FROM free),
-b AS (SELECT *, CASE WHEN max(v) OVER () = min(v) OVER () THEN 1.0 ELSE (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) END AS n FROM v)
-SELECT f.repo, f.path, f.line, round(f.score + CASE WHEN f.kind IN ('definition', 'requested') THEN 0 ELSE coalesce(round(n * 20, 3), 0) END, 3) AS score
+    "bounded_rerank": rf"""WITH {HITS}, free AS (SELECT * FROM fused WHERE NOT contains(lower(coalesce(kind, '')), 'definition') AND NOT contains(lower(coalesce(kind, '')), 'requested') {_RANK} LIMIT 40),
+v AS (SELECT *, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower('Repository: ' || repo || chr(10) || 'Path: ' || path || chr(10) || 'Language: '
+    || CASE WHEN regexp_extract(string_split(path, '/')[-1], '.\.([^.]*)$', 1) <> '' THEN lower(regexp_extract(string_split(path, '/')[-1], '.\.([^.]*)$', 1)) ELSE 'text' END || chr(10) || 'Kind: ' || coalesce(kind, '') || chr(10) || 'Snippet: ' || trim(coalesce(text, ''))), '\s+'), lambda w: w <> '')),
+    list_distinct(regexp_split_to_array(lower('{RERANK}'), '\s+'))))::DOUBLE AS v FROM free),
+b AS (SELECT repo, path, line, round(CASE WHEN max(v) OVER () = min(v) OVER () THEN 1.0 ELSE (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) END * 20, 3) AS n FROM v)
+SELECT f.repo, f.path, f.line, CASE WHEN n IS NULL THEN f.score ELSE round(f.score + n, 3) END AS score, array_to_string(CASE WHEN n IS NULL THEN f.found_by ELSE list_sort(list_append(f.found_by, 'reranker')) END, ',') AS channels
 FROM fused f LEFT JOIN b ON b.repo = f.repo AND b.path = f.path AND b.line = f.line""",
     "budget_with_skips": f"""WITH RECURSIVE {HITS}, t AS MATERIALIZED (SELECT repo, path, line, line * 7::BIGINT AS size, row_number() OVER ({_RANK}) AS i FROM fused {_RANK} LIMIT 40),
 g AS (SELECT repo, path, line, size, i, size AS used, true AS taken FROM t WHERE i = 1

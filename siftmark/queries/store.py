@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,16 @@ from pyspark.sql import functions as F
 from siftmark.functions import text as X
 from siftmark.operators import corpus as C
 from siftmark.operators import history as H
+from siftmark.operators import lexical as L
 from siftmark.operators import measure as M
 from siftmark.operators import relations as R
 from siftmark.operators import semantic as S
 from siftmark.plans import request as P
-from siftmark.queries.base import CORPUS, source, texts
-from siftmark.runtime import checkpoint_folder, table
+from siftmark.queries.base import CORPUS, FUSED, regions, source, texts
+from siftmark.runtime import cut, shared_folder, table
 from siftmark.streaming import refresh as ST
 
+PROPERTIES, YAML, POM, PACK = r"\.properties$", r"\.ya?ml$", r"(^|/)pom\.xml$", "keel-mini-64"
 ASK = "The old ledger writer twice duplicated pending vouchers after the harbor migration, see OPS-203"
 
 
@@ -57,31 +58,34 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def config_values(spark: SparkSession, sf: str) -> DataFrame:
-    return R.config_values(texts(spark, sf)).select("repo", "key", "value", "path", "line")
+    return R.config_values(texts(spark, sf, PROPERTIES)).select("repo", "key", "value", "path", "line")
 
 
 def yaml_values(spark: SparkSession, sf: str) -> DataFrame:
-    return R.yaml_values(texts(spark, sf))
+    return R.yaml_values(texts(spark, sf, YAML))
+
+
+def all_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return R.settings(texts(spark, sf, f"{PROPERTIES}|{YAML}")).select("repo", "key", "value", "path", "line")
 
 
 def config_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.config_values(texts(spark, sf))
+    rows = R.config_values(texts(spark, sf, PROPERTIES))
     asked = rows.select("repo", F.col("key").alias("name"), F.concat(F.lit("${"), F.when(F.length("value") % 2 == 0, F.col("key")).otherwise(F.concat(F.lit("no."), F.col("key"), F.lit(":"), F.lit("fallback"))), F.lit("}")).alias("value"))
     return R.resolve(asked, rows.select("repo", "key", "value")).select("repo", "name", "value")
 
 
 def kafka_producers(spark: SparkSession, sf: str) -> DataFrame:
-    t = texts(spark, sf).where(F.col("path").rlike(r"\.(java|kt|kts)$"))
-    lines = t.select("repo", "path", F.posexplode(X.split_lines(F.col("content"))).alias("i", "text")).withColumn("line", (F.col("i") + 1).cast("int"))
-    return R.kafka_facts(lines, R.config_values(texts(spark, sf)).select("repo", "key", "value")).select("repo", "kind", "key", "path", "line")
+    code = texts(spark, sf, rf"{PROPERTIES}|{YAML}|\.(java|kt|kts)$")
+    return R.kafka_facts(code, R.settings(code)).select("repo", "kind", "key", "path", "line", "detail")
 
 
 def maven_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    return R.maven_facts(texts(spark, sf)).select("repo", "kind", "key", "path")
+    return R.maven_facts(texts(spark, sf, POM)).select("repo", "kind", "key", "path")
 
 
 def dependency_edges(spark: SparkSession, sf: str) -> DataFrame:
-    facts = R.maven_facts(texts(spark, sf)).where(F.col("kind") == "maven-consumer")
+    facts = R.maven_facts(texts(spark, sf, POM)).where(F.col("kind") == "maven-consumer")
     names = table(spark, sf, "repositories").select(F.col("name").alias("target"))
     pairs = facts.join(names, X.service_name(F.element_at(F.split("key", ":"), -1)) == X.service_name(F.col("target"))).where(F.col("repo") != F.col("target"))
     return pairs.select(F.col("repo").alias("source"), "target", "key").distinct()
@@ -114,6 +118,13 @@ def annotation_extract(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("repo", "path", R.annotation_value(F.col("body")).alias("value")).distinct()
 
 
+def workflow_chain(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    after = nation.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("next"))
+    edges = nation.join(after, "n_nationkey")
+    return R.workflow_paths(edges, "n_name", "next", F.concat(F.lit("--"), F.col("n_nationkey").cast("string"), F.lit("-->"))).select(F.array_join("path", " ").alias("path"))
+
+
 def service_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "repositories").select("name", X.service_name(F.col("name")).alias("service"), X.safe_name(F.concat(F.lit(".x y/"), "name", F.lit("-"))).alias("safe"))
 
@@ -123,15 +134,27 @@ def ticket_extract_group(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc"))
 
 
-def _cases(spark: SparkSession, sf: str) -> DataFrame:
+def _commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Commit messages as raw logs in the layout of the version control, parsed again."""
     docs = table(spark, sf, "documents").where((F.col("source") == "commit-messages") & F.col("text").isNotNull())
     subject = F.substring_index(X.unified(F.col("text")), "\n", 1)
-    change = F.array(F.struct(F.lit("M").alias("status"), F.concat(F.lit("src/test/"), "doc_id", F.lit(".java")).alias("path")), F.struct(F.lit("A").alias("status"), F.concat(F.lit("conf/"), "doc_id", F.lit(".yaml")).alias("path")))
-    return H.cases(docs.select(F.coalesce("repo", F.lit("none")).alias("repo"), F.col("doc_id").cast("string").alias("sha"), F.date_format("created_at", "yyyy-MM-dd").alias("date"), subject.alias("subject"), X.ticket_ids(subject).alias("tickets"), change.alias("changes")))
+    names = F.concat(F.lit("M\tsrc/test/"), "doc_id", F.lit(".java\nR100\tconf/old.yaml\tconf/"), "doc_id", F.lit(".yaml\n"))
+    record = F.concat(F.lit("\x1e"), F.col("doc_id").cast("string"), F.lit("\x1f"), F.date_format("created_at", "yyyy-MM-dd"), F.lit("\x1f"), subject, F.lit("\n"), names)
+    logs = docs.groupBy(F.coalesce("repo", F.lit("none")).alias("repo"), F.pmod("doc_id", F.lit(16)).alias("part")).agg(F.array_join(F.collect_list(record), "").alias("text"))
+    return H.parse_log(logs.select("repo", "text"))
+
+
+def commit_log(spark: SparkSession, sf: str) -> DataFrame:
+    return _commits(spark, sf).select("repo", "sha", "date", "subject", F.array_join("tickets", ",").alias("tickets"), F.to_json("changes").alias("changes"))
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "requests").groupBy("ticket").agg(F.min("objective").alias("ticket_text"))
+    return H.cases(_commits(spark, sf), asked.withColumn("knowledge_text", F.lit(None).cast("string")))
 
 
 def ticket_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return _cases(spark, sf).select("ticket", "latest_date", F.array_join("repos", ",").alias("repos"), F.size("paths").alias("paths"), F.size("test_paths").alias("tests"), F.size("config_paths").alias("configs"), "commits", F.array_join("terms", " ").alias("terms"))
+    return _cases(spark, sf).select("ticket", "latest_date", F.array_join("repos", ",").alias("repos"), F.size("paths").alias("paths"), F.size("test_paths").alias("tests"), F.size("config_paths").alias("configs"), "commits", F.array_join("terms", " ").alias("terms"), F.length("ticket_excerpt").alias("told"))
 
 
 def similar_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,9 +176,8 @@ def redaction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pickaxe_history(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.col("text").isNotNull())
-    diffs = docs.select(F.coalesce("repo", F.lit("")).alias("repo"), F.col("doc_id").cast("string").alias("sha"), F.date_format("created_at", "yyyy-MM-dd").alias("date"), F.col("text").alias("added"), F.lit("").alias("removed"))
-    return H.pickaxe(diffs, "CONTEXT_REQUEST:").select("repo", "sha", "date", "how")
+    diffs = H.snapshot_diffs(table(spark, sf, "files"), table(spark, sf, "blobs"), [(1, 2), (2, 3), (3, 4)])
+    return H.pickaxe(diffs, "this.").select("repo", "sha", "date", "path", "how")
 
 
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,34 +185,46 @@ def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_cards(spark: SparkSession, sf: str) -> DataFrame:
-    lines = C.blob_lines(table(spark, sf, "blobs"))
-    parts = S.chunk_source(C.stored_blobs(table(spark, sf, "blobs")))
-    code = parts.join(lines, "blob").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("blob", "start_line", "end_line", "kind", "symbol")
-    code = code.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("code"))
-    cards = S.cards(code.withColumn("repo", F.lit("r")).withColumn("path", F.col("blob")))
-    return cards.select("blob", "start_line", "end_line", "symbol", F.length("card").alias("chars"))
+    blobs = C.stored_blobs(table(spark, sf, "blobs"))
+    cards = S.cards(S.with_code(S.chunk_source(blobs), blobs).withColumn("repo", F.lit("r")).withColumn("path", F.concat("blob", F.lit(".kt"))))
+    return cards.select("chunk_id", "blob", "start_line", "end_line", "symbol", F.md5("card").alias("card"))
 
 
-def _query_vector(spark: SparkSession, sf: str) -> list[float]:
-    return list(table(spark, sf, "embeddings").where(F.col("vec_id") == 7).select("embedding").first()[0])
+def _asked_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and every hundredth as a query."""
+    vectors = table(spark, sf, "embeddings")
+    return vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return S.vector_top(table(spark, sf, "embeddings"), _query_vector(spark, sf)).select("vec_id", "score")
+    return S.vector_top(*_asked_vectors(spark, sf))
 
 
 def vector_topk_per_label(spark: SparkSession, sf: str) -> DataFrame:
-    return S.vector_top_per_group(table(spark, sf, "embeddings"), _query_vector(spark, sf), "label").select("vec_id", "label", "score", "rank")
+    return S.vector_top(*_asked_vectors(spark, sf), 5, group="label")
 
 
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return S.embed(table(spark, sf, "requests").select("request_id", "objective"), "objective").select("request_id", "vector")
+    rows = S.embed(table(spark, sf, "requests").select("request_id", "objective"), "objective")
+    return rows.select("request_id", F.posexplode("vector").alias("place", "value")).where(F.col("value") != 0)
+
+
+def _cached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All keys of a pack and all chunks, with what the cache has; and the cache."""
+    cache = table(spark, sf, "embedding_cache")
+    keys = cache.where((F.col("pack_id") == PACK) & (F.col("dimension") == 64) & F.col("cache_key").isNotNull()).select("cache_key").distinct().withColumn("card", F.lit(None).cast("string"))
+    chunks = table(spark, sf, "chunks").where(F.col("chunk_id").isNotNull()).groupBy(F.col("chunk_id").alias("cache_key")).agg(F.min("card").alias("card"))
+    return S.with_cached(keys.unionByName(chunks), S.cached_vectors(cache, PACK, 64), "cache_key", "card"), cache
 
 
 def cached_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "requests").select("request_id", "objective")
-    cache = S.embed(rows.where(F.col("request_id") % 2 == 0), "objective").select("request_id", "vector")
-    return S.with_cached(rows, cache, "request_id", "objective").select("request_id", "vector")
+    rows = _cached(spark, sf)[0]
+    return rows.select("cache_key", "from_cache", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), F.get("vector", F.lit(3)).alias("fourth"))
+
+
+def cache_after_use(spark: SparkSession, sf: str) -> DataFrame:
+    used, cache = _cached(spark, sf)
+    return S.refreshed_cache(cache, used, PACK, 64, F.lit("2030-01-01 00:00:00").cast("timestamp"), 700).select("cache_key", "pack_id", F.date_format("last_used_at", "yyyy-MM-dd").alias("day"))
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,7 +306,11 @@ CONTEXT_REQUEST:
     - query: ledger
   symbols:
     - name: Keel.compactHeader
-      include: [definition, callers]
+      include: [definition, callers, callees]
+  files:
+    - repo: harbor-core
+      path: platform/shared/src/main/java/dev/keelworks/Anchors.java
+      lines: 5-30
   history:
     - query: OPS-203
 """
@@ -282,37 +320,59 @@ def plan_explain(spark: SparkSession, sf: str) -> DataFrame:
     return P.explain(spark, P.compile_plan(P.parse_request(REQUEST))).select("step", "tier", "cost", "kind", "value", F.array_join("repos", ",").alias("repos"))
 
 
+def _retrieved(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return P.Engine(table(spark, sf, "files"), table(spark, sf, "blobs")).retrieve(P.parse_request(REQUEST))
+
+
 def retrieve_context(spark: SparkSession, sf: str) -> DataFrame:
-    engine = P.Engine(table(spark, sf, "files"), table(spark, sf, "blobs"))
-    return engine.retrieve(P.parse_request(REQUEST))["evidence"].select("repo", "path", "line_start", "line_end", "kind", "score", "content")
+    evidence = _retrieved(spark, sf)["evidence"]
+    return evidence.select("repo", "path", "line_start", "line_end", "kind", "score", F.array_join("found_by", ",").alias("channels"), F.md5("content").alias("content"))
+
+
+def retrieve_calls(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _retrieved(spark, sf)
+    return parts["calls"].select(F.lit("call").alias("part"), F.concat_ws(" ", "symbol", "callee").alias("name")).unionByName(parts["unresolved"].select(F.lit("unresolved").alias("part"), F.col("asked").alias("name")))
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    whole = f"{sf}/{name}.parquet"
-    if os.path.isdir(whole):
-        return spark.readStream.schema(spark.read.parquet(whole).schema).parquet(whole)
-    return spark.readStream.schema(spark.read.parquet(whole).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it a folder of files or one file among others."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    root = f"{checkpoint_folder(spark)}/refresh-{uuid.uuid4().hex}"
-    ST.refresh(_stream(spark, sf, "files"), f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("snapshot", "repo", "path", "blob")
+    """The changes that the stream has written, in their final state; read back before its folders are removed."""
+    with shared_folder(spark, "refresh") as root:
+        ST.refresh(_stream(spark, sf, "files"), f"{root}/out", f"{root}/state").awaitTermination()
+        return cut(spark.read.parquet(f"{root}/out").select("snapshot", "repo", "path", "blob"))
 
 
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    root = f"{checkpoint_folder(spark)}/windows-{uuid.uuid4().hex}"
     rows = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    query = ST.windowed_counts(rows, "ts", "event_type", "1 day", "400 days").writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
-    query.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    return out.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type").agg(F.max("n").alias("n"))
+    with shared_folder(spark, "windows") as root:
+        # one batch holds the whole table, so no row is late; windows of over two days ago are given out and forgotten
+        query = ST.windowed_counts(rows, "ts", "event_type").writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+        query.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        out = spark.read.parquet(f"{root}/out")
+        return cut(out.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type").agg(F.max("n").alias("n")))
+
+
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounds of every user as a stream: the plan is the type of event and its hundred, the evidence its key."""
+    rows = _stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("ticket"), F.col("event_id").cast("int").alias("number"), F.concat_ws(":", "event_type", (F.col("event_id") % 3).cast("string")).alias("signature"), F.array("event_type").alias("evidence"))
+    with shared_folder(spark, "sessions") as root:
+        query = ST.session_rounds(rows).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+        return cut(spark.read.parquet(f"{root}/out").select("ticket", "number", "new_evidence", "no_progress", "duplicate"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        blob_dedup, missing_blobs, orphan_blobs, changed_sources, storage_totals, keep_newest, lru_trim, content_hash, config_values, yaml_values, config_resolve, kafka_producers, maven_dependencies,
+        all_settings, workflow_chain, commit_log, cache_after_use, stream_sessions, retrieve_calls, blob_dedup, missing_blobs, orphan_blobs, changed_sources, storage_totals, keep_newest, lru_trim, content_hash, config_values, yaml_values, config_resolve, kafka_producers, maven_dependencies,
         dependency_edges, relationship_slice, workflow_paths, route_normalize, annotation_extract, service_names, ticket_extract_group, ticket_cases, similar_cases, token_terms, term_overlap_similarity, redaction,
         pickaxe_history, chunk_lines, chunk_cards, vector_topk, vector_topk_per_label, hashed_embedding, cached_embedding, latency_percentiles, latest_per_event, payload_timings, case_metrics, macro_metrics, micro_recall,
         duplicate_ratio, session_progress, first_seen_evidence, cumulative_coverage, coverage_flags, reply_classify, plan_explain, retrieve_context, stream_refresh, stream_windowed_counts,
@@ -327,25 +387,76 @@ def _terms(text: str) -> str:
     return f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({spread}, '[A-Za-z][A-Za-z0-9]{{2,}}'), lambda x: lower(x)), lambda x: NOT list_contains({_STOP}, x))))"
 
 
-_TICKETS = "list_distinct(regexp_extract_all({t}, '(^|[^A-Za-z0-9-])([A-Z][A-Z0-9]+-[0-9]+)\\b', 2))"
+# what stands between two ids is doubled, since this dialect cannot look around
+_TICKETS = "list_distinct(regexp_extract_all(regexp_replace({t}, '([^A-Z0-9-])', '\\1\\1', 'g'), '(^|[^A-Z0-9])([A-Z][A-Z0-9]+-[0-9]+)([^A-Z0-9]|$)', 2))"
+_MARKS = chr(39) + chr(34) + chr(39) * 3  # both kinds of quotes as a text of SQL
+_SQL = lambda pattern: pattern.replace("'", "''")
 _PROPS = rf"""{CORPUS},
-props0 AS (SELECT repo, path, line, regexp_extract(text, '^\s*([A-Za-z0-9_.\-]+)\s*[=:]\s*(.*?)\s*$', 1) AS key, regexp_extract(text, '^\s*([A-Za-z0-9_.\-]+)\s*[=:]\s*(.*?)\s*$', 2) AS value
-  FROM lines WHERE path LIKE '%.properties' AND regexp_matches(text, '^\s*([A-Za-z0-9_.\-]+)\s*[=:]\s*(.*?)\s*$')),
+props0 AS (SELECT repo, path, line, regexp_extract(text, '{_SQL(R.PROPERTY)}', 1) AS key, regexp_replace(regexp_extract(text, '{_SQL(R.PROPERTY)}', 2), '^["'']+|["'']+$', '', 'g') AS value
+  FROM lines WHERE path LIKE '%.properties' AND regexp_matches(text, '{_SQL(R.PROPERTY)}')),
 props AS (SELECT repo, key, value, path, line FROM props0 QUALIFY row_number() OVER (PARTITION BY repo, key ORDER BY path DESC, line DESC, value DESC) = 1)"""
+# the level above an entry: the last line without a value that is less indented, with no entry of its depth or less between
+_YAML = rf"""{_PROPS},
+y AS MATERIALIZED (SELECT repo, path, line, length(regexp_extract(text, '{R.YAML_ENTRY}', 1)) AS d, regexp_extract(text, '{R.YAML_ENTRY}', 2) AS k, trim(regexp_extract(text, '{R.YAML_ENTRY}', 3), {_MARKS}) AS v
+  FROM lines WHERE regexp_matches(path, '\.ya?ml$') AND regexp_matches(text, '{R.YAML_ENTRY}') AND ltrim(text) NOT LIKE '#%'),
+up AS MATERIALIZED (SELECT a.repo, a.path, a.line, max(b.line) AS above FROM y a LEFT JOIN y b ON a.repo = b.repo AND a.path = b.path AND b.line < a.line AND b.v = '' AND b.d < a.d
+  AND NOT EXISTS (SELECT 1 FROM y c WHERE c.repo = a.repo AND c.path = a.path AND c.line > b.line AND c.line < a.line AND c.d <= b.d) GROUP BY ALL),
+full_key AS (SELECT y.repo, y.path, y.line, y.k AS key, above FROM y JOIN up USING (repo, path, line)
+  UNION ALL SELECT f.repo, f.path, f.line, y.k || '.' || f.key, up.above FROM full_key f JOIN y ON y.repo = f.repo AND y.path = f.path AND y.line = f.above JOIN up ON up.repo = y.repo AND up.path = y.path AND up.line = y.line),
+yaml AS (SELECT repo, key, v AS value, path, line FROM full_key JOIN y USING (repo, path, line) WHERE above IS NULL AND v <> ''),
+settings AS (SELECT repo, key, value, path, line FROM (SELECT repo, key, value, path, line FROM props0 UNION ALL SELECT * FROM yaml) QUALIFY row_number() OVER (PARTITION BY repo, key ORDER BY path DESC, line DESC, value DESC) = 1)"""
+_RESOLVED = "CASE WHEN NOT regexp_matches({v}, '^\\s*\\$\\{{[^}}:]+(?::[^}}]*)?\\}}\\s*$') THEN {v} ELSE coalesce((SELECT value FROM settings s WHERE s.repo = {t}.repo AND s.key = regexp_extract({v}, '^\\s*\\$\\{{([^}}:]+)', 1)), nullif(regexp_extract({v}, '^\\s*\\$\\{{[^}}:]+:([^}}]*)\\}}', 1), ''), {v}) END"
+_CONST = rf"""
+const0 AS (SELECT repo, path, 0 AS n, unnest(regexp_extract_all(content, '{_SQL(R.CONSTANT)}', 1)) AS name, unnest(regexp_extract_all(content, '{_SQL(R.CONSTANT)}', 2)) AS value FROM corpus WHERE regexp_matches(path, '\.(java|kt|kts)$')
+  UNION ALL SELECT repo, path, 1, unnest(regexp_extract_all(content, '{_SQL(R.INJECTED)}', 2)), unnest(regexp_extract_all(content, '{_SQL(R.INJECTED)}', 1)) FROM corpus WHERE regexp_matches(path, '\.(java|kt|kts)$')),
+const AS (SELECT repo, path, name, value FROM (SELECT repo, path, n, name, {_RESOLVED.format(v="const0.value", t="const0")} AS value FROM const0) QUALIFY row_number() OVER (PARTITION BY repo, path, name ORDER BY n DESC, value DESC) = 1)"""
 _MAVEN = rf"""{CORPUS},
 deps AS (SELECT repo, path, unnest(regexp_extract_all(content, '(?s)<dependency>(.*?)</dependency>', 1)) AS d FROM corpus WHERE regexp_matches(path, '(^|/)pom\.xml$')),
 d2 AS (SELECT repo, path, regexp_extract(d, '<groupId>\s*([^<\s]+)\s*</groupId>', 1) AS g, regexp_extract(d, '<artifactId>\s*([^<\s]+)\s*</artifactId>', 1) AS a FROM deps),
 facts AS (SELECT DISTINCT repo, 'maven-consumer' AS kind, (CASE WHEN g = '' THEN '?' ELSE g END) || ':' || a AS key, path, a FROM d2 WHERE a <> '')"""
 _SERVICE = "regexp_replace(regexp_replace(lower({n}), '[^a-z0-9]', '', 'g'), 'service$', '')"
 _EDGES = f"""{_MAVEN}, edges AS (SELECT DISTINCT repo AS source, name AS target, key FROM facts JOIN repositories ON {_SERVICE.format(n="a")} = {_SERVICE.format(n="name")} WHERE repo <> name)"""
+def _redact(text: str) -> str:
+    """The chain of replacements as nested calls; the last pattern's flags differ in this dialect."""
+    for pattern, mark in H.REDACTION:
+        pattern = pattern.replace("(?imd)", "(?im)").replace("(?d)", "")
+        mark = mark.replace("$1", "\\1")
+        text = f"regexp_replace({text}, '{pattern}', '{mark}', 'g')"
+    return text
+
+
 _CASES = f"""
-docs AS (SELECT coalesce(repo, 'none') AS repo, doc_id, strftime(created_at, '%Y-%m-%d') AS date, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))[1] AS subject FROM documents WHERE source = 'commit-messages' AND text IS NOT NULL),
+docs0 AS (SELECT coalesce(repo, 'none') AS repo, doc_id, strftime(created_at, '%Y-%m-%d') AS date, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))[1] AS first FROM documents WHERE source = 'commit-messages' AND text IS NOT NULL),
+docs AS (SELECT repo, doc_id, date, {_redact("first")} AS subject FROM docs0),
 ex AS (SELECT repo, doc_id, date, subject, unnest({_TICKETS.format(t="subject")}) AS ticket FROM docs),
-cases AS (SELECT ticket, max(date) AS latest_date, array_to_string(list_sort(list(DISTINCT repo)), ',') AS repos, (count(DISTINCT doc_id) * 2)::INT AS paths, count(DISTINCT doc_id)::INT AS tests, count(DISTINCT doc_id)::INT AS configs, count(*) AS commits,
-  {_terms("array_to_string(list_sort(list(DISTINCT subject)), ' ')")} AS terms FROM ex GROUP BY ticket)"""
+asked AS (SELECT ticket, min(objective) AS told FROM requests GROUP BY 1),
+cases0 AS (SELECT ticket, max(date) AS latest_date, array_to_string(list_sort(list(DISTINCT repo)), ',') AS repos, (count(DISTINCT doc_id) * 2)::INT AS paths, count(DISTINCT doc_id)::INT AS tests, count(DISTINCT doc_id)::INT AS configs, count(*) AS commits,
+  array_to_string(list_sort(list(DISTINCT subject)), ' ') || ' ' || string_agg(repo || ':src/test/' || doc_id || '.java ' || repo || ':conf/' || doc_id || '.yaml', ' ') AS words FROM ex GROUP BY ticket),
+cases AS (SELECT c.*, {_terms("(words || ' ' || coalesce(told, ''))")} AS terms, length({_redact("coalesce(told, '')")})::INT AS told FROM cases0 c LEFT JOIN asked USING (ticket))"""
+# a marker begins with the blank lines right above it: line numbers minus those of the run of blank lines before
+_CHUNKS = rf"""{CORPUS},
+q0 AS (SELECT blob, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) AS p FROM stored),
+q AS (SELECT blob, CASE WHEN p[len(p)] = '' THEN list_slice(p, 1, len(p) - 1) ELSE p END AS p FROM q0),
+l AS (SELECT blob, len(p) AS n, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS text FROM q WHERE len(p) > 0),
+b AS (SELECT *, max(CASE WHEN regexp_matches(text, '\S') THEN line ELSE 0 END) OVER (PARTITION BY blob ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM l),
+k AS (SELECT blob, n, coalesce(last, 0) + 1 AS s, regexp_extract(text, '^\s*{S.MARKER}', 1) AS symbol FROM b WHERE regexp_matches(text, '^\s*{S.MARKER}')),
+r AS (SELECT blob, s, coalesce(lead(s) OVER (PARTITION BY blob ORDER BY s) - 1, n) AS e, symbol FROM k
+  UNION ALL SELECT blob, 1, len(p), 'file' FROM q WHERE blob NOT IN (SELECT blob FROM k)),
+c0 AS (SELECT blob, unnest(range(s, greatest(s, e) + 1, 80)) AS f, e, symbol FROM r),
+c AS (SELECT blob, f::INT AS start_line, least(f + 79, e)::INT AS end_line, CASE WHEN symbol = 'file' THEN 'file' ELSE 'symbol' END AS kind, symbol FROM c0)"""
 _COS = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
-_VECTORS = f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
-v AS (SELECT vec_id, label, round(50 + 50 * {_COS.format(a="embedding", b="q")} / (sqrt({_COS.format(a="embedding", b="embedding")}) * sqrt({_COS.format(a="q", b="q")})), 3) AS score FROM embeddings, q WHERE embedding IS NOT NULL)"""
+_VECTORS = f"""q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL),
+v AS (SELECT query_id, vec_id, label, round(50 + 50 * {_COS.format(a="embedding", b="q")} / (sqrt({_COS.format(a="embedding", b="embedding")}) * sqrt({_COS.format(a="q", b="q")})), 3) AS score FROM embeddings, q WHERE embedding IS NOT NULL)"""
+_HASHED = r"""
+w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS word FROM t),
+h AS (SELECT id, sha256(word) AS h FROM w),
+m AS (SELECT id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS place, CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign FROM h),
+p AS (SELECT id, place, sum(sign) AS s FROM m GROUP BY ALL),
+vec AS (SELECT id, place, round(s / sqrt(sum(s * s) OVER (PARTITION BY id)), 7) AS value FROM p)"""
+_CACHED = f"""
+last AS (SELECT cache_key, vector_json FROM embedding_cache WHERE pack_id = '{PACK}' AND dimension = 64 AND cache_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY last_used_at DESC NULLS LAST, created_at DESC NULLS LAST, vector_json DESC NULLS LAST) = 1),
+hit AS (SELECT cache_key, TRY_CAST(vector_json AS DOUBLE[]) AS v FROM last WHERE len(TRY_CAST(vector_json AS DOUBLE[])) = 64 AND len(list_filter(TRY_CAST(vector_json AS DOUBLE[]), lambda x: isfinite(x))) = 64),
+t AS (SELECT cache_key AS id, NULL::VARCHAR AS text FROM last WHERE cache_key NOT IN (SELECT cache_key FROM hit) UNION ALL SELECT chunk_id, min(card) FROM chunks WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT cache_key FROM hit) GROUP BY 1)"""
 _EVAL = """
 rows AS (SELECT request_id AS "case", repo || ':' || path AS item, kind, score, line FROM raw_candidates WHERE score IS NOT NULL AND NOT isnan(score)),
 b AS (SELECT "case", item, line, max(score) AS score FROM rows WHERE kind = 'code' GROUP BY ALL),
@@ -360,6 +471,25 @@ m AS (SELECT need."case" AS "case", expected, coalesce(returned, 0) AS returned,
   coalesce(dcg, 0.0) / list_sum(list_transform(range(1, least(expected, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, CASE WHEN returned > 0 THEN found / returned END AS precision
   FROM need LEFT JOIN got ON need."case" = got."case")"""
 
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY repo ORDER BY path, line) <= 100"
+_OF = lambda form: form.replace("{name}", "compactHeader")
+_RETRIEVED = rf"""{CORPUS},
+s1 AS (SELECT repo, path, line, text, 'code' AS kind, 95.0 AS score, ['fts'] AS found_by FROM lines WHERE contains(text, 'requireNonNull') AND repo IN ('tide-ledger', 'harbor-core') {_FIRST}),
+s2l AS (SELECT repo, path, line, text, 'code' AS kind, 95.0 AS score, ['fts'] AS found_by FROM lines WHERE contains(text, 'logger.(debug|info)') {_FIRST}),
+s2 AS (SELECT * FROM s2l UNION ALL SELECT * FROM (SELECT repo, path, line, text, 'code', 80.0, ['regex'] FROM lines WHERE regexp_matches(text, 'logger.(debug|info)') {_FIRST}) WHERE NOT EXISTS (SELECT 1 FROM s2l)),
+p0 AS (SELECT DISTINCT repo, path, CASE WHEN lower(path) = 'ledger' OR lower(string_split(path, '/')[-1]) = 'ledger' OR regexp_replace(lower(string_split(path, '/')[-1]), '(.)\.[^.]*$', '\1') = 'ledger' THEN 100.0 ELSE 95.0 END AS score FROM corpus WHERE contains(lower(path), 'ledger')),
+p1 AS (SELECT repo, path, 1 AS line, path AS text, 'verified path' AS kind, score, ['path'] AS found_by FROM p0 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, length(path), path) <= 12),
+d0 AS (SELECT repo, path, line, text, 'definition' AS kind, 100.0 AS score, ['symbol'] AS found_by FROM lines WHERE contains(text, 'compactHeader') AND regexp_matches(text, '{_OF(L.DECLARATION)}') {_FIRST}),
+d1 AS (SELECT * FROM d0 UNION ALL SELECT * FROM (SELECT repo, path, line, text, 'symbol reference', 60.0, ['symbol'] FROM lines WHERE regexp_matches(text, '\bcompactHeader\b') {_FIRST}) WHERE NOT EXISTS (SELECT 1 FROM d0)),
+traced AS (SELECT repo, path, line, text, CASE WHEN regexp_matches(text, '{_OF(L.DEFINED)}') THEN 'definition' ELSE 'caller' END AS kind, CASE WHEN regexp_matches(text, '{_OF(L.DEFINED)}') THEN 100.0 ELSE 96.0 END AS score, ['trace'] AS found_by
+  FROM (SELECT * FROM lines WHERE regexp_matches(text, '\bcompactHeader\s*\(') {_FIRST})),
+cnt AS (SELECT e.*, coalesce((length(content) - length(replace(content, 'OPS-203', ''))) // 7, 0) AS n FROM entries e LEFT JOIN stored USING (blob) WHERE blob IS NOT NULL),
+was AS (SELECT *, lag(n) OVER (PARTITION BY repo, path ORDER BY snapshot) AS was FROM cnt),
+chg AS (SELECT repo, path, max(snapshot) AS changed FROM was WHERE was IS NOT NULL AND n <> was GROUP BY ALL),
+few AS (SELECT c.repo, c.path FROM chg c JOIN corpus USING (repo, path) ORDER BY changed DESC, c.repo, c.path LIMIT 20),
+hist AS (SELECT few.repo, few.path, coalesce(min(l.line), 1)::INT AS line, coalesce(arg_min(l.text, l.line), '') AS text, 'history' AS kind, 50.0 AS score, ['history'] AS found_by FROM few LEFT JOIN lines l ON l.repo = few.repo AND l.path = few.path AND contains(l.text, 'OPS-203') GROUP BY ALL),
+hits AS (SELECT repo, path, line, text, kind, score::DOUBLE AS score, found_by FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM traced UNION ALL SELECT * FROM hist)),{FUSED}"""
+
 ORACLE = {
     "blob_dedup": f"WITH {CORPUS} SELECT blob, length(content)::INT AS chars, sha256(content) AS digest FROM stored",
     "missing_blobs": f"WITH {CORPUS} SELECT DISTINCT blob FROM entries WHERE snapshot = 4 AND blob IS NOT NULL AND blob NOT IN (SELECT blob FROM stored)",
@@ -378,16 +508,25 @@ SELECT repo, snapshot, snapshot <> 1 AND n > 2 AS removable FROM k""",
 FROM (SELECT DISTINCT chunk_id, blob_sha, start_line, symbol FROM chunks)""",
     "config_values": f"WITH {_PROPS} SELECT repo, key, value, path, line FROM props",
     "config_resolve": f"""WITH {_PROPS} SELECT repo, key AS name, CASE WHEN length(value) % 2 = 0 THEN value ELSE 'fallback' END AS value FROM props""",
-    "kafka_producers": rf"""WITH {CORPUS} SELECT DISTINCT repo, 'kafka-producer' AS kind, regexp_extract(text, '\b(\w*[Kk]afka\w*|streamBridge)\.send\s*\(\s*["'']([^"'']+)["'']', 2) AS key, path, line
-FROM lines WHERE regexp_matches(path, '\.(java|kt|kts)$') AND regexp_matches(text, '\b(\w*[Kk]afka\w*|streamBridge)\.send\s*\(\s*["'']([^"'']+)["'']')""",
+    "yaml_values": f"WITH RECURSIVE {_YAML} SELECT * FROM yaml",
+    "all_settings": f"WITH RECURSIVE {_YAML} SELECT * FROM settings",
+    "kafka_producers": rf"""WITH RECURSIVE {_YAML}, {_CONST},
+sends AS (SELECT repo, path, line, regexp_replace(unnest(regexp_extract_all(text, '{_SQL(R.SENDERS["KafkaTemplate.send"])}')), '(?s)^[^(]*\(\s*', '') AS raw, 'KafkaTemplate.send' AS detail FROM lines WHERE regexp_matches(path, '\.(java|kt|kts)$')
+  UNION ALL SELECT repo, path, line, regexp_replace(unnest(regexp_extract_all(text, '{_SQL(R.SENDERS["StreamBridge.send"])}')), '(?s)^[^(]*\(\s*', ''), 'StreamBridge.send' FROM lines WHERE regexp_matches(path, '\.(java|kt|kts)$')),
+named AS (SELECT s.repo, s.path, s.line, s.detail, coalesce(c.value, trim(raw, {_MARKS})) AS k FROM sends s LEFT JOIN const c ON c.repo = s.repo AND c.path = s.path AND c.name = trim(raw, {_MARKS})),
+f AS (SELECT DISTINCT repo, path, line, detail, {_RESOLVED.format(v="named.k", t="named")} AS key FROM named)
+SELECT repo, 'kafka-producer' AS kind, key, path, line, detail FROM f WHERE key <> '' AND key NOT LIKE '${{%'""",
     "maven_dependencies": f"WITH {_MAVEN} SELECT repo, kind, key, path FROM facts",
     "dependency_edges": f"WITH {_EDGES} SELECT source, target, key FROM edges",
-    "relationship_slice": f"""WITH {_EDGES}, s AS (SELECT *, 100 * ((regexp_matches(source, '^[a-d]'))::INT + (regexp_matches(target, '^[a-d]'))::INT)
+    "relationship_slice": f"""WITH {_EDGES}, s AS (SELECT *, 100 * (regexp_matches(source, '^[a-d]') OR regexp_matches(target, '^[a-d]'))::INT
   + 10 * (contains(lower(source || ' ' || target || ' MAVEN ' || key), 'ledger')::INT + contains(lower(source || ' ' || target || ' MAVEN ' || key), 'harbor')::INT) AS score FROM edges)
 SELECT source, target, key, score FROM s WHERE score > 0 ORDER BY score DESC, source, target, key LIMIT 12""",
     "workflow_paths": """WITH RECURSIVE e AS (SELECT r_name AS s, n_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 w AS (SELECT [s, t] AS p, t AS last FROM e UNION ALL SELECT list_append(w.p, e.t), e.t FROM w JOIN e ON w.last = e.s WHERE NOT list_contains(w.p, e.t))
 SELECT DISTINCT array_to_string(p, '>') AS path FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.s = w.last AND NOT list_contains(w.p, e.t))""",
+    "workflow_chain": """WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_name AS name FROM nation), e AS (SELECT a.k, a.name AS s, b.name AS t FROM n a JOIN n b ON b.k = a.k + 1),
+w AS (SELECT s || ' --' || k || '--> ' || t AS p, k FROM e UNION ALL SELECT p || ' --' || e.k || '--> ' || e.t, e.k FROM w JOIN e ON e.k = w.k + 1)
+SELECT p AS path FROM w WHERE k = (SELECT max(k) FROM e)""",
     "route_normalize": r"""WITH r AS (SELECT DISTINCT chunk_id, '///' || regexp_replace(path, 'mod-(\d+)', '{mod\1}', 'g') || '/' AS r FROM chunks)
 SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(r, '\{[^}]*\}', '{}', 'g'), '/+', '/', 'g'), '/$', '') AS route FROM r""",
     "annotation_extract": rf"""WITH {CORPUS}, a AS (SELECT repo, path, unnest(regexp_extract_all(content, '@Value\s*\(([^()\n]*)\)', 1)) AS body FROM corpus)
@@ -395,7 +534,9 @@ SELECT DISTINCT repo, path, CASE WHEN regexp_matches(body, '\bvalue\s*=\s*["''](
     "service_names": f"SELECT name, {_SERVICE.format(n='name')} AS service, 'x-y-' || name AS safe FROM repositories",
     "ticket_extract_group": f"""WITH t AS (SELECT doc_id, source, unnest({_TICKETS.format(t="text")}) AS id FROM documents WHERE text IS NOT NULL)
 SELECT id, count(*) AS documents, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM t GROUP BY 1""",
-    "ticket_cases": f"WITH {_CASES} SELECT ticket, latest_date, repos, paths, tests, configs, commits, array_to_string(terms, ' ') AS terms FROM cases",
+    "ticket_cases": f"WITH {_CASES} SELECT ticket, latest_date, repos, paths, tests, configs, commits, array_to_string(terms, ' ') AS terms, told FROM cases",
+    "commit_log": f"""WITH {_CASES}, t AS (SELECT repo, doc_id, date, subject, list_sort({_TICKETS.format(t="subject")}) AS tickets FROM docs)
+SELECT repo, doc_id::VARCHAR AS sha, date, subject, array_to_string(tickets, ',') AS tickets, '[{{"status":"M","path":"src/test/' || doc_id || '.java"}},{{"status":"R100","path":"conf/' || doc_id || '.yaml"}}]' AS changes FROM t WHERE len(tickets) > 0""",
     "similar_cases": f"""WITH {_CASES}, q AS (SELECT {_terms(f"'{ASK}'")} AS q),
 s AS (SELECT ticket, latest_date, (CASE WHEN ticket = 'OPS-203' THEN 1000 ELSE 0 END + coalesce(list_sum(list_transform(list_intersect(terms, q), lambda t: least(12, length(t)))), 0))::INT AS score FROM cases, q)
 SELECT ticket, score FROM s WHERE score > 0 ORDER BY score DESC, latest_date DESC NULLS LAST, ticket DESC LIMIT 5""",
@@ -403,30 +544,33 @@ SELECT ticket, score FROM s WHERE score > 0 ORDER BY score DESC, latest_date DES
     "term_overlap_similarity": f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_terms("text")}) AS term FROM documents WHERE text IS NOT NULL),
 s AS (SELECT a.doc_id AS asked, b.doc_id, sum(least(12, length(a.term)))::BIGINT AS score FROM t a JOIN t b USING (term) WHERE a.doc_id % 100 = 0 GROUP BY ALL)
 SELECT asked, doc_id, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id DESC) <= 5""",
-    "redaction": rf"""WITH {CORPUS},
-r1 AS (SELECT blob, regexp_replace(content, '(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----', '[REDACTED PRIVATE KEY]', 'g') AS t FROM stored),
-r2 AS (SELECT blob, regexp_replace(t, '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b', '[REDACTED AWS ACCESS KEY]', 'g') AS t FROM r1),
-r3 AS (SELECT blob, regexp_replace(t, '\b(?:gh[pousr]_[A-Za-z0-9]{{20,}}|glpat-[A-Za-z0-9_-]{{20,}})\b', '[REDACTED TOKEN]', 'g') AS t FROM r2),
-r4 AS (SELECT blob, regexp_replace(t, '\b(?:xox[baprs]-[A-Za-z0-9-]{{20,}})\b', '[REDACTED TOKEN]', 'g') AS t FROM r3),
-r5 AS (SELECT blob, regexp_replace(t, '\beyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\b', '[REDACTED JWT]', 'g') AS t FROM r4),
-r6 AS (SELECT blob, regexp_replace(t, '(?i)(authorization\s*[:=]\s*(?:bearer|basic)\s+)\S+', '\1[REDACTED]', 'g') AS t FROM r5),
-r7 AS (SELECT blob, regexp_replace(t, '(?i)(https?://[^:/\s]+:)[^@\s]+@', '\1[REDACTED]@', 'g') AS t FROM r6),
-r8 AS (SELECT blob, regexp_replace(t, '(?i)([?&](?:api[-_]?key|password|secret|token)=)[^&\s]+', '\1[REDACTED]', 'g') AS t FROM r7),
-r9 AS (SELECT blob, regexp_replace(t, '(?im)^([+\- ]?[^\n]*(?:api[-_.]?key|client[-_.]?secret|credential|password|secret|token)[^:=\n]*[ \t]*[:=][ \t]*)([^\n]+)$', '\1[REDACTED]', 'g') AS t FROM r8)
-SELECT blob, md5(t) AS digest FROM r9""",
-    "chunk_lines": rf"""WITH {CORPUS},
-q0 AS (SELECT blob, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) AS p FROM stored),
-q AS (SELECT blob, CASE WHEN p[len(p)] = '' THEN list_slice(p, 1, len(p) - 1) ELSE p END AS p FROM q0),
-l AS (SELECT blob, len(p) AS n, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS text FROM q WHERE len(p) > 0),
-k AS (SELECT blob, n, line AS s, regexp_extract(text, '{S.MARKER}', 1) AS symbol FROM l WHERE regexp_matches(text, '{S.MARKER}')),
-r AS (SELECT blob, s, coalesce(lead(s) OVER (PARTITION BY blob ORDER BY s) - 1, n) AS e, 'symbol' AS kind, symbol FROM k
-  UNION ALL SELECT blob, 1, len(p), 'file', 'file' FROM q WHERE len(p) > 0 AND blob NOT IN (SELECT blob FROM k)),
-c AS (SELECT blob, unnest(range(s, greatest(s, e) + 1, 80)) AS f, e, kind, symbol FROM r)
-SELECT blob, f::INT AS start_line, least(f + 79, e)::INT AS end_line, kind, symbol FROM c""",
-    "pickaxe_history": """SELECT coalesce(repo, '') AS repo, doc_id::VARCHAR AS sha, strftime(created_at, '%Y-%m-%d') AS date, 'count' AS how FROM documents
-WHERE contains(text, 'CONTEXT_REQUEST:') ORDER BY date DESC, coalesce(repo, ''), doc_id::VARCHAR LIMIT 20""",
-    "vector_topk": f"{_VECTORS} SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 40",
-    "vector_topk_per_label": f"{_VECTORS} SELECT vec_id, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id)::INT AS rank FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5",
+    "redaction": f"WITH {CORPUS} SELECT blob, md5({_redact('content')}) AS digest FROM stored",
+    "chunk_lines": f"WITH {_CHUNKS} SELECT * FROM c",
+    "chunk_cards": rf"""WITH {_CHUNKS},
+code AS (SELECT c.*, coalesce(array_to_string(list_slice(p, start_line, end_line), chr(10)), '') AS full_code FROM c JOIN q USING (blob)),
+capped AS (SELECT *, CASE WHEN length(full_code) > 2048 THEN substr(full_code, 1, 2048) || chr(10) || '[semantic card code capped]' ELSE full_code END AS code FROM code)
+SELECT sha256(concat_ws(chr(0), blob, '1', start_line, end_line, symbol, '80', '2048', '1')) AS chunk_id, blob, start_line, end_line, symbol,
+  md5(concat_ws(chr(10), 'Repository: r', 'Path: ' || blob || '.kt', 'Language: Kotlin', 'Kind: ' || kind, 'Symbol: ' || symbol,
+    'Identifiers: ' || substr(array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*'))), 1, 40), ' '), 1, 256), 'Code:', code)) AS card FROM capped""",
+    "pickaxe_history": rf"""WITH {CORPUS}, days AS (SELECT snapshot, strftime(max(delivered_at), '%Y-%m-%d') AS date FROM files GROUP BY 1),
+ch AS (SELECT coalesce(a.s, b.s)::INT AS snapshot, coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path, a.blob AS old, b.blob AS new
+  FROM (SELECT snapshot + 1 AS s, * FROM entries WHERE snapshot < 4) a FULL JOIN (SELECT snapshot AS s, * FROM entries WHERE snapshot > 1) b ON a.s = b.s AND a.repo = b.repo AND a.path = b.path
+  WHERE a.path IS NULL OR b.path IS NULL OR a.blob IS DISTINCT FROM b.blob),
+d AS (SELECT repo, snapshot || ':' || path AS sha, date, path, coalesce(n.content, '') AS added, coalesce(o.content, '') AS removed FROM ch JOIN days USING (snapshot) LEFT JOIN stored n ON n.blob = ch.new LEFT JOIN stored o ON o.blob = ch.old),
+h AS (SELECT *, CASE WHEN length(added) - length(replace(added, 'this.', '')) <> length(removed) - length(replace(removed, 'this.', '')) THEN 'count' ELSE 'line' END AS how FROM d WHERE contains(added, 'this.') OR contains(removed, 'this.')),
+g AS (SELECT *, min(how) OVER (PARTITION BY repo) AS best FROM h)
+SELECT repo, sha, date, path, how FROM g WHERE how = best QUALIFY row_number() OVER (PARTITION BY repo ORDER BY date DESC, sha) <= 20""",
+    "vector_topk": f"WITH {_VECTORS} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM v QUALIFY rank <= 40",
+    "vector_topk_per_label": f"WITH {_VECTORS} SELECT query_id, label, vec_id, score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id)::INT AS rank FROM v QUALIFY rank <= 5",
+    "hashed_embedding": f"WITH t AS (SELECT request_id AS id, objective AS text FROM requests), {_HASHED} SELECT id AS request_id, place::INT AS place, value FROM vec WHERE value <> 0",
+    "cached_embedding": f"""WITH {_CACHED}, {_HASHED},
+made AS (SELECT id AS cache_key, round(sum(value * value), 4) AS norm, max(CASE WHEN place = 3 THEN value ELSE 0 END) + min(CASE WHEN place = 3 THEN value ELSE 0 END) AS fourth FROM vec GROUP BY 1)
+SELECT cache_key, true AS from_cache, round(list_sum(list_transform(v, lambda x: x * x)), 4) AS norm, v[4] AS fourth FROM hit
+UNION ALL SELECT id, false, coalesce(norm, 0.0), coalesce(fourth, 0.0) FROM t LEFT JOIN made ON made.cache_key = t.id""",
+    "cache_after_use": f"""WITH {_CACHED},
+old AS (SELECT cache_key, pack_id, CASE WHEN pack_id = '{PACK}' AND dimension = 64 AND cache_key IN (SELECT cache_key FROM hit) THEN TIMESTAMP '2030-01-01' ELSE last_used_at END AS used FROM embedding_cache),
+every AS (SELECT * FROM old UNION ALL SELECT id, '{PACK}', TIMESTAMP '2030-01-01' FROM t)
+SELECT cache_key, pack_id, strftime(used, '%Y-%m-%d') AS day FROM every ORDER BY used DESC NULLS LAST, cache_key LIMIT 700""",
     "latency_percentiles": "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY 1",
     "latest_per_event": "SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
     "payload_timings": """WITH p AS (SELECT event_type || '.k' AS name, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events)
@@ -446,7 +590,33 @@ WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
 SELECT request_id, bool_or(NOT t AND NOT c) AS production_source, bool_or(t) AS tests, bool_or(c) AS configuration FROM c GROUP BY 1""",
     "reply_classify": """SELECT doc_id, CASE WHEN contains(coalesce(text, ''), 'FINAL_SOLUTION:') AND NOT contains(string_split(text, 'FINAL_SOLUTION:')[-1], 'CONTEXT_REQUEST:') THEN 'final'
   WHEN contains(coalesce(text, ''), 'CONTEXT_REQUEST:') THEN 'request' ELSE 'conversation' END AS kind FROM documents""",
-    "plan_explain": """SELECT * FROM (VALUES (1, 0, 1, 'callers', 'Keel.compactHeader', ''), (2, 0, 1, 'definition', 'Keel.compactHeader', ''), (3, 0, 1, 'path', 'ledger', ''),
-(4, 1, 2, 'search', 'requireNonNull', 'tide-ledger,harbor-core'), (5, 3, 4, 'history', 'OPS-203', ''), (6, 4, 2, 'search', 'logger.(debug|info)', '')) t(step, tier, cost, kind, value, repos)""",
+    "plan_explain": """SELECT * FROM (VALUES (1, 0, 0, 'file', 'harbor-core:platform/shared/src/main/java/dev/keelworks/Anchors.java', 'harbor-core'), (2, 0, 1, 'callees', 'Keel.compactHeader', ''), (3, 0, 1, 'callers', 'Keel.compactHeader', ''),
+(4, 0, 1, 'definition', 'Keel.compactHeader', ''), (5, 0, 1, 'path', 'ledger', ''), (6, 1, 2, 'search', 'requireNonNull', 'tide-ledger,harbor-core'), (7, 3, 4, 'history', 'OPS-203', ''), (8, 4, 2, 'search', 'logger.(debug|info)', '')) t(step, tier, cost, kind, value, repos)""",
+    "stream_refresh": f"WITH {CORPUS}, e AS (SELECT *, lag(blob) OVER (PARTITION BY repo, path ORDER BY snapshot) AS before FROM entries WHERE blob IS NOT NULL) SELECT snapshot, repo, path, blob FROM e WHERE blob IS DISTINCT FROM before",
+    "stream_sessions": """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 ORDER BY event_id) > 1 AS dup, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS new FROM events),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r)
+SELECT user_id::VARCHAR AS ticket, event_id::INT AS number, new::INT AS new_evidence, sum((NOT dup AND NOT new)::INT) OVER (PARTITION BY user_id, run ORDER BY event_id)::INT AS no_progress, dup AS duplicate FROM g""",
+    "retrieve_context": f"""WITH RECURSIVE {_RETRIEVED}, {regions(150)},
+ranked AS (SELECT * FROM regions ORDER BY score DESC, repo, path, line LIMIT 500),
+a AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY score DESC, repo, path, line) AS x FROM ranked),
+b AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, repo, path, line) AS y FROM a WHERE x <= 2),
+chosen AS (SELECT * FROM b WHERE y <= 8 ORDER BY score DESC, repo, path, line LIMIT 18),
+iv AS (SELECT repo, path, CASE WHEN len(p) <= 350 THEN 1 ELSE greatest(1, line - 75) END AS s, CASE WHEN len(p) <= 350 THEN len(p) ELSE least(len(p), line + 75) END AS e, array_to_string(kinds, ', ') AS kind, score, found_by FROM chosen JOIN parts USING (repo, path)
+  UNION ALL SELECT repo, path, 5, least(30, len(p)), 'requested file', 100.0, ['file'] FROM parts WHERE repo = 'harbor-core' AND path = 'platform/shared/src/main/java/dev/keelworks/Anchors.java'),
+o AS (SELECT *, max(e) OVER (PARTITION BY repo, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, path ORDER BY s, e) AS island FROM o),
+k AS (SELECT repo, path, island, trim(unnest(string_split(kind, ','))) AS k, unnest(range(1, len(string_split(kind, ',')) + 1)) AS pos, row_number() OVER (PARTITION BY repo, path, island ORDER BY s, e, kind) AS rn FROM i),
+k2 AS (SELECT repo, path, island, string_agg(k, ', ' ORDER BY o) AS kind FROM (SELECT repo, path, island, k, min(rn * 100 + pos) AS o FROM k GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT repo, path, island, min(s)::INT AS line_start, max(e)::INT AS line_end, max(score)::DOUBLE AS score, array_to_string(list_sort(list_distinct(flatten(list(found_by)))), ',') AS channels FROM i GROUP BY ALL)
+SELECT m.repo, m.path, line_start, line_end, kind, score, channels, md5(array_to_string(list_slice(p, line_start, line_end), chr(10))) AS content FROM m JOIN k2 USING (repo, path, island) JOIN parts USING (repo, path)""",
+    "retrieve_calls": rf"""WITH {_RETRIEVED},
+d5 AS (SELECT DISTINCT repo, path, line FROM traced WHERE kind = 'definition' ORDER BY repo, path, line LIMIT 5),
+src AS (SELECT d5.line, CASE WHEN len(p) <= 350 THEN p ELSE list_slice(p, greatest(1, line - 75), line + 75) END AS p FROM d5 JOIN parts USING (repo, path)),
+calls AS (SELECT DISTINCT callee FROM (SELECT unnest(regexp_extract_all(array_to_string(p, chr(10)), '{L.CALL}', 1)) AS callee FROM src) WHERE string_split(callee, '.')[-1] NOT IN ({", ".join(repr(w) for w in [*L.NO_CALLS, "compactHeader"])}) ORDER BY callee LIMIT 80),
+found AS (SELECT 'search:requireNonNull' AS a FROM s1 UNION SELECT 'search:logger.(debug|info)' FROM s2 UNION SELECT 'path:ledger' FROM p1 UNION SELECT 'definition:Keel.compactHeader' FROM d1 UNION SELECT 'callers:Keel.compactHeader' FROM traced WHERE kind = 'caller'
+  UNION SELECT 'callees:Keel.compactHeader' FROM calls UNION SELECT 'file:harbor-core:platform/shared/src/main/java/dev/keelworks/Anchors.java' FROM corpus WHERE repo = 'harbor-core' AND path = 'platform/shared/src/main/java/dev/keelworks/Anchors.java' UNION SELECT 'history:OPS-203' FROM hist)
+SELECT 'call' AS part, 'Keel.compactHeader ' || callee AS name FROM calls
+UNION ALL SELECT 'unresolved', a FROM (VALUES ('search:requireNonNull'), ('search:logger.(debug|info)'), ('path:ledger'), ('definition:Keel.compactHeader'), ('callers:Keel.compactHeader'), ('callees:Keel.compactHeader'),
+  ('file:harbor-core:platform/shared/src/main/java/dev/keelworks/Anchors.java'), ('history:OPS-203')) t(a) WHERE a NOT IN (SELECT a FROM found)""",
     "stream_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -6,9 +6,14 @@ folder in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +23,7 @@ LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -43,7 +49,9 @@ def ship(spark: SparkSession) -> None:
         return
     home = Path(__file__).resolve().parent
     if home.is_dir():
-        archive = Path(tempfile.mkdtemp(prefix="siftmark-")) / "siftmark-package.zip"
+        folder = tempfile.mkdtemp(prefix="siftmark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / "siftmark-package.zip"
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for f in sorted(home.rglob("*.py")):
                 z.write(f, f"siftmark/{f.relative_to(home)}")
@@ -52,14 +60,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder all executors share. A session without the setting is a local one: it gets a folder of its own."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    A local session without the setting gets a folder of its own, removed at its end;
+    on a cluster its absence is an error, since no machine's own folder would do.
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` where a session lives long:
+    Spark then removes what no result needs any more.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     current = spark.sparkContext.getCheckpointDir() or ""
     if named or current:
         if not current:
             spark.sparkContext.setCheckpointDir(named)
         return current or named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"siftmark-checkpoints-{os.getpid()}")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -75,17 +92,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shared_folder(spark: SparkSession, purpose: str) -> Iterator[str]:
+    """A folder of its own within the shared checkpoint folder, removed afterwards."""
+    root = f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    try:
+        yield root
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table. ``timestamp_ntz`` columns become UTC timestamps, so that watermarks accept them."""
     ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
-
-
-def fresh_name(taken: list[str], wish: str) -> str:
-    """``wish``, or ``wish`` with underscores where the input already has such a column."""
-    low = {c.lower() for c in taken}
-    while wish.lower() in low:
-        wish += "_"
-    return wish

@@ -23,6 +23,50 @@ def test_generations(spark, tmp_path):
     assert store.publish(files, blobs) == 1 and store.current() == 1
     assert store.publish(files, spark.createDataFrame([("a", "x"), ("c", "z")], "blob string, content string")) == 2
     assert sorted(r.blob for r in store.blobs().collect()) == ["a", "c"] and store.files(1).count() == 1
+    # a writer that died before its manifest leaves nothing in use
+    store._write("blobs", store.blobs())
+    assert store.current() == 2 and C.GenerationStore(spark, store.root).blobs().count() == 2
+    assert store.pack() == 3 and [r.blob for r in store.blobs().collect()] == ["a"]
+    assert store.collect_garbage(1) > 0 and store.current() == 3 and store.files().count() == 1 and [r.blob for r in store.blobs().collect()] == ["a"]
+    with pytest.raises(RuntimeError):
+        store._announce(3, {})
+
+
+def test_checkpoints_need_a_shared_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    from siftmark.runtime import checkpoint_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: ""), sparkContext=context))
+
+
+def test_newest_snapshot_is_read(spark):
+    files = spark.createDataFrame([(n, None, "r", "a", f"b{n}") for n in (1, 4, 5)], FILES)
+    assert [r.blob for r in C.snapshot_files(files).collect()] == ["b5"] and [r.blob for r in C.snapshot_files(files, 4).collect()] == ["b4"]
+    assert C.snapshot_files(files.limit(0)).count() == 0
+
+
+def test_names_of_new_repositories(spark):
+    found = spark.createDataFrame([("./x/api",), ("y/api",), ("z/api",), ("w/web app",), ("k/known",)], "path string")
+    known = spark.createDataFrame([("api", "p/api"), ("api-3", "q/api"), ("known", "k/known")], "name string, path string")
+    got = {r.path: r.name for r in C.named(found, known).collect()}
+    assert got == {"x/api": "api-4", "y/api": "api-5", "z/api": "api-6", "w/web app": "web-app"}
+
+
+def test_sources_of_version_control(spark):
+    tree = "100644 blob aaaaaaa\tsrc/A.java\x00120000 blob bbbbbbb\tlink\x00100755 blob ccccccc\tbin/run\x00160000 commit ddddddd\tsub\x00100644 blob eeeeeee\t.env\x00"
+    manifest = H.git_manifest(spark.createDataFrame([("r", tree)], "repo string, text string"))
+    assert {(r.path, r.blob) for r in manifest.collect()} == {("src/A.java", "aaaaaaa"), ("bin/run", "ccccccc"), (".env", "eeeeeee")}
+    sizes = spark.createDataFrame([("aaaaaaa blob 10\nccccccc blob 4000000\neeeeeee blob 5\nfffffff missing\n",)], "text string")
+    none = spark.createDataFrame([], "blob string")
+    assert [(r.blob, r.size) for r in H.fetchable(manifest, sizes, none).collect()] == [("aaaaaaa", 10)]
+    assert H.fetchable(manifest, sizes, spark.createDataFrame([("AAAAAAA",)], "blob string")).count() == 0
+    refs = spark.createDataFrame([("a", "main", "1", None, True), ("a", "release", "2", None, False), ("b", "main", "3", "dev", True), ("b", "dev", "4", "dev", False), ("c", "x", "5", None, True), ("d", "y", "6", None, False)], "repo string, ref string, sha string, branch string, is_default boolean")
+    assert {(r.repo, r.ref) for r in H.chosen_refs(refs, ["release", "main"]).collect()} == {("a", "release"), ("b", "dev"), ("c", "x")}
+    paths = spark.createDataFrame([("a/.git/HEAD",), ("a/b/.git",), ("c/.git",), ("node_modules/d/.git",), ("e/f",)], "path string")
+    assert sorted(r.path for r in H.repository_roots(paths).collect()) == ["a", "c"]
 
 
 def test_cleaning(spark):
@@ -34,9 +78,15 @@ def test_cleaning(spark):
 
 
 def test_history(spark):
-    log = "\x1e".join(["", "s1\x1f2025-01-02\x1fIPF-101 Extend transaction cache expiry\x1fM\tsrc/CachePolicy.java\nA\tsrc/test/CachePolicyTest.java\nR100\told.txt\tconf/app.properties", "s2\x1f2025-01-03\x1fno ticket\x1f"])
-    other = "\x1es9\x1f2025-02-01\x1fIPF-101 Worker side of the cache\x1f"
+    log = "\x1e".join(["", "s1\x1f2025-01-02\x1fIPF-101 Extend transaction cache expiry token=abc\n\nM\tsrc/CachePolicy.java\nA\tsrc/test/CachePolicyTest.java\nR100\told.txt\tconf/app.properties\nnot a change\tx\n", "s2\x1f2025-01-03\x1fno ticket\n", "s3\x1fbroken IPF-9\n"])
+    other = "\x1es9\x1f2025-02-01\x1fIPF-101 Worker side of the cache"
     commits = H.parse_log(spark.createDataFrame([("cache-api", log), ("cache-worker", other)], "repo string, text string"))
+    first = commits.where("sha = 's1'").first()
+    assert first.subject == "IPF-101 Extend transaction cache expiry token=[REDACTED]" and [tuple(c) for c in first.changes] == [("M", "src/CachePolicy.java"), ("A", "src/test/CachePolicyTest.java"), ("R100", "conf/app.properties")]
+    again = H.with_new_commits(commits, commits.where("sha = 's1'").withColumn("subject", F.lit("new")), 1)
+    assert {(r.repo, r.sha, r.subject) for r in again.collect()} == {("cache-api", "s1", "new"), ("cache-worker", "s9", "IPF-101 Worker side of the cache")}
+    told = H.cases(commits, spark.createDataFrame([("IPF-101", "Slow vouchers", None)], "ticket string, ticket_text string, knowledge_text string")).first()
+    assert {"slow", "vouchers", "policy"} <= set(told.terms) and told.ticket_excerpt == "Slow vouchers" and told.knowledge_excerpt == ""
     case = H.cases(commits).collect()
     assert len(case) == 1 and case[0].repos == ["cache-api", "cache-worker"] and case[0].latest_date == "2025-02-01"
     assert case[0].test_paths == ["cache-api:src/test/CachePolicyTest.java"] and case[0].config_paths == ["cache-api:conf/app.properties"]
@@ -48,7 +98,10 @@ def test_history(spark):
     patches = spark.createDataFrame([("T", 1, "aaaa"), ("T", 2, "bbbb"), ("T", 3, "cc")], "ticket string, n int, text string")
     assert [r.excerpt for r in H.patch_excerpts(patches, 6, ["n"]).orderBy("n").collect()] == ["aaaa", "bb"]
     diffs = spark.createDataFrame([("r", "1", "d", "x.y", ""), ("r", "2", "d", "x.y", "x.y")], "repo string, sha string, date string, added string, removed string")
-    assert [r.sha for r in H.pickaxe(diffs, "x.y").collect()] == ["1"] and H.pickaxe(diffs, "x[.]y").count() == 2
+    assert [r.sha for r in H.pickaxe(diffs, "x.y").collect()] == ["1"] and H.pickaxe(diffs, "x[.]y").count() == 0
+    assert [r.sha for r in H.pickaxe(diffs.where("sha = '2'"), "x.y").collect()] == ["2"] and H.pickaxe(diffs, "\\E(").count() == 0
+    secret = spark.createDataFrame([("T", 1, "src/a.py", "x"), ("T", 2, ".npmrc", "y"), ("T", 3, "my-secret.txt", "z")], "ticket string, n int, path string, text string")
+    assert [r.excerpt for r in H.patch_excerpts(secret, 60, ["n"]).collect()] == ["x"]
 
 
 def test_measures(spark):
@@ -63,6 +116,11 @@ def test_measures(spark):
     e = spark.createDataFrame([("x", v) for v in (1.0, 2.0, 3.0, 4.0, None)], "event string, v double")
     row = M.percentiles(e, "event", "v").first()
     assert (row.n, row.p50, row.p95, row.max) == (4, 2.0, 4.0, 4.0)
+    many = spark.range(20_000).select((F.col("id") % 3).cast("string").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(5000)) / 7).alias("v"))
+    want = {r.g: (r.p50, r.p95, r.max) for r in many.groupBy("g").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("p95"), F.max("v").alias("max")).collect()}
+    for ranges in (2, 16, 256):
+        assert {r.g: (r.p50, r.p95, r.max) for r in M.percentiles(many, "g", "v", ranges=ranges).collect()} == want
+    assert M.percentiles(e.limit(0), "event", "v").count() == 0
     t = M.timings(spark.createDataFrame([("e", '{"a_ms": 3, "b": 1, "c_ms": "x"}'), ("e", "broken")], "event string, p string"), "p")
     assert [(r.metric, r.value) for r in t.collect()] == [("a_ms", 3.0)]
     rounds = spark.createDataFrame([("t", i, n) for i, n in enumerate([0, 2, 0, 0, 1, 0])], "s string, i int, n int")
@@ -94,7 +152,17 @@ def test_chunks_and_vectors(spark):
     code = "import x\n" + "def a():\n" + "  pass\n" * 100 + "class B:\n  y = 1\n"
     texts = spark.createDataFrame([("m", code), ("p", "z\n" * 200), ("e", "")], "blob string, content string")
     got = {(r.blob, r.start_line, r.end_line, r.symbol) for r in S.chunk_source(texts).collect()}
-    assert got == {("m", 2, 81, "a"), ("m", 82, 102, "a"), ("m", 103, 104, "B"), ("p", 1, 80, "file"), ("p", 81, 160, "file"), ("p", 161, 200, "file")}
+    assert got == {("m", 2, 81, "a"), ("m", 82, 102, "a"), ("m", 103, 104, "B"), ("p", 1, 80, "file"), ("p", 81, 160, "file"), ("p", 161, 200, "file"), ("e", 1, 0, "file")}
+    quirks = spark.createDataFrame([("q", "x\n\n  \nclass A\npublic class B\r\nclass C {}")], "blob string, content string")
+    assert {(r.start_line, r.end_line, r.symbol, r.kind) for r in S.chunk_source(quirks).collect()} == {(2, 5, "A", "symbol"), (6, 6, "C", "symbol")}
+    card = S.cards(S.with_code(S.chunk_source(quirks), quirks).withColumn("repo", F.lit("r")).withColumn("path", F.lit("a.py"))).where("symbol = 'A'").first()
+    assert card.card == "Repository: r\nPath: a.py\nLanguage: Python\nKind: symbol\nSymbol: A\nIdentifiers: A B class public\nCode:\n\n  \nclass A\npublic class B"
+    import hashlib
+
+    assert card.chunk_id == hashlib.sha256(b"q\x001\x002\x005\x00A\x0080\x002048\x001").hexdigest()
+    word = hashlib.sha256(b"alpha").digest()
+    one = spark.createDataFrame([("Alpha",)], "t string").select(S.hashed_vector(F.col("t"), 8).alias("v")).first().v
+    assert one[int.from_bytes(word[:4], "big") % 8] == (1.0 if word[4] & 1 else -1.0) and sum(map(abs, one)) == 1.0
     assert S.next_fit([2500, 2500, 1500, 1500]) == [[0], [1, 2], [3]] and S.next_fit([]) == []
     rows = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "alpha beta")], "id int, t string")
     v = {r.id: r.vector for r in S.embed(rows, "t", 8).collect()}
@@ -102,7 +170,9 @@ def test_chunks_and_vectors(spark):
     cache = spark.createDataFrame([(1, [9.0])], "id int, vector array<double>")
     assert {r.id: r.vector for r in S.with_cached(rows, cache, "id", "t", 8).collect()}[1] == [9.0]
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, None)], "vec_id int, embedding array<float>")
-    assert [(r.vec_id, r.score) for r in S.vector_top(vectors, [1.0, 0.0], 3).collect()] == [(1, 100.0), (3, 85.355), (2, 50.0)]
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id int, embedding array<float>")
+    assert [(r.query_id, r.vec_id, r.score, r.rank) for r in S.vector_top(vectors, asked, 3).orderBy("rank").collect()] == [(7, 1, 100.0, 1), (7, 3, 85.355, 2), (7, 2, 50.0, 3)]
+    assert S.vector_top(vectors, asked.limit(0), 3).count() == 0 and S.vector_top(vectors.limit(0), asked, 3).count() == 0
 
 
 def test_streams(spark, tmp_path):
@@ -148,7 +218,7 @@ def test_engine_runs_files_and_history_and_reports_the_rest(spark):
     text = "history:\n  - query: OPS-203\n  - query: OPS-999\nfiles:\n  - path: d.py\n    repo: r\nsymbols:\n  - name: main\n    include: [callees]\nexpand: [C1]\n"
     request = P.parse_request(text)
     hits = {(r.asked, r.path, r.line) for r in engine.candidates(request).collect()}
-    assert hits == {("history:OPS-203", "a.py", 2), ("file:r:d.py", "d.py", 1)}
+    assert hits == {("history:OPS-203", "a.py", 2)}
     got = engine.retrieve(request)
-    assert {r.path for r in got["evidence"].collect()} == {"a.py", "d.py"}
+    assert {(r.path, r.kind) for r in got["evidence"].collect()} == {("a.py", "history"), ("d.py", "requested file")}
     assert sorted(r.asked for r in got["unresolved"].collect()) == ["callees:main", "expand:C1", "history:OPS-999"]
