@@ -25,9 +25,9 @@ def parse_log(logs: DataFrame, text: str = "text") -> DataFrame:
     records = logs.select("repo", F.explode(F.split(text, "\x1e")).alias("r")).select("repo", split_lines(F.regexp_replace("r", r"^\n+|\n+$", "")).alias("ls"))
     head = F.split(F.get("ls", F.lit(0)), "\x1f", 3)
     rows = records.where(F.size("ls") > 0).select("repo", "ls", head.alias("h")).where(F.size("h") == 3)
-    parts = F.filter(F.transform(F.slice("ls", F.lit(2), F.size("ls")), lambda x: F.split(x, "\t")), lambda x: (F.size(x) >= 2) & x[0].rlike("^[A-Z][0-9]*$"))
-    changes = F.slice(F.transform(parts, lambda x: F.struct(x[0].alias("status"), F.element_at(x, -1).alias("path"))), 1, MAX_CHANGES)
-    rows = rows.select("repo", F.col("h")[0].alias("sha"), F.col("h")[1].alias("date"), redacted(F.col("h")[2]).alias("subject"), changes.alias("changes"))
+    parts = F.filter(F.transform(F.slice("ls", F.lit(2), F.size("ls")), lambda x: F.split(x, "\t")), lambda x: (F.size(x) >= 2) & F.get(x, F.lit(0)).rlike("^[A-Z][0-9]*$"))
+    changes = F.slice(F.transform(parts, lambda x: F.struct(F.get(x, F.lit(0)).alias("status"), F.element_at(x, -1).alias("path"))), 1, MAX_CHANGES)
+    rows = rows.select("repo", F.get("h", F.lit(0)).alias("sha"), F.get("h", F.lit(1)).alias("date"), redacted(F.get("h", F.lit(2))).alias("subject"), changes.alias("changes"))
     return rows.withColumn("tickets", F.array_sort(ticket_ids(F.col("subject")))).where(F.size("tickets") > 0).select("repo", "sha", "date", "subject", "tickets", "changes")
 
 
