@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmark.functions.text import basename, safe_name, split_lines, suffix
 from siftmark.operators.corpus import MAX_BYTES, admitted
+from siftmark.runtime import ship
 
 
 def file_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
@@ -41,3 +46,68 @@ def snapshot_export(rows: DataFrame, root: str, repo: str, sha: str) -> str:
     target = f"{root}/repo={repo}/sha={sha}"
     rows.write.mode("ignore").parquet(target)
     return target
+
+
+# Kinds of evidence from outside, what is read as text, and the largest file.
+OUTSIDE_KINDS = ("document", "log", "note", "runtime")
+TEXT_SUFFIXES = "conf csv html htm json log md properties txt xml yaml yml".split()
+OUTSIDE_BYTES = 20 * 1024 * 1024
+
+
+def outside_evidence(spark: SparkSession, folder: str, ticket: str, kind: str = "document") -> DataFrame:
+    """(ticket, kind, path, line_start, line_end, digest, is_text, content, score) of files that somebody handed in for a ticket.
+
+    Names are safe names; larger files are left out before they are read. A file that is no
+    text by its suffix is known by name and digest, without content.
+    """
+    if kind not in OUTSIDE_KINDS:
+        raise ValueError("kind has to be one of " + ", ".join(OUTSIDE_KINDS))
+    rows = spark.read.format("binaryFile").load(folder).where(F.col("length") <= OUTSIDE_BYTES)
+    is_text = suffix(F.col("path")).isin(*TEXT_SUFFIXES)
+    content = F.when(is_text, F.try_validate_utf8(F.decode("content", "UTF-8")))
+    rows = rows.select(F.lit(ticket).alias("ticket"), F.lit(kind).alias("kind"), safe_name(basename(F.col("path"))).alias("path"), F.sha2("content", 256).alias("digest"), is_text.alias("is_text"), content.alias("content"))
+    lines = F.greatest(F.lit(1), F.size(split_lines(F.coalesce("content", F.lit("")))))
+    return rows.select("ticket", "kind", "path", F.lit(1).alias("line_start"), lines.alias("line_end"), "digest", "is_text", "content", F.lit(100.0).alias("score"))
+
+
+def flattened(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, fields): every object within a JSON payload at any depth, as a map of its plain fields to texts.
+
+    Texts that hold JSON are read too. A list as long as the nearest ``columns`` or ``cols``
+    above it, of plain values, is a row with these names. Malformed payloads give nothing.
+    The depth is not known beforehand, so this walks in Python over Arrow batches.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        def plain(v) -> str:
+            return v if isinstance(v, str) else json.dumps(v)
+
+        def load(text: str):
+            try:
+                return json.loads(text)
+            except ValueError:
+                return None
+
+        for batch in batches:
+            out = []
+            for k, text in zip(batch[key], batch[payload]):
+                todo = [(load(text), None)] if isinstance(text, str) else []
+                while todo:
+                    value, columns = todo.pop()
+                    if isinstance(value, dict):
+                        out.append((k, {n: plain(v) for n, v in value.items() if v is not None and not isinstance(v, (dict, list))}))
+                        named = value.get("columns") or value.get("cols")
+                        columns = [str(c) for c in named] if isinstance(named, list) else columns
+                        todo += [(v, columns) for v in value.values()]
+                    elif isinstance(value, list):
+                        if columns and value and len(value) == len(columns) and columns != value and not any(isinstance(v, (dict, list)) for v in value):
+                            out.append((k, {n: plain(v) for n, v in zip(columns, value) if v is not None}))
+                        todo += [(v, columns) for v in value]
+                    elif isinstance(value, str) and value[:1] in ("{", "["):
+                        todo.append((load(value), columns))
+            yield pd.DataFrame(out, columns=[key, "fields"])
+
+    ship(rows.sparkSession)
+    return rows.select(key, payload).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, fields map<string,string>")

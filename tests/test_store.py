@@ -1,5 +1,6 @@
 """The generation store, history, measures, plans, semantic parts and streams."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -222,3 +223,137 @@ def test_engine_runs_files_and_history_and_reports_the_rest(spark):
     got = engine.retrieve(request)
     assert {(r.path, r.kind) for r in got["evidence"].collect()} == {("a.py", "history"), ("d.py", "requested file")}
     assert sorted(r.asked for r in got["unresolved"].collect()) == ["callees:main", "expand:C1", "history:OPS-999"]
+
+
+def test_session_evaluation(spark):
+    shown = [("IPF-9", 1, "worker:a.java"), ("IPF-9", 2, "worker:a.java"), ("IPF-9", 3, "api:b.java"), ("X-1", 1, "api:z")]
+    sessions = spark.createDataFrame(shown, "ticket string, place int, item string")
+    cases = spark.createDataFrame([("IPF-9", ["api:b.java", "worker:t/ATest.java"], ["api", "worker"], ["worker:t/ATest.java"]), ("N-1", ["q:r"], ["q"], [])], "ticket string, paths array<string>, repos array<string>, test_paths array<string>")
+    row = M.session_evaluation(sessions, cases).collect()
+    assert [r.ticket for r in row] == ["IPF-9"]
+    row = row[0]
+    assert (row.file_recall, row.repo_recall, row.test_recall, row.mrr, row.precision, row.missed) == (0.5, 1.0, 0.0, 1 / 3, 0.5, ["worker:t/ATest.java"])
+    assert abs(row.ndcg - 0.5 / (1 + 1 / 1.584962500721156)) < 1e-9 and abs(row.duplicate_ratio - 1 / 3) < 1e-9
+    total = M.session_summary(M.session_evaluation(sessions, cases)).first()
+    assert (total.sessions, total.file_recall, total.test_recall) == (1, 0.5, 0.0)
+    assert M.session_summary(M.session_evaluation(sessions.limit(0), cases)).first().file_recall is None
+
+
+def test_golden_evaluation(spark):
+    ranked = spark.createDataFrame([("c", 1, "r:a"), ("c", 2, "r:a"), ("c", 3, "q:b"), ("c", 4, "r:x")], "case string, rank int, item string")
+    suite = spark.createDataFrame([("c", None, "q:b", "production"), ("c", None, "r:t", "tests"), ("c", None, "r:x", "excluded"), ("d", "validation", None, "required")], "case string, split string, item string, role string")
+    got = {r.case: r for r in M.golden_evaluation(ranked, suite).collect()}
+    c, d = got["c"], got["d"]
+    assert (c.split, c.file_recall_at_5, c.repo_recall_at_5, c.test_recall_at_10, c.mrr_at_10, c.precision_at_5, c.false_positives_at_10, c.duplicate_ratio) == ("holdout", 0.5, 1.0, 0.0, 0.5, 1 / 3, 1, 0.25)
+    assert d.file_recall_at_5 is None and d.mrr_at_10 is None and d.precision_at_5 is None and d.duplicate_ratio == 0
+    assert [r.case for r in M.golden_evaluation(ranked, suite, split="validation").collect()] == ["d"]
+    with pytest.raises(ValueError):
+        M.golden_evaluation(ranked, suite, split="other")
+
+
+def test_rounds_and_states(spark):
+    rounds = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3)], "session string, number int")
+    evidence = spark.createDataFrame([("s", 1, "a"), ("s", 1, "a"), ("s", 2, "a"), ("s", 2, "b")], "session string, number int, key string")
+    assert [(r.new_evidence, r.known_evidence, r.no_progress) for r in M.with_progress(rounds, evidence).orderBy("number").collect()] == [(1, 0, 0), (1, 1, 0), (0, 0, 1)]
+    calls = spark.createDataFrame([("r", "fts", 1.5, 2, None, True), ("r", "fts", 2.25, None, 3, False), ("r", "rg", 1.0, 1, 1, None)], "run string, backend string, elapsed_ms double, files int, raw_hits int, cache_hit boolean")
+    row = M.backend_counters(calls, ["run"]).first()
+    assert (row.operations, row.files_visited, row.raw_hits, row.cache_hits, row.backend_ms) == (3, 3, 4, 1, {"fts": 3.75, "rg": 1.0})
+    rows = spark.createDataFrame([("r", "a.py", "code"), ("r", "src/test/B.java", "code"), ("knowledge", "1", "knowledge"), ("r", "c", "local diff")], "repo string, path string, kind string").withColumn("g", F.lit(1))
+    flags = M.session_coverage(rows, ["g"], history=rows.limit(1)).first()
+    assert (flags.production_source, flags.tests, flags.configuration, flags.relationships, flags.git_history) == (True, True, False, False, True)
+    sources = spark.createDataFrame([("a", "1", "current", None), ("b", "2", "current", None), ("c", None, "non-git", None), ("d", "4", "fetch-failed", "x")], "name string, sha string, status string, warning string")
+    state = C.project_status(sources, spark.createDataFrame([("a", "1"), ("b", "0"), ("d", "4")], "name string, sha string")).first()
+    assert (state.repositories, state.current, state.warnings) == (4, 2, 3)
+    a, b = P.parse_request("searches:\n  - query: x\n  - query: y\n"), P.parse_request("words\nCONTEXT_REQUEST:\nsearches:\n  - query: y\n  - query: x\n")
+    assert P.signature(a) == P.signature(b) != P.signature(P.parse_request("paths:\n  - query: x\n"))
+
+
+def test_engine_with_everything_else_that_is_known(spark):
+    files = spark.createDataFrame([(1, None, "a", "src/A.java", "1"), (1, None, "b", "src/B.java", "2"), (1, None, "b", "long.py", "3")], FILES)
+    long = "".join(f"x{i} = {i}\n" for i in range(900))
+    blobs = spark.createDataFrame([("1", "class Alpha {\n  void go() { beta(1); }\n}\n"), ("2", "class B {\n  void t() { new Alpha().go(); }\n}\n"), ("3", long)], "blob string, content string")
+    documents = spark.createDataFrame([(5, "one\nAlpha is slow\n"), (6, None)], "doc_id long, text string")
+    edges = spark.createDataFrame([("a", "b", "HTTP", "GET /alpha", "a:src/A.java:2", "repository name", "high")], "source string, target string, kind string, key string, source_evidence string, target_evidence string, confidence string")
+    cases = spark.createDataFrame([("T-1", "2025-01-01", ["slow", "vouchers"])], "ticket string, latest_date string, terms array<string>")
+    semantic = spark.createDataFrame([("b", "long.py", 500, 71.5)], "repo string, path string, line int, score double")
+    engine = P.Engine(files, blobs, documents=documents, edges=edges, cases=cases, semantic=semantic)
+    text = "objective: slow vouchers\nsearches:\n  - query: Alpha\nsymbols:\n  - name: Alpha.go\n    include: [definition, callers, callees]\nfiles:\n  - path: long.py\n    repo: b\n    lines: 3-4\n  - path: gone.py\n    repo: b\nexpand: [C1, C9]\n"
+    request = P.parse_request(text)
+    manifest = spark.createDataFrame([("C1", "a", "src/A.java", 2)], "candidate string, repo string, path string, line int")
+    got = engine.retrieve(request, manifest=manifest, rerank=True)
+    evidence = {(r.repo, r.path, r.line_start, r.line_end): r for r in got["evidence"].collect()}
+    assert evidence[("b", "long.py", 3, 4)].content == "x2 = 2\nx3 = 3" and evidence[("knowledge", "5", 1, 2)].content == "one\nAlpha is slow"
+    assert ("b", "long.py", 425, 575) in evidence and evidence[("b", "long.py", 425, 575)].kind == "semantic candidate"
+    assert {"contract relationship", "requested file"} <= set(evidence[("a", "src/A.java", 1, 3)].kind.split(", "))
+    assert sorted(r.asked for r in got["unresolved"].collect()) == ["expand:C9", "file:b:gone.py"]
+    assert {r.callee for r in got["calls"].collect()} == {"beta"} and [r.ticket for r in got["cases"].collect()] == ["T-1"]
+    flags = got["coverage"].first()
+    assert flags.relationships and flags.similar_tickets and flags.production_source and not flags.git_history
+    small = engine.retrieve(request, budget=10)
+    assert small["omitted"].count() > 0 and small["metrics"].first().candidates > 0
+    from siftmark.plans.report import context_text
+
+    shown = context_text(got, request.objective)
+    assert "b — `long.py:3-4`" in shown and "Alpha.go calls beta" in shown and "expand:C9" in shown
+    for bad in ("files:\n  - path: a\n    lines: x\n",):
+        with pytest.raises(ValueError):
+            engine.retrieve(P.parse_request(bad))
+
+
+def test_reports(spark):
+    from siftmark.plans import report
+
+    names = spark.createDataFrame([("a", "first"), ("b", None)], "repo string, description string")
+    facts = spark.createDataFrame([("a", "A.java", 3, " @Service ")], "repo string, path string, line int, text string")
+    maven = spark.createDataFrame([("a", "maven-consumer", "g:x"), ("a", "maven-producer", "g:y")], "repo string, kind string, key string")
+    got = [(r.repo, r.text) for r in report.fact_lines(names, facts, maven).orderBy("repo", "n").collect()]
+    assert got[:6] == [("a", "## a"), ("a", "first"), ("a", "### Framework facts"), ("a", "- `A.java:3` — `@Service`"), ("a", "### Dependencies"), ("a", "- `g:x`")]
+    assert [t for r, t in got if r == "b"] == ["## b", "### Framework facts", "- none", "### Dependencies", "- none"]
+    case = spark.createDataFrame([("T-1", None, ["a"], ["s"], [f"a:{i}" for i in range(32)], [], [])], "ticket string, latest_date string, repos array<string>, subjects array<string>, paths array<string>, test_paths array<string>, config_paths array<string>")
+    assert "and 2 more" in report.case_lines(case).first().text
+
+
+def test_settings():
+    from siftmark.plans.settings import read_settings
+
+    s = read_settings('edition = "semantic"\nrepositories = ["a", "b"]\n[limits]\nhydrated = 9999\n')
+    assert s.limits["hydrated"] == 500 and s.limits["per_file"] == 2 and s.can("semantic") and not s.can("rerank")
+    assert s.scope() == ("a", "b") and s.scope(["b"]) == ("b",)
+    assert read_settings("repositories:\n  - name: x\n", "yaml").repositories == ("x",) and read_settings("{}", "json").edition == "core"
+    for bad in ('edition = "x"', "[limits]\nnone = 1", 'repositories = ["a", "a"]', "colour = 1"):
+        with pytest.raises(ValueError):
+            read_settings(bad)
+    with pytest.raises(ValueError):
+        s.scope(["q"])
+
+
+def test_readers(spark, tmp_path):
+    from siftmark.sources import readers
+
+    tree = tmp_path / "tree"
+    (tree / "src").mkdir(parents=True)
+    (tree / "src" / "a.py").write_text("x = 1\n")
+    (tree / "b.bin").write_bytes(b"a\x00b")
+    (tree / "key.pem").write_text("secret")
+    got = {r.path: r for r in readers.file_tree(spark, str(tree), "r").collect()}
+    assert list(got) == ["src/a.py"] and got["src/a.py"].content == "x = 1\n" and got["src/a.py"].blob == hashlib.sha1(b"blob 6\x00x = 1\n").hexdigest()
+    events = str(tmp_path / "events")
+    readers.append_metrics(spark.createDataFrame([("e", 3)], "event string, wait_ms int"), events)
+    readers.append_metrics(spark.createDataFrame([("e", 5)], "event string, wait_ms int"), events)
+    (tmp_path / "events" / "broken.json").write_text("not json\n")
+    assert sorted((r.event, r.metric, r.value) for r in readers.metric_events(spark, events).collect()) == [("e", "wait_ms", 3.0), ("e", "wait_ms", 5.0)]
+    rows = spark.createDataFrame([("p", "b")], "path string, blob string")
+    first = readers.snapshot_export(rows, str(tmp_path / "snap"), "r", "s1")
+    assert readers.snapshot_export(rows.limit(0), str(tmp_path / "snap"), "r", "s1") == first and spark.read.parquet(first).count() == 1
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "run log.log").write_text("a\nb\n")
+    (outside / "shot.png").write_bytes(b"\x89PNG")
+    found = {r.path: r for r in readers.outside_evidence(spark, str(outside), "T-1", "log").collect()}
+    assert found["run-log.log"].content == "a\nb\n" and found["run-log.log"].line_end == 2 and found["shot.png"].content is None and len(found["shot.png"].digest) == 64
+    with pytest.raises(ValueError):
+        readers.outside_evidence(spark, str(outside), "T-1", "rumour")
+    payload = '{"columns": ["path", "line"], "rows": [["a.py", 3], ["b.py", null]], "more": "{\\"x\\": 1}", "list": [1, [2]]}'
+    rows = spark.createDataFrame([(1, payload), (2, "{broken"), (3, None)], "id int, payload string")
+    flat = [(r.id, tuple(sorted(r.fields.items()))) for r in readers.flattened(rows, "id", "payload").collect() if r.fields]
+    assert sorted(flat) == sorted([(1, (("more", '{"x": 1}'),)), (1, (("line", "3"), ("path", "a.py"))), (1, (("path", "b.py"),)), (1, (("x", "1"),))])
