@@ -125,7 +125,7 @@ probs AS (
   SELECT request_id, repo, path, line, k, m, x, sum(factorial(m::INT) / factorial(j::INT) / factorial((m - j)::INT) * pow(x, j) * pow(1 - x, m - j)) AS p
   FROM terms GROUP BY ALL),
 score AS (
-  SELECT request_id, repo, path, line, round(least(1.0, min(p) * max(m)), 15) AS sig, round((sum(x) + max(m) - count(*)) / max(m), 12) AS mean
+  SELECT request_id, repo, path, line, round(ln(least(1.0, min(p) * max(m))), 9) AS sig, round((sum(x) + max(m) - count(*)) / max(m), 12) AS mean
   FROM probs GROUP BY request_id, repo, path, line)
 SELECT request_id, repo, path, line FROM (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sig, mean, repo NULLS LAST, path NULLS LAST, line NULLS LAST) AS rn FROM score) WHERE rn <= 3""",

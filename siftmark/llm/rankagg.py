@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from siftmark.runtime import cut
 
-#: Distinct scores of one list that are ranked in one task; longer lists are cut into score ranges.
-RANGE_ROWS = 50_000
+#: Rows of one list that are ranked in one task; longer lists are cut into score ranges.
+RANGE_ROWS = 200_000
+#: Most requests whose sizes (three numbers each) are broadcast; those of more are joined.
+SMALL = 200_000
 
 
 def _tidy(name: Column) -> Column:
@@ -67,11 +69,35 @@ def normalised_ranks(scores: DataFrame, list_keys: list[str], item_keys: list[st
     return scores.join(placed, [*list_keys, "score"]).select(*list_keys, *item_keys, "place")
 
 
+def _short_places(scores: DataFrame, list_keys: list[str], item_keys: list[str]) -> DataFrame:
+    """``place`` as of ``normalised_ranks`` where every list fits one task: the best score of each item, ranked after one shuffle by list."""
+    spread = scores.repartition(*list_keys)
+    best = spread.groupBy(*list_keys, *item_keys).agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*list_keys).orderBy(F.col("score").desc())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return best.select(*list_keys, *item_keys, (F.rank().over(order) + (ties - 1) / 2).alias("place"))
+
+
+def places(scores: DataFrame, sizes: DataFrame, list_keys: list[str], item_keys: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``place`` of every item in its list: exact in lists of any length, equal items of a list count with their best score.
+
+    ``sizes`` (list keys, ``rows``) tells the lists with more than ``range_rows`` rows, which
+    are ranked in score ranges; all others are ranked after one shuffle.
+    """
+    long = sizes.where(F.col("rows") > range_rows).select(*list_keys)
+    if long.isEmpty():
+        return _short_places(scores, list_keys, item_keys)
+    here = scores.join(long, list_keys, "left_semi").groupBy(*list_keys, *item_keys).agg(F.max("score").alias("score"))
+    rest = scores.join(long, list_keys, "left_anti")
+    return _short_places(rest, list_keys, item_keys).unionByName(normalised_ranks(cut(here), list_keys, item_keys, range_rows))
+
+
 def significance(ranks: Column, channels: Column) -> Column:
-    """The corrected minimum of the beta order-statistic probabilities of sorted ``ranks`` out of ``channels`` lists.
+    """The corrected minimum of the beta order-statistic probabilities of sorted ``ranks`` out of ``channels`` lists, as its logarithm.
 
-    Ranks not present are 1 and have probability 1. Only sums of positive terms, so
-    very small probabilities keep their digits.
+    Ranks not present are 1 and have probability 1. Only sums of positive terms, so very
+    small probabilities keep their digits; the logarithm is rounded to nine places, so
+    they do so in the order too. A significance of 1 is 0.
     """
 
     def at_least(k: Column, x: Column) -> Column:
@@ -80,11 +106,11 @@ def significance(ranks: Column, channels: Column) -> Column:
         return F.aggregate(F.sequence(k, channels.cast("int")), F.lit(0.0), lambda a, j: a + term(j))
 
     p = F.transform(F.array_sort(ranks), lambda x, i: at_least((i + 1).cast("int"), x))
-    return F.least(F.lit(1.0), F.array_min(p) * channels)
+    return F.round(F.ln(F.greatest(F.least(F.lit(1.0), F.array_min(p) * channels), F.lit(1e-300))), 9)
 
 
-def aggregate_ranks(scores: DataFrame, request: str = "request_id", item: tuple[str, ...] = ("repo", "path", "line"), top: int | None = None) -> DataFrame:
-    """Items of each request in one ranking: ``significance`` (least first), ``mean_rank``, ``found`` (lists that have it), ``rank``.
+def aggregate_ranks(scores: DataFrame, request: str = "request_id", item: tuple[str, ...] = ("repo", "path", "line"), top: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Items of each request in one ranking: ``significance`` (logarithm, least first), ``mean_rank``, ``found`` (lists that have it), ``rank``.
 
     ``scores`` as of ``channel_scores``. Several scores of an item in one channel count
     as the best of them. A normalised rank is the place divided by the number of
@@ -92,19 +118,20 @@ def aggregate_ranks(scores: DataFrame, request: str = "request_id", item: tuple[
     channels weigh the same. Order: significance, mean normalised rank (missing as 1),
     then the item's columns ascending with null last; it is total. ``top`` keeps the
     first rows of each request. Null items are items like others.
+
+    Every score is shuffled twice, by list to be ranked and by item to meet its other
+    ranks; sizes are counted beside it in small tables.
     """
     items = list(item)
-    best = cut(scores.groupBy(request, *items, "channel").agg(F.max("score").alias("score")))
-    places = normalised_ranks(best, [request, "channel"], items)
-    found = cut(places.groupBy(request, *items).agg(F.collect_list("place").alias("places")))
-    size = best.groupBy(request, "channel").agg(F.count("*").alias("__c")).groupBy(request).agg(F.count("*").cast("int").alias("channels"))
-    count = found.groupBy(request).agg(F.count("*").alias("items"))
-    rows = found.join(size.join(count, request), request)
+    lists = cut(scores.groupBy(request, "channel").agg(F.count("*").alias("rows")))
+    placed = places(scores, lists, [request, "channel"], items, range_rows)
+    found = cut(placed.groupBy(request, *items).agg(F.collect_list("place").alias("places")))
+    channels = lists.groupBy(request).agg(F.count("*").cast("int").alias("channels"))
+    count = cut(found.groupBy(request).agg(F.count("*").alias("items")).join(channels, request))
+    rows = found.join(F.broadcast(count) if count.count() <= SMALL else count, request)
     ranks = F.transform("places", lambda p: p / F.col("items"))
     mean = (F.aggregate(F.array_sort("ranks"), F.lit(0.0), lambda a, r: a + r) + F.col("channels") - F.size("ranks")) / F.col("channels")
-    rows = rows.withColumn("ranks", ranks).select(
-        request, *items, F.size("ranks").alias("found"), F.round(significance(F.col("ranks"), F.col("channels")), 15).alias("significance"), F.round(mean, 12).alias("mean_rank")
-    )
+    rows = rows.withColumn("ranks", ranks).select(request, *items, F.size("ranks").alias("found"), significance(F.col("ranks"), F.col("channels")).alias("significance"), F.round(mean, 12).alias("mean_rank"))
     order = Window.partitionBy(request).orderBy("significance", "mean_rank", *[F.col(c).asc_nulls_last() for c in items])
     ranked = rows.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= top) if top else ranked

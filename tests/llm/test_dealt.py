@@ -208,8 +208,16 @@ def test_rank_aggregation_is_that_of_sums(spark):
         scores = rankagg.channel_scores(spark.createDataFrame(rows, RAW), spark.createDataFrame(CHANNELS, "channel string, kind string, higher_is_better boolean"))
         places = rankagg.normalised_ranks(scores, ["request_id", "channel"], ["line"], limit)
         assert {(r.channel, r.line): r.place for r in places.collect()} == {(c[0], i): p for c, x in zip(CHANNELS, lists) for i, p in x.items()}
-    got = {r.line: r.significance for r in ranking(spark, rows).collect()}
-    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    for limit in (50_000, 49, 3):
+        got = {r.line: math.exp(r.significance) for r in ranking(spark, rows, range_rows=limit).collect()}
+        assert set(got) == set(want) and all(abs(got[i] / want[i] - 1) < 1e-8 for i in want)
+
+
+def test_rank_aggregation_keeps_small_digits(spark):
+    # items at the top of long lists differ in significance only far behind the point
+    rows = [(1, "r", "p", i, "x", float(-i), ["fts"]) for i in range(6000)] + [(1, "r", "p", i, "x", float(i), ["distance"]) for i in range(6000)] + [(1, "r", "p", i, "x", float(-i), ["wide"]) for i in range(6000)]
+    got = ranking(spark, rows, top=3).orderBy("rank").collect()
+    assert [r.line for r in got] == [0, 1, 2] and got[0].significance < got[1].significance < got[2].significance < -18
 
 
 def test_rank_aggregation_edges(spark):
