@@ -30,6 +30,10 @@ SHARD_ROWS = 8192
 LEAF_ROWS = 256
 #: Most vectors of one collection that the coarse tree is grown on.
 SAMPLE_ROWS = 20_000
+#: Most vectors of all collections together that trees are grown on.
+SAMPLE_TOTAL = 400_000
+#: Most rows of a table of shards that is broadcast; a larger one is joined.
+SMALL = 100_000
 #: Room for what single precision loses.
 SLACK = 1e-5
 
@@ -162,41 +166,60 @@ def _search(tree: Tree, queries: np.ndarray, k: int, relax: float, reached: np.n
 
 
 class Router:
-    """The coarse trees of all collections, with what is known of each shard's distances to the vantage points."""
+    """The coarse trees of the collections that have several shards; any other collection is one leaf."""
 
     def __init__(self, trees: dict[tuple, Tree]):
-        self.nodes = {g: (t.root, np.array(t.vantage, np.float32), t.spans, t.children, len(t.slices)) for g, t in trees.items()}
+        self.nodes = {g: (t.root, np.array(t.vantage, np.float32), t.spans, t.children) for g, t in trees.items()}
 
     def place(self, group: tuple, x: np.ndarray) -> np.ndarray:
-        root, vantage, spans, children, _ = self.nodes[group]
+        if group not in self.nodes:
+            return np.zeros(len(x), np.int64)
         tree = Tree.__new__(Tree)
-        tree.root, tree.vantage, tree.spans, tree.children = root, list(vantage), spans, children
+        tree.root, vantage, tree.spans, tree.children = self.nodes[group]
+        tree.vantage = list(vantage)
         return tree.place(x)
 
-    def visits(self, group: tuple, x: np.ndarray, own: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """(rows, leaf) for every leaf but a row's own that may hold a vector nearer than ``limit``.
+    def visits(self, group: tuple, x: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(rows, leaf) for every leaf that may hold a vector nearer than ``limit``.
 
         A row goes to a half if the border between the halves (the rule of ``place``)
         can be crossed within its limit; that holds for all vectors, not just the sample.
         """
-        root, vantage, spans, children, _ = self.nodes[group]
+        if group not in self.nodes:
+            yield np.arange(len(x)), 0
+            return
+        root, vantage, spans, children = self.nodes[group]
         todo = [(root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
+            if not len(rows):
+                continue
             if node < 0:
-                rows = rows[own[rows] != -node - 1]
-                if len(rows):
-                    yield rows, -node - 1
-            elif len(rows):
-                d = _distances(x[rows], vantage[node])
-                border = (spans[node][1] + spans[node][2]) / 2
-                todo += [(children[node][0], rows[d - limit[rows] <= border + SLACK]), (children[node][1], rows[d + limit[rows] >= border - SLACK])]
+                yield rows, -node - 1
+                continue
+            d = _distances(x[rows], vantage[node])
+            border = (spans[node][1] + spans[node][2]) / 2
+            todo += [(children[node][0], rows[d - limit[rows] <= border + SLACK]), (children[node][1], rows[d + limit[rows] >= border - SLACK])]
+
+
+def _once(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unit(vector: Column) -> Column:
+    """The vector of length 1 in single precision; scaled by its greatest number first, so that no square is lost."""
+    scaled = _once(F.array_max(F.transform(vector, F.abs)), lambda m: F.transform(vector, lambda x: x / m))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return _once(scaled, lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: (x / n).cast("float"))))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A small written table, to be broadcast while its size is below the bound."""
+    return F.broadcast(table) if table.count() <= SMALL else table
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    x = np.array(vectors.tolist(), np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _group_key(values) -> tuple:
+    return tuple(v.item() if hasattr(v, "item") else v for v in (values if isinstance(values, tuple) else (values,)))
 
 
 def most_similar(vectors: DataFrame, k: int = 5, *, key: str = "key", group: tuple[str, ...] = ("pack_id", "dimension"), vector: str = "vector", relax: float = RELAX, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -207,123 +230,131 @@ def most_similar(vectors: DataFrame, k: int = 5, *, key: str = "key", group: tup
     similar ones rank by key. Vectors equal in all numbers are searched once, so many
     copies of one make no hot spot; each copy gets its own result, nearest keys first.
     Fewer than ``k`` others give fewer rows, an empty table none.
+
+    A vector is shuffled once to meet its copies, once to its shard, once as a host and
+    once for each shard it visits; everything else moves numbers and keys only.
     """
     groups = list(group)
-    rows = vectors.select(*groups, F.col(key).alias("key"), F.col(vector).alias("vector"))
     same = [*groups, "v1", "v2"]
-    rows = rows.withColumn("v1", F.xxhash64("vector")).withColumn("v2", F.xxhash64(F.lit(1), "vector"))
+    rows = vectors.select(*groups, F.col(key).alias("key"), F.xxhash64(vector).alias("v1"), F.xxhash64(F.lit(1), vector).alias("v2"), unit(F.col(vector)).alias("u"))
     rows = cut(rows)
-    first = Window.partitionBy(*same).orderBy("key")
-    heads = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    distinct = cut(heads.where(F.col("n") == 1).select(*groups, "v1", "v2", "vector"))
-    routed, router = _shards(distinct, groups, shard_rows, sample_rows)
-    found = _neighbours(routed, groups, router, k, relax, shard_rows)
-    return _expand(rows.drop("vector"), heads.drop("vector"), found, groups, k)
+    distinct = rows.groupBy(*same).agg(F.any_value("u").alias("u"), F.count("*").alias("copies"))
+    distinct = cut(distinct.select(F.monotonically_increasing_id().alias("id"), *same, "copies", "u"))
+    keys = cut(rows.select(*same, "key").join(distinct.select(*same, "id", "copies"), same).select(*groups, "key", "id", "copies"))
+    placed, parts, router = _shards(distinct, groups, shard_rows, sample_rows)
+    return _expand(keys, _neighbours(placed, parts, groups, router, k, relax, shard_rows), groups, k)
 
 
 def _shards(distinct: DataFrame, groups: list[str], shard_rows: int, sample_rows: int):
-    """The vectors with their ``leaf`` and ``part``, and the router: coarse trees on a bounded sample of each group."""
-    sizes = {tuple(r[g] for g in groups): r["n"] for r in distinct.groupBy(*groups).agg(F.count("*").alias("n")).collect()}
-    pick = Window.partitionBy(*groups).orderBy("v1", "v2")
-    sampled = distinct.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= min(sample_rows, 100 * max(1, math.ceil(max(sizes.values(), default=1) / shard_rows)))).drop("n")
+    """The vectors with their ``leaf`` and ``part``, the parts of each leaf, and the router.
+
+    Only collections of more than ``shard_rows`` vectors have a tree. It is grown on those
+    of the least hashes, about 100 for each shard, ``sample_rows`` for a collection and
+    ``SAMPLE_TOTAL`` for all at most.
+    """
+    spark = distinct.sparkSession
+    sizes = {tuple(r[g] for g in groups): r["n"] for r in distinct.groupBy(*groups).agg(F.count("*").alias("n")).collect()}  # as many as there are collections
+    leaves = {g: math.ceil(n / shard_rows) for g, n in sizes.items() if n > shard_rows}
+    wish = {g: min(sample_rows, 100 * m) for g, m in leaves.items()}
+    less = min(1.0, SAMPLE_TOTAL / max(1, sum(wish.values())))
+    span = 1 << 40
+    kinds = [f"`{c}` {distinct.schema[c].dataType.simpleString()}" for c in groups]
     trees = {}
-    if sizes:
-        sample = sampled.toPandas()
-        for g, part in sample.groupby(groups, sort=True):
-            g = g if isinstance(g, tuple) else (g,)
-            g = tuple(x.item() if hasattr(x, "item") else x for x in g)
-            trees[g] = Tree(_matrix(part["vector"]), 1, max(1, math.ceil(sizes[g] / shard_rows)))
-    router = Router(trees)
-    shared = distinct.sparkSession.sparkContext.broadcast(router)
-    schema = ", ".join([*[f"`{c}` {distinct.schema[c].dataType.simpleString()}" for c in groups], "v1 bigint, v2 bigint, vector array<float>, leaf int"])
+    if leaves:
+        part = [(*g, min(span, math.ceil(span * less * w / sizes[g]))) for g, w in wish.items()]
+        limits = spark.createDataFrame(part, ", ".join([*kinds, "__limit bigint"]))
+        sampled = distinct.join(F.broadcast(limits), groups).where(F.pmod("v1", F.lit(span)) < F.col("__limit")).select(*groups, "v1", "v2", "u").toPandas()
+        for g, rows in sampled.sort_values(["v1", "v2"]).groupby(groups, sort=True):
+            g = _group_key(g)
+            trees[g] = Tree(np.array(rows["u"].tolist(), np.float32), 1, min(leaves[g], max(1, len(rows) // 4)))
+    shared = spark.sparkContext.broadcast(Router(trees))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for g, part in batch.groupby(groups, sort=False):
-                g = tuple(x.item() if hasattr(x, "item") else x for x in (g if isinstance(g, tuple) else (g,)))
-                x = _matrix(part["vector"])
-                yield part.assign(vector=list(x), leaf=shared.value.place(g, x).astype(np.int32))
+            leaf = np.zeros(len(batch), np.int32)
+            for g, at in batch.groupby(groups, sort=False).indices.items():
+                leaf[at] = shared.value.place(_group_key(g), np.array(batch["u"].iloc[at].tolist(), np.float32))
+            yield batch.assign(leaf=leaf)
 
-    placed = distinct.mapInPandas(route, schema)
+    placed = cut(distinct.select(*groups, "id", "u").mapInPandas(route, ", ".join([*kinds, "id bigint, u array<float>, leaf int"])))
     # a leaf that is much larger than planned is divided by hash; its parts share the leaf's region
-    placed = cut(placed)
-    count = placed.groupBy(*groups, "leaf").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("parts"))
-    routed = placed.join(count, [*groups, "leaf"]).withColumn("part", F.pmod("v1", F.col("parts")).cast("int"))
-    return cut(routed), shared
+    parts = cut(placed.groupBy(*groups, "leaf").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("parts")))
+    placed = placed.join(_few(parts), [*groups, "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return placed, parts, shared
 
 
-def _neighbours(routed: DataFrame, groups: list[str], router, k: int, relax: float, shard_rows: int) -> DataFrame:
-    """(group, v1, v2, w1, w2, similarity): at least the best ``k`` others of each distinct vector."""
+def _neighbours(placed: DataFrame, parts: DataFrame, groups: list[str], router, k: int, relax: float, shard_rows: int) -> DataFrame:
+    """(id, near): for each vector an array of (-similarity, id) of at least the best ``k`` others, best first."""
     shard = [*groups, "leaf", "part"]
-    kinds = [f"`{c}` {routed.schema[c].dataType.simpleString()}" for c in groups]
-    result = ", ".join([*kinds, "v1 bigint, v2 bigint, w1 bigint, w2 bigint, similarity double"])
+    kinds = [f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in groups]
+    answer = "id bigint, w array<bigint>, s array<double>"
 
-    def pairs(g, q: pd.DataFrame, m: pd.DataFrame, x: np.ndarray, y: np.ndarray, best: np.ndarray, who: np.ndarray) -> pd.DataFrame:
+    def lists(x: np.ndarray, y: np.ndarray, names: np.ndarray, best: np.ndarray, who: np.ndarray) -> tuple[list, list]:
+        """For every row the names and similarities (in double precision) of who is there."""
         r, c = np.nonzero(who >= 0)
         w = who[r, c]
         exact = np.einsum("ij,ij->i", x[r].astype(np.float64), y[w].astype(np.float64))
-        out = {c_: v for c_, v in zip(groups, g)} | {"v1": q["v1"].to_numpy()[r], "v2": q["v2"].to_numpy()[r], "w1": m["v1"].to_numpy()[w], "w2": m["v2"].to_numpy()[w], "similarity": exact}
-        return pd.DataFrame(out)
+        ends = np.cumsum(np.bincount(r, minlength=len(x)))[:-1]
+        return np.split(names[w], ends), np.split(exact, ends)
 
     def own(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(part["vector"].tolist(), np.float32)
-        tree = Tree(x, LEAF_ROWS)
-        best, who = _search(tree, x, k, relax, np.full(len(x), np.inf), np.arange(len(x)))
-        return pairs(key[: len(groups)], part, part, x, x, best, who)
-
-    local = cut(routed.groupBy(*shard).applyInPandas(own, result))
-
-    reach = local.groupBy(*groups, "v1", "v2").agg(F.min("similarity").alias("s"), F.count("*").alias("n"))
-    # a list that is not full bounds nothing, relaxed or not
-    radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))).otherwise(float("inf")).cast("float")
-    waiting = routed.join(reach, [*groups, "v1", "v2"], "left").withColumn("reached", F.coalesce(radius, F.lit(float("inf")).cast("float"))).select(*groups, "v1", "v2", "vector", "leaf", "part", "parts", "reached")
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for g, part in batch.groupby(groups, sort=False):
-                g = tuple(v.item() if hasattr(v, "item") else v for v in (g if isinstance(g, tuple) else (g,)))
-                x = np.array(part["vector"].tolist(), np.float32)
-                for rows, leaf in router.value.visits(g, x, np.full(len(x), -1), part["reached"].to_numpy() * relax):
-                    yield part.iloc[rows].assign(leaf=np.int32(leaf), own=part["leaf"].to_numpy()[rows] * 1_000_000 + part["part"].to_numpy()[rows])[[*groups, "v1", "v2", "vector", "leaf", "reached", "own"]]
-
-    visits = waiting.mapInPandas(visit, ", ".join([*kinds, "v1 bigint, v2 bigint, vector array<float>, leaf int, reached float, own bigint"]))
-    parts = routed.groupBy(*groups, "leaf").agg(F.max("parts").alias("parts"))
-    visits = visits.join(parts, [*groups, "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # its own shard has answered already; many visitors of a shard are spread over several tasks
-    visits = visits.where(F.col("own") != F.col("leaf").cast("bigint") * 1_000_000 + F.col("part"))
-    load = visits.groupBy(*shard).agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("turns"))
-    visits = visits.join(load, shard).withColumn("turn", F.pmod("v2", F.col("turns")).cast("int"))
-    hosts = routed.join(load, shard).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        x = np.array(part["u"].tolist(), np.float32)
+        best, who = _search(Tree(x, LEAF_ROWS), x, k, relax, np.full(len(x), np.inf), np.arange(len(x)))
+        w, s = lists(x, x, part["id"].to_numpy(), best, who)
+        # a list that is not full bounds nothing, relaxed or not
+        last = np.fromiter((v.min() if len(v) >= k else -np.inf for v in s), np.float64, len(s))
+        reached = np.where(last > -2, np.sqrt(np.maximum(2 - 2 * np.maximum(last, -2), 0)), np.inf).astype(np.float32)
+        g, leaf = _group_key(tuple(key[: len(groups)])), int(key[len(groups)])
+        found = [(rows, np.full(len(rows), n)) for rows, n in router.value.visits(g, x, reached * relax) if n != leaf or part["parts"].iloc[0] > 1]
+        rows = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        goes = np.concatenate([f[1] for f in found])[np.argsort(rows, kind="stable")] if found else rows
+        visits = np.split(goes.astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
+        return pd.DataFrame({**{c: key[i] for i, c in enumerate(shard)}, "id": part["id"], "u": part["u"], "w": w, "s": s, "reached": reached, "visits": visits})
+
+    local = placed.groupBy(*shard).applyInPandas(own, ", ".join([*kinds, "leaf int, part int, id bigint, u array<float>, w array<bigint>, s array<double>, reached float, visits array<int>"]))
+    local = cut(local)
+
+    goes = local.select(*groups, "id", "u", "reached", F.col("leaf").alias("__leaf"), F.col("part").alias("__part"), F.explode("visits").alias("leaf"))
+    goes = goes.join(_few(parts), [*groups, "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    goes = goes.where((F.col("leaf") != F.col("__leaf")) | (F.col("part") != F.col("__part")))
+    # many visitors of a shard are spread over several tasks
+    load = cut(goes.groupBy(*shard).agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("turns")))
+    visitors = goes.join(_few(load), shard).withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns")).cast("int"))
+    hosts = placed.join(_few(load), shard).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
 
     def guests(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
-            return pd.DataFrame({c: [] for c in [*groups, "v1", "v2", "w1", "w2", "similarity"]})
-        y = np.array(m["vector"].tolist(), np.float32)
-        x = np.array(q["vector"].tolist(), np.float32)
-        best, who = _search(Tree(y, LEAF_ROWS), x, k, relax, q["reached"].to_numpy())
-        near = np.sqrt(np.maximum(2 - 2 * best, 0)) <= q["reached"].to_numpy()[:, None] + SLACK
-        return pairs(key[: len(groups)], q, m, x, y, best, np.where(near, who, -1))
+            return pd.DataFrame({"id": [], "w": [], "s": []})
+        x, y = np.array(q["u"].tolist(), np.float32), np.array(m["u"].tolist(), np.float32)
+        reached = q["reached"].to_numpy()
+        best, who = _search(Tree(y, LEAF_ROWS), x, k, relax, reached)
+        near = np.sqrt(np.maximum(2 - 2 * best, 0)) <= reached[:, None] + SLACK
+        some = (near & (who >= 0)).any(axis=1)
+        w, s = lists(x, y, m["id"].to_numpy(), best, np.where(near, who, -1))
+        pick = np.flatnonzero(some)
+        return pd.DataFrame({"id": q["id"].to_numpy()[pick], "w": [w[i] for i in pick], "s": [s[i] for i in pick]})
 
     meet = [*shard, "turn"]
-    q = visits.select(*meet, "v1", "v2", "vector", "reached")
-    far = q.groupBy(*meet).cogroup(hosts.select(*meet, "v1", "v2", "vector").groupBy(*meet)).applyInPandas(guests, result)
-    rank = Window.partitionBy(*groups, "v1", "v2").orderBy(F.col("similarity").desc(), "w1", "w2")
-    return local.unionByName(far).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k).drop("n")
+    far = visitors.select(*meet, "id", "u", "reached").groupBy(*meet).cogroup(hosts.select(*meet, "id", "u").groupBy(*meet)).applyInPandas(guests, answer)
+    every = local.select("id", "w", "s").unionByName(far).select("id", F.zip_with("s", "w", lambda s, w: F.struct((-s).alias("d"), w.alias("w"))).alias("near"))
+    # a vector has few lists, each of k
+    merged = every.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    return merged.select("id", F.slice("near", 1, k).alias("near"))
 
 
-def _expand(rows: DataFrame, heads: DataFrame, found: DataFrame, groups: list[str], k: int) -> DataFrame:
+def _expand(keys: DataFrame, found: DataFrame, groups: list[str], k: int) -> DataFrame:
     """From distinct vectors to keys: every key with its ``k`` best, copies of itself first.
 
     Of a set of copies only the ``k + 1`` lowest keys can be anyone's neighbour, so no list grows with it.
     """
-    near = heads.select(*groups, F.col("v1").alias("w1"), F.col("v2").alias("w2"), F.col("key").alias("neighbour"))
-    others = found.join(near, [*groups, "w1", "w2"]).select(*groups, "v1", "v2", "neighbour", "similarity")
-    copies = heads.select(*groups, "v1", "v2", F.col("key").alias("neighbour"), F.lit(1.0).alias("similarity"))
-    rank = Window.partitionBy(*groups, "v1", "v2").orderBy(F.col("similarity").desc(), "neighbour")
-    best = others.unionByName(copies).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= k + 1)
-    lists = best.groupBy(*groups, "v1", "v2").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "neighbour"))).alias("near"))
+    first = Window.partitionBy("id").orderBy("key")
+    heads = keys.select("id", "key", "copies").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    near = found.select("id", F.explode("near").alias("x")).select("id", F.col("x.w").alias("w"), F.col("x.d").alias("d"))
+    others = near.join(heads.select(F.col("id").alias("w"), F.col("key").alias("neighbour")), "w").select("id", "d", "neighbour")
+    copies = heads.where(F.col("copies") > 1).select("id", F.lit(-1.0).alias("d"), F.col("key").alias("neighbour"))
+    lists = others.unionByName(copies).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour"))), 1, k + 1).alias("near"))
     kept = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("key")), 1, k)
-    each = rows.join(lists, [*groups, "v1", "v2"]).select(*groups, "key", F.posexplode(kept).alias("i", "x"))
+    each = keys.join(lists, "id").select(*groups, "key", F.posexplode(kept).alias("i", "x"))
     return each.select(*groups, "key", F.col("x.neighbour").alias("neighbour"), (-F.col("x.d")).alias("similarity"), (F.col("i") + 1).alias("rank"))
 
 
