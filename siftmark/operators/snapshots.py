@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,19 @@ def latest_entries(files: DataFrame) -> DataFrame:
     return best.select("snapshot", "repo", "path", F.col("row.blob").alias("blob"))
 
 
+def entries_by_key(files: DataFrame, snapshots: list[int]) -> DataFrame:
+    """``latest_entries`` of the given snapshots with all entries of a (repo, path) side by side, after one shuffle.
+
+    The deliveries of a key are combined before the shuffle, one row for each snapshot; so
+    the rows come out in place for ``snapshot_changes(placed=True)``.
+    """
+    row = F.struct(F.col("delivered_at").alias("at"), F.lower(F.col("blob")).alias("blob"))
+    rows = files.where(F.col("snapshot").isin(snapshots)).select(F.col("repo").cast("string").alias("repo"), clean_path(F.col("path")).alias("path"), *[F.when(F.col("snapshot") == s, row).alias(f"s{s}") for s in snapshots])
+    best = rows.groupBy("repo", "path").agg(*[F.max(f"s{s}").alias(f"s{s}") for s in snapshots])
+    each = F.array(*[F.when(F.col(f"s{s}").isNotNull(), F.struct(F.lit(s).alias("snapshot"), F.col(f"s{s}.blob").alias("blob"))) for s in snapshots])
+    return best.select("repo", "path", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(F.col("x.snapshot").cast("int").alias("snapshot"), "repo", "path", F.col("x.blob").alias("blob"))
+
+
 def _unmatched(pairs: list[tuple[int, int]], chunk_rows: int, columns: list[str]):
     """A function over the Arrow batches of one key range: the rows of chunks that differ, once for each pair and side."""
     known = sorted({s for p in pairs for s in p})
@@ -98,7 +111,7 @@ def _unmatched(pairs: list[tuple[int, int]], chunk_rows: int, columns: list[str]
     return run
 
 
-def snapshot_changes(entries: DataFrame, pairs: list[tuple[int, int]], *, keys: tuple[str, ...] = ("repo", "path"), value: str = "blob", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def snapshot_changes(entries: DataFrame, pairs: list[tuple[int, int]], *, keys: tuple[str, ...] = ("repo", "path"), value: str = "blob", chunk_rows: int = CHUNK_ROWS, placed: bool = False) -> DataFrame:
     """Rows added, removed or changed from the first to the second snapshot of each pair.
 
     ``entries`` holds each key at most once in a snapshot. Result: ``snapshot`` (the
@@ -107,8 +120,9 @@ def snapshot_changes(entries: DataFrame, pairs: list[tuple[int, int]], *, keys:
     that has no rows is an empty one. Extra columns are ignored; an empty table gives
     an empty result.
 
-    One range shuffle by key puts all snapshots of a key range side by side, so chunks
-    are compared where they are made; no window or group ever holds more than a chunk.
+    All snapshots of a key have to lie in one task, where they are sorted by key, so chunks
+    are compared where they are made; no window or group ever holds more than a chunk. One
+    shuffle by key does that, unless the entries are ``placed`` so already.
     """
     ship(entries.sparkSession)
     wanted = sorted({s for p in pairs for s in p})
@@ -116,7 +130,7 @@ def snapshot_changes(entries: DataFrame, pairs: list[tuple[int, int]], *, keys:
     rows = entries.where(F.col("snapshot").isin(wanted)).select(
         F.col("snapshot").cast("int").alias("snapshot"), *keys, value, F.xxhash64(*keys).alias("__key"), left.alias("__left"), right.alias("__right")
     )
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = (rows if placed else rows.repartition(*keys)).sortWithinPartitions(*keys)
     columns = [*keys, value]
     schema = T.StructType([T.StructField("pair", T.IntegerType()), T.StructField("is_new", T.BooleanType()), *[entries.schema[c] for c in columns]])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
@@ -134,10 +148,3 @@ def snapshot_changes(entries: DataFrame, pairs: list[tuple[int, int]], *, keys:
 def consecutive(snapshots: list[int]) -> list[tuple[int, int]]:
     """(s - 1, s) for every s but the lowest number."""
     return [(s - 1, s) for s in sorted(set(snapshots))[1:]]
-
-
-def latest_by(df: DataFrame, key: str, order: list) -> DataFrame:
-    """The first row of each ``key`` in ``order``; the rank filter also runs before the shuffle, so a hot key is cut down early."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    name = "__rank"
-    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmark.operators.snapshots import consecutive, latest_entries, snapshot_changes
+from siftmark.operators.snapshots import consecutive, entries_by_key, snapshot_changes
 from siftmark.runtime import table
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    entries = latest_entries(table(spark, sf, "files"))
-    return snapshot_changes(entries, consecutive([1, 2, 3, 4])).select("snapshot", "repo", "path", "change")
+    """The snapshots are those that TESTDATA.md names."""
+    snapshots = [1, 2, 3, 4]
+    entries = entries_by_key(table(spark, sf, "files"), snapshots)
+    return snapshot_changes(entries, consecutive(snapshots), placed=True).select("snapshot", "repo", "path", "change")
 
 
 QUERIES = {"p4_found": p4_found}

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from siftmark.operators.snapshots import consecutive, latest_entries, snapshot_changes
+from siftmark.operators.snapshots import consecutive, entries_by_key, latest_entries, snapshot_changes
 
 SCHEMA = "snapshot int, delivered_at timestamp, repo string, path string, blob string"
 T0 = datetime(2025, 1, 1)
@@ -39,6 +39,8 @@ def found(spark, rows, snapshots, **options):
     df = spark.createDataFrame(rows, SCHEMA)
     got = snapshot_changes(latest_entries(df), consecutive(snapshots), **options).select("snapshot", "repo", "path", "change").collect()
     assert len(got) == len(set(got))
+    side_by_side = snapshot_changes(entries_by_key(df, snapshots), consecutive(snapshots), placed=True, **options).select("snapshot", "repo", "path", "change").collect()
+    assert sorted(map(repr, side_by_side)) == sorted(map(repr, got))
     return {tuple(r) for r in got}
 
 
