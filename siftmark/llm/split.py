@@ -17,6 +17,8 @@ MAX_LINES = 80
 OVERLAP_LINES = 5
 #: Characters kept free for the overlap.
 OVERLAP_CHARS = 512
+#: Pieces in which the overlap is looked for before the whole text is.
+NEAR = 4
 
 
 def card_code(card: Column) -> Column:
@@ -41,25 +43,33 @@ def piece_pattern(chars: int, lines: int) -> str:
     """
     line = rf"[^\n]{{0,{chars}}}+\n"
     short = rf"(?=(?:{line}){{1,{lines}}}+(?<=\G[\s\S]{{1,{chars}}}))"
-    blank, bracket = r"[ \t]{0,64}+\r?\n", r"[}\])][;,]?[ \t]{0,8}+\r?\n"
+    pad = min(64, chars // 4)  # blanks of a blank line
+    blank, bracket = rf"[ \t]{{0,{pad}}}+\r?\n", rf"[}}\])][;,]?[ \t]{{0,{min(8, pad)}}}+\r?\n"
+
+    def times(what: str, low: int, high: int, then: str = "") -> list[str]:
+        """``what`` so many times and ``then``; nothing where no number is left."""
+        return [rf"{what}{{{low},{high}}}{then}"] if 0 <= low <= high and high else []
+
+    lines_, some = rf"(?:{line})", r"[\s\S]"
     least = max(1, lines // 3)
     by_line = [
-        rf"(?:{line}){{1,{lines}}}\z",
-        rf"(?:{line}){{1,{lines - 1}}}[^\n]{{1,{chars}}}\z(?<=\G[\s\S]{{1,{chars}}})",
-        rf"(?:{line}){{{least},{lines - 1}}}{blank}(?=\S)",
-        rf"(?:{line}){{{least},{lines - 1}}}{blank}",
-        rf"(?:{line}){{{least},{lines}}}(?<=[}}\])][;,]?[ \t]{{0,8}}\r?\n)",
-        rf"(?:{line}){{1,{lines}}}",
+        *times(lines_, 1, lines, r"\z"),
+        *times(lines_, 1, lines - 1, rf"[^\n]{{1,{chars}}}\z(?<=\G[\s\S]{{1,{chars}}})"),
+        *times(lines_, least, lines - 1, rf"{blank}(?=\S)"),
+        *times(lines_, least, lines - 1, blank),
+        *times(lines_, least, lines, rf"(?<=[}}\])][;,]?[ \t]{{0,{min(8, pad)}}}\r?\n)"),
+        *times(lines_, 1, lines),
     ]
-    least, room = chars // 3, chars - 80
+    least, room = chars // 3, chars - pad - 16
     by_char = [
-        rf"[\s\S]{{1,{chars}}}\z",
-        rf"[\s\S]{{{least},{room}}}\n{blank}(?=\S)",
-        rf"[\s\S]{{{least},{room}}}\n{blank}",
-        rf"[\s\S]{{{least},{room}}}{bracket}",
-        rf"[\s\S]{{0,{chars - 1}}}\n",
-        rf"[^\n]{{{chars // 2},{chars - 1}}}[\s;,{{}}()\[\]>]",
-        rf"[^\n]{{1,{chars}}}",
+        *times(some, 1, chars, r"\z"),
+        *times(some, least, room, rf"\n{blank}(?=\S)"),
+        *times(some, least, room, rf"\n{blank}"),
+        *times(some, least, room, bracket),
+        *times(some, 0, chars - 1, r"\n"),
+        *times(r"[^\n]", chars // 2, chars - 1, r"[\s;,{}()\[\]>]"),
+        *times(r"[^\n]", 1, chars),
+        r"\n",
     ]
     return rf"\G(?:{short}(?:{'|'.join(by_line)})|{'|'.join(by_char)})"
 
@@ -73,34 +83,44 @@ def split_text(df: DataFrame, text: str, *, max_chars: int = MAX_CHARS, max_line
     an empty piece; a null text gives no row. Lines count from 1 within the text.
     Without the overlaps the pieces of a text are the text. Runs in the JVM only.
     """
-    chars, lines = max_chars - min(overlap_chars, max_chars // 2), max_lines - min(overlap_lines, max_lines // 2)
+    overlap_lines = min(overlap_lines, max_lines // 2)
+    chars, lines = max_chars - min(overlap_chars, max_chars // 2), max_lines - overlap_lines
     whole = (F.length(text) <= max_chars) & (line_count(F.col(text)) <= max_lines)
     cut = F.regexp_extract_all(F.col(text), F.lit(piece_pattern(chars, lines)), F.lit(0))
     body = F.when(whole, F.array(F.col(text))).otherwise(cut)
     breaks = lambda c: F.length(c) - F.length(F.translate(c, "\n", ""))
-    origin = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("line")))
-
-    def places(news: Column) -> Column:
-        """Characters and line breaks before each piece."""
-        after = lambda p, x: F.struct((p["at"] + F.length(x)).alias("at"), (p["line"] + breaks(x)).alias("line"))
-        return F.aggregate(news, origin, lambda a, x: F.concat(a, F.array(after(F.element_at(a, -1), x))))
 
-    def overlap(new: Column, at: Column) -> Column:
-        """Whole lines, each after a line break, of the text just before ``at`` as far as there is room."""
+    def overlap(news: Column, new: Column, at: Column, i: Column) -> Column:
+        """Whole lines, each after a line break, of the text just before the piece as far as there is room."""
         room = F.least(F.lit(max_chars) - F.length(new), at)
-        back = F.substring(F.concat(F.lit("\n"), F.col(text)), at - room + 1, room + 1)
-        return F.when(room > 0, F.regexp_extract(back, rf"\n((?:[^\n]*+\n){{1,{overlap_lines}}}+)\z", 1)).otherwise("")
+        near = F.array_join(F.slice(news, F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR))), "")
+        # the pieces before are nearly always enough; where they are not, the text is
+        before = F.when(i <= NEAR, F.concat(F.lit("\n"), near)).when(F.length(near) > room, near).otherwise(F.concat(F.lit("\n"), F.substring(F.col(text), F.lit(1), at)))
+        return F.when((room > 0) & F.lit(overlap_lines > 0), F.regexp_extract(F.right(before, room + 1), rf"\n((?:[^\n]*+\n){{1,{max(1, overlap_lines)}}}+)\z", 1)).otherwise("")
 
-    def piece(new: Column, place: Column, i: Column) -> Column:
-        return _let(overlap(new, place["at"]), lambda over: F.struct((i + 1).alias("no"), (place["line"] - breaks(over) + 1).alias("first"), F.concat(over, new).alias("piece")))
+    def piece(news: Column, new: Column, at: Column, line: Column, i: Column) -> Column:
+        return _let(overlap(news, new, at, i), lambda over: F.struct((i + 1).alias("no"), (line - breaks(over) + 1).alias("first"), F.concat(over, new).alias("piece")))
 
-    made = _let(body, lambda news: _let(places(news), lambda at: F.transform(news, lambda new, i: piece(new, F.get(at, i), i))))
+    def pieces(news: Column) -> Column:
+        return _let(_running(F.transform(news, F.length)), lambda at: _let(_running(F.transform(news, breaks)), lambda line: F.transform(news, lambda new, i: piece(news, new, F.get(at, i), F.get(line, i), i))))
+
+    made = _let(body, pieces)
     keep = [c for c in df.columns if c.lower() not in (text.lower(), "piece_no", "pieces", "first_line", "last_line", "piece")]
     rows = df.where(F.col(text).isNotNull()).select(*keep, F.explode(_let(made, lambda m: F.transform(m, lambda p: F.struct(p.alias("p"), F.size(m).alias("n"))))).alias("__x"))
     last = F.col("__x.p.first") + F.greatest(line_count(F.col("__x.p.piece")), F.lit(1)) - 1
     return rows.select(*keep, F.col("__x.p.no").alias("piece_no"), F.col("__x.n").alias("pieces"), F.col("__x.p.first").alias("first_line"), last.alias("last_line"), F.col("__x.p.piece").alias("piece"))
 
 
+def _running(values: Column, block: int = 256) -> Column:
+    """For each number of an array the sum of those before it, by sums of blocks, so that work hardly grows faster than the array."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    sums = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda b: total(F.slice(v, b * block + 1, F.lit(block))))
+    before = lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b)))
+    inside = lambda v, i: total(F.slice(v, i - i % block + 1, i % block))
+    placed = lambda v, starts: F.transform(v, lambda _, i: F.get(starts, F.floor(i / block).cast("int")) + inside(v, i))
+    return _let(values, lambda v: _let(_let(sums(v), before), lambda starts: placed(v, starts)))
+
+
 def _let(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

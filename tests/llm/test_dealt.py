@@ -63,6 +63,20 @@ def test_split_random_texts(spark):
         check_pieces(t, got[i], 400, 20)
 
 
+def test_split_long_texts(spark):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice(["x = 1\n", "\n", "def f():\n", "y" * rnd.randint(1, 60) + "\n"]) for _ in range(30_000))
+    texts = [long, "a\n" * 9_000, "z" * 60_000, "\n" * 5_000]
+    for limits in ({}, {"max_chars": 40, "max_lines": 3, "overlap_lines": 2, "overlap_chars": 12}):
+        chars, lines = limits.get("max_chars", 2048), limits.get("max_lines", 80)
+        for i, got in pieces(spark, texts, **limits).items():
+            assert all(len(r.piece) <= chars and len(rows_of(r.piece)) <= lines for r in got)
+            assert [r.piece_no for r in got] == list(range(1, len(got) + 1))
+            joined = texts[i].split("\n")
+            for r in got[:: max(1, len(got) // 40)]:
+                assert r.last_line - r.first_line + 1 == len(rows_of(r.piece)) and r.piece.split("\n")[0] in joined[r.first_line - 1]
+
+
 def test_split_prefers_natural_places(spark):
     function = "def f():\n" + "".join(f"    step_{i}()\n" for i in range(20)) + "\n"
     got = pieces(spark, [function * 12])[0]
