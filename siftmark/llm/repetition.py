@@ -108,12 +108,6 @@ class Batch:
             self._runs = covered_by_runs(self)
         return self._runs
 
-    def fresh(self) -> Batch:
-        """A batch that knows the same and learns on its own."""
-        out = Batch(self.texts)
-        out._spans, out._chars, out._pieces, out._runs = self._spans, self._chars, self._pieces, self._runs
-        return out
-
     def part(self, rows: np.ndarray) -> Batch:
         """The texts ``rows`` (ascending), with all that is known of them."""
         if len(rows) == len(self.texts):
@@ -185,15 +179,18 @@ def covered_by_pieces(batch: Batch, times: int = PIECE_TIMES, direct: int = DIRE
     """
     c, owner = batch.chars(), batch.owner()
     covered = np.zeros(len(c), bool)
+    ends = np.cumsum(batch.sizes)
     for period in range(1, direct + 1):
         if len(c) <= period * times:
             break
-        same = (c[period:] == c[:-period]) & (owner[period:] == owner[:-period])
-        edge = np.flatnonzero(np.diff(np.r_[0, same.view(np.int8), 0]))
-        begin, stop = edge[::2], edge[1::2]
-        long = stop - begin >= period * (times - 1)
-        for a, b in zip(begin[long], stop[long]):
-            covered[a + period : b + period] = True
+        for i in np.unique(owner[_likely(c, period, times)]):
+            a, b = ends[i] - batch.sizes[i], ends[i]
+            same = c[a + period : b] == c[a : b - period]
+            edge = np.flatnonzero(np.diff(np.r_[0, same.view(np.int8), 0]))
+            begin, stop = edge[::2], edge[1::2]
+            long = stop - begin >= period * (times - 1)
+            for x, y in zip(begin[long], stop[long]):
+                covered[a + x + period : a + y + period] = True
     if len(c) > direct * times:
         letter = _is_letter(c)
         border = np.flatnonzero((letter[1:] != letter[:-1]) | (owner[1:] != owner[:-1])) + 1
@@ -204,6 +201,26 @@ def covered_by_pieces(batch: Batch, times: int = PIECE_TIMES, direct: int = DIRE
     return covered
 
 
+def _likely(c: np.ndarray, period: int, times: int) -> np.ndarray:
+    """Places, at least one in every run of ``times`` pieces of ``period``; few others.
+
+    Such a run has ``period * (times - 1)`` or more characters in a row that equal the one
+    a period further on. So one of them stands at a multiple of that number, and there half of as many
+    follow or go before it.
+    """
+    step = period * (times - 1)
+    at = np.arange(0, len(c) - period, step)
+    at = at[c[at] == c[at + period]]
+    half = min((step + 1) // 2, 12)
+    on, back = at, at
+    for j in range(1, half):
+        on = on[on + j + period < len(c)]
+        on = on[c[on + j] == c[on + j + period]]
+        back = back[back >= j]
+        back = back[c[back - j] == c[back - j + period]]
+    return np.union1d(on, back)
+
+
 def _mark_periods(c: np.ndarray, covered: np.ndarray, times: int, least: int) -> None:
     """Mark what repeats with a period above ``least``, ``times`` or more, by hashes of windows that double in size.
 
@@ -286,6 +303,10 @@ Rule = Callable[[Batch], tuple[np.ndarray, np.ndarray]]
 RULES: dict[str, Rule] = {"short": _too_short, "words": _word_bound, "pieces": _pieces_alone, "runs": _runs_alone}
 
 
+#: What each rule finds, or takes over from rules before it.
+NEEDS = {"short": (), "words": ("words", "pieces"), "pieces": ("pieces",), "runs": ("words", "runs")}
+
+
 class Cascade:
     """The rules in the order of texts settled per second, as measured on the first texts it sees."""
 
@@ -299,28 +320,31 @@ class Cascade:
     def plan(self, texts: list[str]) -> list[str]:
         """Order the rules by texts settled per second on some texts: the best one first, then the best for what it leaves.
 
-        The rules share what they find (words, pieces, runs), so each is timed on the batch
-        that the rules before it have worked on. A rule that settles fewer texts a second than
-        the full measure would is left out.
+        Rules share what they find (words, pieces, runs): each part is found and timed once
+        and counts only for the first rule that needs it. A rule that settles fewer texts a
+        second than the full measure would is left out.
         """
-        order: list[str] = []
-        left = Batch(texts)
-        while len(left.texts):
-            trials = {}
-            for name in self.rules.keys() - set(order):
-                trial = left.fresh()
-                began = time.perf_counter()
-                yes, no = self._settled(self.rules[name](trial))
-                trials[name] = ((yes | no).sum() / (time.perf_counter() - began + 1e-9), trial, np.flatnonzero(~(yes | no)))
-            trial = left.fresh()
+        batch, cost = Batch(texts), {}
+        for part in ("words", "pieces", "runs"):
             began = time.perf_counter()
-            _share(trial)
-            full = len(left.texts) / (time.perf_counter() - began + 1e-9)
-            name = max(trials, key=lambda n: (trials[n][0], n), default=None)
-            if name is None or trials[name][0] <= full:
+            getattr(batch, part)()
+            cost[part] = time.perf_counter() - began
+        settled, own = {}, {}
+        for name, rule in self.rules.items():
+            began = time.perf_counter()
+            yes, no = self._settled(rule(batch))
+            own[name], settled[name] = time.perf_counter() - began, yes | no
+        order: list[str] = []
+        open_, known = np.ones(len(texts), bool), set()
+        price = lambda parts, more: sum(cost[p] for p in set(parts) - known) + more + 1e-9
+        while open_.any():
+            rate = {n: (settled[n] & open_).sum() / price(NEEDS.get(n, cost), own[n]) for n in self.rules if n not in order}
+            name = max(rate, key=lambda n: (rate[n], n), default=None)
+            if name is None or rate[name] <= open_.sum() / price(cost, 0.0):
                 break
             order.append(name)
-            left = trials[name][1].part(trials[name][2])
+            known |= set(NEEDS.get(name, cost))
+            open_ &= ~settled[name]
         return order
 
     def decide(self, texts: list[str]) -> np.ndarray:
