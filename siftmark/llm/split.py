@@ -92,11 +92,17 @@ def split_text(df: DataFrame, text: str, *, max_chars: int = MAX_CHARS, max_line
 
     def overlap(news: Column, new: Column, at: Column, i: Column) -> Column:
         """Whole lines, each after a line break, of the text just before the piece as far as there is room."""
-        room = F.least(F.lit(max_chars) - F.length(new), at)
-        near = F.array_join(F.slice(news, F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR))), "")
-        # the pieces before are nearly always enough; where they are not, the text is
-        before = F.when(i <= NEAR, F.concat(F.lit("\n"), near)).when(F.length(near) > room, near).otherwise(F.concat(F.lit("\n"), F.substring(F.col(text), F.lit(1), at)))
-        return F.when((room > 0) & F.lit(overlap_lines > 0), F.regexp_extract(F.right(before, room + 1), rf"\n((?:[^\n]*+\n){{1,{max(1, overlap_lines)}}}+)\z", 1)).otherwise("")
+        if not overlap_lines:
+            return F.lit("")
+        pieces_ = F.array_join(F.slice(news, F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR))), "")
+        whole = rf"\n((?:[^\n]*+\n){{1,{overlap_lines}}}+)\z"
+
+        def lines_before(room: Column, near: Column) -> Column:
+            # the pieces before are nearly always enough; where they are not, the text is
+            start = F.when(i <= NEAR, F.concat(F.lit("\n"), near)).when(F.length(near) > room, near).otherwise(F.concat(F.lit("\n"), F.substring(F.col(text), F.lit(1), at)))
+            return F.regexp_extract(F.substring(start, -room - 1, room + 1), whole, 1)
+
+        return _let(F.least(F.lit(max_chars) - F.length(new), at), lambda room: F.when(room > 0, _let(pieces_, lambda near: lines_before(room, near))).otherwise(""))
 
     def piece(news: Column, new: Column, at: Column, line: Column, i: Column) -> Column:
         return _let(overlap(news, new, at, i), lambda over: F.struct((i + 1).alias("no"), (line - breaks(over) + 1).alias("first"), F.concat(over, new).alias("piece")))
