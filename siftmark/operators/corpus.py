@@ -97,6 +97,15 @@ def storage(files: DataFrame, blobs: DataFrame, snapshot: int | None = None) ->
     return rows.groupBy("repo").agg(F.count("*").alias("files")).join(held, "repo", "left").select("repo", "files", F.coalesce("blobs", F.lit(0)).alias("blobs"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
+def index_stats(files: DataFrame, blobs: DataFrame, before: int, after: int) -> DataFrame:
+    """(repo, files, changed_blobs, bytes) of a snapshot: its entries, the distinct blobs that no file of the repository had in the one before, and their bytes."""
+    sizes = blobs.where(F.col("blob").isNotNull() & F.col("content").isNotNull()).select(F.lower("blob").alias("blob"), F.octet_length("content").alias("n")).groupBy("blob").agg(F.min("n").alias("n"))
+    now, old = snapshot_files(files, after), snapshot_files(files, before).select("repo", "blob").distinct()
+    new = now.select("repo", "blob").distinct().join(old, ["repo", "blob"], "left_anti").join(sizes, "blob")
+    counts = new.groupBy("repo").agg(F.count("*").alias("changed_blobs"), F.sum("n").alias("bytes"))
+    return now.groupBy("repo").agg(F.count("*").alias("files")).join(counts, "repo", "left").fillna(0, ["changed_blobs", "bytes"])
+
+
 def changed_repositories(files: DataFrame, before: int, after: int) -> DataFrame:
     """(repo, before_sig, after_sig, changed): whether a repository's tree differs between two snapshots, by an order-free signature."""
     rows = latest_entries(files.where(F.col("snapshot").isin(before, after)))

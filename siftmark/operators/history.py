@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftmark.functions.text import is_config, is_test, overlap_score, split_lines, terms, ticket_ids
 from siftmark.operators.corpus import IGNORED_DIRS, MAX_BYTES, UNSAFE, admitted, stored_blobs
+from siftmark.runtime import cut
 
 # Most changes of a commit, commits of a repository, characters read of a text about a ticket, and shown of it.
 MAX_CHANGES, COMMITS, READ_CHARS, EXCERPT_CHARS = 250, 1000, 20_000, (6_000, 12_000)
@@ -77,13 +78,29 @@ def term_index(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.col(text).isNotNull()).select(key, F.explode(terms(F.col(text))).alias("term")).distinct()
 
 
-def similar_by_terms(queries: DataFrame, index: DataFrame, query_key: str, key: str, text: str, limit: int = 5) -> DataFrame:
-    """(query_key, key, score, rank): the nearest rows of each query through the postings, so only rows with a common term meet.
+def similar_by_terms(queries: DataFrame, index: DataFrame, query_key: str, key: str, text: str, limit: int = 5, *, first_postings: int = 20_000) -> DataFrame:
+    """(query_key, key, score, rank): the nearest rows of each query by common terms, ties by the greater key.
 
-    Scores add up before they are ranked; a term that very many rows share is joined by skew handling of the engine.
+    Rows that share only common terms with a query never meet it, and the result is exact:
+    the postings of its rarest terms, ``first_postings`` of them at most unless the rarest
+    has more, give a score that the ``limit``-th row has at least. The most frequent terms
+    that together weigh less cannot bring a row in, so candidates come from the others
+    only; their full scores are looked up row by row.
     """
     asked = queries.where(F.col(text).isNotNull()).select(F.col(query_key).alias("__q"), F.explode(terms(F.col(text))).alias("term")).distinct()
-    score = asked.join(index.select("term", F.col(key).alias("__k")), "term").groupBy("__q", "__k").agg(F.sum(F.least(F.lit(12), F.length("term"))).alias("score"))
+    asked = asked.withColumn("w", F.least(F.lit(12), F.length("term")).cast("bigint"))
+    postings = index.select("term", F.col(key).alias("__k"))
+    count = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    asked = cut(asked.join(count, "term"))
+    rare = Window.partitionBy("__q").orderBy("n", "term")
+    before = F.coalesce(F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = asked.withColumn("__b", before).where((F.col("__b") == 0) | (F.col("__b") + F.col("n") <= first_postings))
+    least = some.join(postings, "term").groupBy("__q", "__k").agg(F.sum("w").alias("s")).withColumn("__n", F.row_number().over(Window.partitionBy("__q").orderBy(F.col("s").desc()))).where(F.col("__n") == limit).select("__q", F.col("s").alias("__least"))
+    common = Window.partitionBy("__q").orderBy(F.col("n").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
+    needed = asked.withColumn("__c", F.sum("w").over(common)).join(least, "__q", "left").where(F.col("__c") >= F.coalesce("__least", F.lit(0)))
+    met = needed.select("__q", "term").join(postings, "term").select("__q", "__k").distinct()
+    held = postings.join(met.select("__k").distinct(), "__k", "left_semi")
+    score = met.join(held, "__k").join(asked.select("__q", "term", "w"), ["__q", "term"]).groupBy("__q", "__k").agg(F.sum("w").alias("score"))
     order = Window.partitionBy("__q").orderBy(F.col("score").desc(), F.col("__k").desc())
     return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("__q").alias(query_key), F.col("__k").alias(key), "score", "rank")
 

@@ -41,6 +41,17 @@ def fuse(hits: DataFrame) -> DataFrame:
     return rows.select("repo", "path", "line", F.col("best.text").alias("text"), F.col("best.kind").alias("kind"), score.alias("score"), F.col("channels").alias("found_by"))
 
 
+def merged_channels(*channels: DataFrame) -> DataFrame:
+    """The hits of several channels as one row for each location: greatest score, all channels; text and kind of the first channel that has it."""
+    every = None
+    for i, c in enumerate(channels):
+        rows = c.select("repo", "path", "line", "text", "kind", "score", "found_by", F.lit(i).alias("__i"))
+        every = rows if every is None else every.unionByName(rows)
+    first = F.min(F.struct("__i", (-F.coalesce("score", F.lit(0.0))).alias("s"), "kind", "text")).alias("x")
+    rows = every.groupBy("repo", "path", "line").agg(first, F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("found_by")))).alias("found_by"))
+    return rows.select("repo", "path", "line", F.col("x.text").alias("text"), F.col("x.kind").alias("kind"), "score", "found_by")
+
+
 def anchor_regions(hits: DataFrame, distance: int = max(10, WINDOW_LINES)) -> DataFrame:
     """Hits of a file that lie near an anchor become one region: line, text and score of its best hit, all channels and kinds.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftmark.operators import ranking as R
 from siftmark.operators.corpus import blob_lines
-from siftmark.queries.base import CORPUS, HITS, fused, regions, source
+from siftmark.queries.base import CORPUS, HITS, fused, hits, regions, source
 from siftmark.runtime import table
 
 RERANK = "harbor-core code java c0000000123 kind:"
@@ -18,6 +18,11 @@ def fusion_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return fused(spark, sf).select("repo", "path", "line", "kind", "score", F.array_join("found_by", ",").alias("channels"))
 
 
+def channel_union(spark: SparkSession, sf: str) -> DataFrame:
+    rows = hits(spark, sf)
+    return R.merged_channels(rows.where(F.col("kind") == "definition"), rows.where(F.col("kind") == "code")).select("repo", "path", "line", "kind", "score", F.array_join("found_by", ",").alias("channels"))
+
+
 def region_anchor_merge(spark: SparkSession, sf: str) -> DataFrame:
     return R.anchor_regions(fused(spark, sf), 40).select("repo", "path", "line", "score", "kind", F.array_join("found_by", ",").alias("channels"))
 
@@ -74,7 +79,7 @@ def budget_with_skips(spark: SparkSession, sf: str) -> DataFrame:
     return R.within_budget(rows, "size", 20_000, 40)
 
 
-QUERIES = {f.__name__: f for f in (fusion_rrf, region_anchor_merge, diversity_quota, candidate_numbers, source_windows, interval_merge, evidence_stitch, min_max_rerank, token_overlap_rank, bounded_rerank, budget_with_skips)}
+QUERIES = {f.__name__: f for f in (fusion_rrf, channel_union, region_anchor_merge, diversity_quota, candidate_numbers, source_windows, interval_merge, evidence_stitch, min_max_rerank, token_overlap_rank, bounded_rerank, budget_with_skips)}
 
 _WINDOWS = f"""{CORPUS}, {HITS},
 sizes AS (SELECT repo, path, max(line) AS n FROM lines GROUP BY ALL),
@@ -88,6 +93,8 @@ _RANK = "ORDER BY score DESC, repo, path, line"
 
 ORACLE = {
     "fusion_rrf": f"WITH {HITS} SELECT repo, path, line, kind, score, array_to_string(found_by, ',') AS channels FROM fused",
+    "channel_union": f"""WITH {HITS}, u AS (SELECT * FROM hits WHERE kind IN ('definition', 'code'))
+SELECT repo, path, line, max(kind) AS kind, max(score) AS score, array_to_string(list_sort(list_distinct(flatten(list(found_by)))), ',') AS channels FROM u GROUP BY repo, path, line""",
     "region_anchor_merge": f"WITH RECURSIVE {HITS}, {regions(40)} SELECT repo, path, line, score, array_to_string(kinds, ', ') AS kind, array_to_string(found_by, ',') AS channels FROM regions",
     "diversity_quota": f"""WITH {HITS}, top AS (SELECT repo, path, line, score FROM fused {_RANK} LIMIT 500),
 f AS (SELECT *, row_number() OVER (PARTITION BY repo, path {_RANK}) AS a FROM top),

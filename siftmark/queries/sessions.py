@@ -10,6 +10,7 @@ from siftmark.operators import corpus as C
 from siftmark.operators import history as H
 from siftmark.operators import lexical as L
 from siftmark.operators import measure as M
+from siftmark.operators import models as MO
 from siftmark.operators import relations as R
 from siftmark.plans import report
 from siftmark.queries.base import CORPUS, source, texts
@@ -163,9 +164,35 @@ def project_facts(spark: SparkSession, sf: str) -> DataFrame:
     return report.fact_lines(table(spark, sf, "repositories").select(F.col("name").alias("repo"), "description"), L.framework_facts(files, blobs), R.maven_facts(texts(spark, sf, r"(^|/)pom\.xml$")))
 
 
+def vector_conformance(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a label are a case; every seventh differs from its single call, the reference is the vector with its first number turned."""
+    rows = table(spark, sf, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    single = F.transform("v", lambda x: x + F.when(F.col("vec_id") % 7 == 0, 0.001).otherwise(0.00001))
+    turned = F.concat(F.array(-F.element_at("v", 1)), F.slice("v", 2, 1000))
+    place = F.row_number().over(Window.partitionBy("label", F.pmod("vec_id", F.lit(50))).orderBy("vec_id")) - 1
+    cases = rows.select(F.concat_ws(":", F.col("label").cast("string"), F.pmod("vec_id", F.lit(50)).cast("string")).alias("case"), place.alias("position"), F.col("v").alias("batch"), single.alias("single"), turned.alias("reference"), F.lit(0.9).alias("minimum"), F.lit(None).cast("int").alias("expected"))
+    return MO.vector_conformance(cases)
+
+
+def score_conformance(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("case"), "event_id", "value", F.floor(F.col("event_id") / 400).alias("part"))
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("case", "part").orderBy("event_id")) - 1)
+    cases = rows.select(F.concat_ws(":", F.col("case").cast("string"), F.col("part").cast("string")).alias("case"), "position", F.col("value").alias("batch"), (F.col("value") + F.when(F.col("event_id") % 29 == 0, 0.1).otherwise(0.0)).alias("single"), F.lit(None).cast("double").alias("reference"), F.lit(None).cast("double").alias("maximum"), F.lit(0).alias("top"))
+    return MO.score_conformance(cases)
+
+
+def model_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").where(F.col("value") > 0)
+    pick = lambda sizes: F.element_at(F.array(*[F.lit(s) for s in sizes]), (F.col("event_id") % len(sizes) + 1).cast("int"))
+    batch = MO.tuned_batch(events.select(F.col("event_type").alias("pack"), pick(MO.BATCHES).alias("size"), F.round("value", 2).cast("decimal(18,2)").alias("ms")))
+    pool = MO.tuned_pool(events.select(F.col("event_type").alias("pack"), pick(MO.POOLS).alias("size"), (F.col("value") * pick(MO.POOLS)).alias("ms")), 900.0)
+    return batch.select("pack", F.col("size").alias("batch")).join(pool.select("pack", F.col("size").alias("pool")), "pack")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        vector_conformance, score_conformance, model_tuning,
         session_evaluation, session_summary, golden_evaluation, evidence_rounds, backend_counters, project_status, index_freshness, tree_signatures, repeated_plans, pinned_rows, missing_pins, session_coverage, text_pieces,
         new_repositories, git_manifest, fetchable_blobs, payload_objects, project_facts,
     )
@@ -258,4 +285,15 @@ l AS (SELECT name AS repo, 1 AS part, '' AS a, 0 AS b, '## ' || name AS text FRO
   UNION ALL SELECT name, 3, '', 0, '### Framework facts' FROM repositories UNION ALL SELECT repo, 4, path, line, text FROM f WHERE repo IN (SELECT name FROM repositories) UNION ALL SELECT name, 4, '', 0, '- none' FROM repositories WHERE name NOT IN (SELECT repo FROM f)
   UNION ALL SELECT name, 5, '', 0, '### Dependencies' FROM repositories UNION ALL SELECT repo, 6, text, 0, text FROM m WHERE repo IN (SELECT name FROM repositories) UNION ALL SELECT name, 6, '', 0, '- none' FROM repositories WHERE name NOT IN (SELECT repo FROM m))
 SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY part, a, b)::INT AS n, text FROM l""",
+    "vector_conformance": """WITH e AS (SELECT label || ':' || (vec_id % 50) AS c, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, embedding[1]::DOUBLE AS a FROM embeddings),
+n AS (SELECT c, vec_id % 7 = 0 AS off, list_sum(list_transform(v, lambda x: x * x)) AS q, a FROM e)
+SELECT c AS "case", count(*) AS texts, bool_and(NOT off) AS parity, bool_and(abs(sqrt(q) - 1) <= 0.001) AS length, bool_and((q - 2 * a * a) / q >= 0.9) AS reference, true AS order_ok,
+  bool_and(NOT off) AND bool_and(abs(sqrt(q) - 1) <= 0.001) AND bool_and((q - 2 * a * a) / q >= 0.9) AS passed FROM n GROUP BY 1""",
+    "score_conformance": """WITH e AS (SELECT user_id || ':' || (event_id // 400) AS c, event_id, value FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY event_id) - 1 AS position, row_number() OVER (PARTITION BY c ORDER BY value DESC, event_id) AS n FROM e)
+SELECT c AS "case", count(*) AS documents, bool_and(event_id % 29 <> 0) AS parity, true AS delta, bool_and(n > 1 OR position = 0) AS top_ok, bool_and(event_id % 29 <> 0) AND bool_and(n > 1 OR position = 0) AS passed FROM n GROUP BY 1""",
+    "model_tuning": """WITH e AS (SELECT event_type AS pack, [1, 8, 16][event_id % 3 + 1] AS b, [10, 20, 40, 80][event_id % 4 + 1] AS p, round(value, 2)::DECIMAL(18, 2) AS ms, value FROM events WHERE value > 0),
+r AS (SELECT pack, b, round(sum(b) * 1000 / sum(ms), 3) AS rate FROM e GROUP BY ALL),
+q AS (SELECT pack, p, quantile_disc(value * p, 0.95) AS p95 FROM e GROUP BY ALL)
+SELECT r.pack, max_by(b, (rate, b)) AS batch, (SELECT coalesce(max(CASE WHEN p95 <= 900 THEN p END), min(p)) FROM q WHERE q.pack = r.pack) AS pool FROM r GROUP BY r.pack""",
 }

@@ -43,6 +43,10 @@ def storage_totals(spark: SparkSession, sf: str) -> DataFrame:
     return C.storage(table(spark, sf, "files"), table(spark, sf, "blobs"))
 
 
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return C.index_stats(table(spark, sf, "files"), table(spark, sf, "blobs"), 3, 4)
+
+
 def keep_newest(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "files").groupBy("repo", "snapshot").agg(F.max("delivered_at").alias("at")).withColumn("pinned", F.col("snapshot") == 1)
     return C.keep_newest(rows, ["repo"], [F.col("at").desc(), F.col("snapshot").desc()], 2, "pinned").select("repo", "snapshot", "removable")
@@ -372,7 +376,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        all_settings, workflow_chain, commit_log, cache_after_use, stream_sessions, retrieve_calls, blob_dedup, missing_blobs, orphan_blobs, changed_sources, storage_totals, keep_newest, lru_trim, content_hash, config_values, yaml_values, config_resolve, kafka_producers, maven_dependencies,
+        all_settings, index_stats, workflow_chain, commit_log, cache_after_use, stream_sessions, retrieve_calls, blob_dedup, missing_blobs, orphan_blobs, changed_sources, storage_totals, keep_newest, lru_trim, content_hash, config_values, yaml_values, config_resolve, kafka_producers, maven_dependencies,
         dependency_edges, relationship_slice, workflow_paths, route_normalize, annotation_extract, service_names, ticket_extract_group, ticket_cases, similar_cases, token_terms, term_overlap_similarity, redaction,
         pickaxe_history, chunk_lines, chunk_cards, vector_topk, vector_topk_per_label, hashed_embedding, cached_embedding, latency_percentiles, latest_per_event, payload_timings, case_metrics, macro_metrics, micro_recall,
         duplicate_ratio, session_progress, first_seen_evidence, cumulative_coverage, coverage_flags, reply_classify, plan_explain, retrieve_context, stream_refresh, stream_windowed_counts,
@@ -500,6 +504,9 @@ SELECT repo, bool_or(diff) AS changed FROM d GROUP BY 1""",
     "storage_totals": f"""WITH {CORPUS}, e AS (SELECT e.repo, e.path, e.blob, strlen(s.content) AS bytes FROM entries e LEFT JOIN stored s USING (blob) WHERE snapshot = 4 AND blob IS NOT NULL),
 h AS (SELECT repo, count(*) AS blobs, sum(bytes)::BIGINT AS bytes FROM (SELECT DISTINCT repo, blob, bytes FROM e WHERE bytes IS NOT NULL) GROUP BY 1)
 SELECT n.repo, files, coalesce(blobs, 0) AS blobs, coalesce(bytes, 0)::BIGINT AS bytes FROM (SELECT repo, count(*) AS files FROM e GROUP BY 1) n LEFT JOIN h ON n.repo = h.repo""",
+    "index_stats": f"""WITH {CORPUS}, n AS (SELECT repo, path, blob FROM entries WHERE snapshot = 4 AND blob IS NOT NULL), o AS (SELECT DISTINCT repo, blob FROM entries WHERE snapshot = 3 AND blob IS NOT NULL),
+d AS (SELECT repo, blob FROM n EXCEPT SELECT repo, blob FROM o), c AS (SELECT repo, count(*) AS k, sum(strlen(content))::BIGINT AS b FROM d JOIN stored USING (blob) GROUP BY 1)
+SELECT t.repo, files, coalesce(k, 0) AS changed_blobs, coalesce(b, 0)::BIGINT AS bytes FROM (SELECT repo, count(*) AS files FROM n GROUP BY 1) t LEFT JOIN c ON c.repo = t.repo""",
     "keep_newest": """WITH r AS (SELECT repo, snapshot, max(delivered_at) AS d FROM files GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY repo, snapshot = 1 ORDER BY d DESC, snapshot DESC) AS n FROM r)
 SELECT repo, snapshot, snapshot <> 1 AND n > 2 AS removable FROM k""",

@@ -28,9 +28,15 @@ def file_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
     return rows.select("repo", "path", F.sha1(F.concat(header, F.unhex(F.lit("00")), F.col("content"))).alias("blob"), F.decode("content", "UTF-8").alias("content"), "size")
 
 
-def metric_events(spark: SparkSession, path: str) -> DataFrame:
-    """(event, metric, value) of all ``*_ms`` numbers in JSON lines; malformed lines are skipped."""
+def metric_events(spark: SparkSession, path: str, tail: int | None = None) -> DataFrame:
+    """(event, metric, value) of all ``*_ms`` numbers in JSON lines, of the last ``tail`` lines if told; malformed lines are skipped.
+
+    Lines follow each other by the time their file was written, its name and their place in it.
+    """
     lines = spark.read.text(path)
+    if tail is not None:
+        at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        lines = lines.select("value", at.alias("__at")).orderBy(F.col("__at").desc()).limit(tail).select("value")
     row = F.from_json("value", "map<string,string>")
     pairs = lines.select(row["event"].alias("event"), F.explode(F.map_entries(row)).alias("kv"))
     return pairs.where(F.col("kv.key").endswith("_ms")).select("event", F.col("kv.key").alias("metric"), F.col("kv.value").try_cast("double").alias("value")).where(F.col("value").isNotNull())
@@ -111,3 +117,16 @@ def flattened(rows: DataFrame, key: str, payload: str) -> DataFrame:
 
     ship(rows.sparkSession)
     return rows.select(key, payload).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, fields map<string,string>")
+
+
+def mirror(rows: DataFrame, root: str, keys: tuple[str, ...] = ("repo", "sha")) -> None:
+    """Rows into a table partitioned by ``keys``: what the rows name is replaced whole, the rest of the table stays."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(root)
+
+
+def local_diffs(diffs: DataFrame) -> DataFrame:
+    """Evidence of what is changed in working trees and not committed: ``diffs`` has repo, unstaged and staged text; blank ones give none."""
+    parts = F.filter(F.array(*[F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\r\n")) for c in ("unstaged", "staged")]), lambda t: t != "")
+    rows = diffs.select("repo", F.array_join(parts, "\n").alias("content")).where(F.col("content") != "")
+    lines = F.length("content") - F.length(F.translate("content", "\n", "")) + 1
+    return rows.select("repo", F.lit("(working tree diff)").alias("path"), F.lit(1).alias("line_start"), lines.alias("line_end"), F.lit("local diff").alias("kind"), F.lit(100.0).alias("score"), F.array(F.lit("working tree")).alias("found_by"), "content")

@@ -75,27 +75,30 @@ def session_rounds(stream: DataFrame) -> DataFrame:
     """(ticket, number, new_evidence, no_progress, duplicate): the state of each ticket's session after every round.
 
     ``stream`` has ticket, number, signature and evidence (keys). The state of a ticket is
-    the evidence and signatures seen so far; a plan seen before is flagged and changes nothing.
+    the evidence and signatures seen so far, as 64-bit digests; a plan seen before is
+    flagged and changes nothing. The state grows with the evidence of a session, not with its rounds.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        columns = ["ticket", "number", "new_evidence", "no_progress", "duplicate"]
         seen, plans, idle = state.get if state.exists else ([], [], 0)
         seen, plans = set(seen), set(plans)
         out = []
         rows = pd.concat(list(frames)).sort_values("number")
-        for number, signature, evidence in zip(rows["number"], rows["signature"], rows["evidence"]):
+        for number, signature, evidence in zip(rows["number"], rows["plan"], rows["keys"]):
             if signature in plans:
                 out.append((key[0], number, 0, idle, True))
                 continue
-            new = set(evidence if evidence is not None else ()) - seen
+            new = set(evidence.tolist() if evidence is not None else ()) - seen
             idle = 0 if new else idle + 1
             seen |= new
             plans.add(signature)
             out.append((key[0], number, len(new), idle, False))
         state.update((sorted(seen), sorted(plans), idle))
-        yield pd.DataFrame(out, columns=["ticket", "number", "new_evidence", "no_progress", "duplicate"])
+        yield pd.DataFrame(out, columns=columns)
 
     ship(stream.sparkSession)
-    return stream.groupBy("ticket").applyInPandasWithState(
-        step, "ticket string, number int, new_evidence int, no_progress int, duplicate boolean", "seen array<string>, plans array<string>, idle int", "append", "NoTimeout"
+    rows = stream.select("ticket", "number", F.xxhash64("signature").alias("plan"), F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.xxhash64(e)).alias("keys"))
+    return rows.groupBy("ticket").applyInPandasWithState(
+        step, "ticket string, number int, new_evidence int, no_progress int, duplicate boolean", "seen array<bigint>, plans array<bigint>, idle int", "append", "NoTimeout"
     )

@@ -105,6 +105,24 @@ def test_history(spark):
     assert [r.excerpt for r in H.patch_excerpts(secret, 60, ["n"]).collect()] == ["x"]
 
 
+def test_similar_rows_are_exact_whatever_is_left_out(spark):
+    import random
+
+    rnd = random.Random(6)
+    common, rare = ["ledger", "harbor", "voucher"], [f"rare{c}{d}" for c in "abcdefgh" for d in "stuvw"]
+    rows = [(i, " ".join([w for w in common if rnd.random() < 0.8] + rnd.sample(rare, rnd.randint(0, 3)))) for i in range(400)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc int, text string")
+    asked = docs.where("doc % 20 = 0").withColumnRenamed("doc", "asked")
+    words = {i: set((t or "").split()) for i, t in rows}
+    want = set()
+    for q in range(0, 400, 20):
+        scores = sorted(((sum(min(12, len(w)) for w in words[q] & words[d]), d) for d, t in rows if words[q] & words[d]), reverse=True)[:5]
+        want |= {(q, d, s, n) for n, (s, d) in enumerate(scores, 1)}
+    for first in (1, 50, 100_000):
+        got = H.similar_by_terms(asked, H.term_index(docs, "doc", "text"), "asked", "doc", "text", first_postings=first)
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_measures(spark):
     ranked = spark.createDataFrame([("c", 1, "a"), ("c", 2, "a"), ("c", 3, "b"), ("d", 1, "z")], "case string, rank int, item string")
     wanted = spark.createDataFrame([("c", "b"), ("c", "q"), ("d", None), ("e", "a")], "case string, item string")
@@ -357,3 +375,38 @@ def test_readers(spark, tmp_path):
     rows = spark.createDataFrame([(1, payload), (2, "{broken"), (3, None)], "id int, payload string")
     flat = [(r.id, tuple(sorted(r.fields.items()))) for r in readers.flattened(rows, "id", "payload").collect() if r.fields]
     assert sorted(flat) == sorted([(1, (("more", '{"x": 1}'),)), (1, (("line", "3"), ("path", "a.py"))), (1, (("path", "b.py"),)), (1, (("x", "1"),))])
+
+
+def test_models(spark):
+    from siftmark.operators import models as MO
+
+    near = lambda *v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    rows = [("a", 0, near(1.0, 0.0), near(1.0, 0.0), None, None, None), ("a", 1, near(1.0, 1.0), near(1.0, 1.0), near(1.0, 1.0), 0.99, 2), ("a", 2, near(3.0, 1.0), near(3.0, 1.0), None, None, 1), ("b", 0, [2.0, 0.0], [2.0, 0.1], near(0.0, 1.0), 0.5, None), ("c", 0, near(1.0, 2.0), None, None, None, None)]
+    got = {r.case: r for r in MO.vector_conformance(spark.createDataFrame(rows, "case string, position int, batch array<double>, single array<double>, reference array<double>, minimum double, expected int")).collect()}
+    assert got["a"].passed and got["a"].texts == 3 and not got["c"].parity
+    assert (got["b"].parity, got["b"].length, got["b"].reference, got["b"].passed) == (False, False, False, False)
+    scores = [("a", 0, 0.9, 0.9, 0.85, 0.1, 0), ("a", 1, 0.2, 0.2, None, None, 0), ("b", 0, float("nan"), 0.1, None, None, 1), ("b", 1, 0.5, 0.5, 0.9, 0.1, 1)]
+    got = {r.case: r for r in MO.score_conformance(spark.createDataFrame(scores, "case string, position int, batch double, single double, reference double, maximum double, top int")).collect()}
+    assert got["a"].passed and not got["b"].parity and not got["b"].delta
+    samples = spark.createDataFrame([("p", 1, 10.0), ("p", 8, 80.0), ("p", 16, 200.0)], "pack string, size int, ms double")
+    assert [(r.size, r.per_second) for r in MO.tuned_batch(samples).collect()] == [(8, 100.0)]
+    assert MO.tuned_pool(samples, 90.0).first()["size"] == 8 and MO.tuned_pool(samples, 1.0).first()["size"] == 1
+
+
+def test_mirrors_diffs_and_vectors_of_commits(spark, tmp_path):
+    from siftmark.sources import readers
+
+    root = str(tmp_path / "mirror")
+    readers.mirror(spark.createDataFrame([("a", "1", "p"), ("b", "1", "q")], "repo string, sha string, path string"), root)
+    readers.mirror(spark.createDataFrame([("a", "1", "new")], "repo string, sha string, path string"), root)
+    assert {(r.repo, r.path) for r in spark.read.parquet(root).collect()} == {("a", "new"), ("b", "q")}
+    diffs = spark.createDataFrame([("a", "x\ny\n", " z "), ("b", None, " \n")], "repo string, unstaged string, staged string")
+    assert [(r.repo, r.content, r.line_end) for r in readers.local_diffs(diffs).collect()] == [("a", "x\ny\nz", 3)]
+    vectors = str(tmp_path / "vectors")
+    S.write_vectors(spark.createDataFrame([("a", "1", "m", 1, [1.0]), ("a", "2", "m", 2, [2.0]), ("b", "1", "n", 3, [3.0])], "repo string, sha string, pack_id string, vec_id int, embedding array<double>"), vectors)
+    sources = spark.createDataFrame([("a", "2"), ("b", "1"), ("c", None)], "name string, sha string")
+    assert [r.vec_id for r in S.current_vectors(spark.read.parquet(vectors), sources, "m").collect()] == [2]
+    events = str(tmp_path / "events")
+    for n in range(3):
+        readers.append_metrics(spark.createDataFrame([("e", n)], "event string, wait_ms int").coalesce(1), events)
+    assert readers.metric_events(spark, events, 2).count() == 2 and readers.metric_events(spark, events).count() == 3
