@@ -195,8 +195,8 @@ class GenerationStore:
 
     def _index(self, folder: str) -> str:
         grams = self.spark.read.parquet(f"{self.root}/{folder}").select("blob", F.explode(trigrams(F.col("content"))).alias("trigram"))
-        # postings of a trigram lie together and in order, so that a search reads few row groups
-        return self._write("postings", grams.repartitionByRange("trigram", "blob").sortWithinPartitions("trigram", "blob"))
+        # postings of a trigram lie in at most four places and in order, so that a search reads few row groups
+        return self._write("postings", grams.repartition("trigram", F.pmod(F.xxhash64("blob"), F.lit(4))).sortWithinPartitions("trigram", "blob"))
 
     def _read(self, folders: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)

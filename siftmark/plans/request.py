@@ -367,7 +367,6 @@ class Engine:
         calls = self._calls(request, hits)
         history = hits.where(F.col("kind") == "history").select("asked", "repo", "path", "line", "text").distinct()
         cases = similar_cases(self.cases, request.objective) if self.cases is not None else None
-        evidence = cut(evidence)
         return {
             "selected": chosen,
             "omitted": ranking.numbered(left),
@@ -438,7 +437,7 @@ class Engine:
             if "callees" in (s.get("include") or ()):
                 found = hits.where(F.col("asked") == f"callees:{s['name']}")
                 out = out.unionByName(lexical.callees(self._scope(s.get("repos")), self.blobs, s["name"], found=found).select(F.lit(s["name"]).alias("symbol"), "callee"))
-        return cut(out)
+        return out
 
     def _unresolved(self, request: Request, hits: DataFrame, direct: DataFrame | None, calls: DataFrame) -> DataFrame:
         """The parts of the request for which nothing was found; callers and callees by what they are, not by a definition alone."""

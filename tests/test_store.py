@@ -118,8 +118,8 @@ def test_similar_rows_are_exact_whatever_is_left_out(spark):
     for q in range(0, 400, 20):
         scores = sorted(((sum(min(12, len(w)) for w in words[q] & words[d]), d) for d, t in rows if words[q] & words[d]), reverse=True)[:5]
         want |= {(q, d, s, n) for n, (s, d) in enumerate(scores, 1)}
-    for first in (1, 50, 100_000):
-        got = H.similar_by_terms(asked, H.term_index(docs, "doc", "text"), "asked", "doc", "text", first_postings=first)
+    for first, direct in ((1, 0), (50, 0), (100_000, 0), (50, 10**9)):
+        got = H.similar_by_terms(asked, H.term_index(docs, "doc", "text"), "asked", "doc", "text", first_postings=first, direct_pairs=direct)
         assert {tuple(r) for r in got.collect()} == want
 
 
