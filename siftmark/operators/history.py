@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmark.functions.text import is_config, is_test, overlap_score, split_lines, terms, ticket_ids
+from siftmark.operators import overlap
 from siftmark.operators.corpus import IGNORED_DIRS, MAX_BYTES, UNSAFE, admitted, stored_blobs
-from siftmark.runtime import cut
 
 # Most changes of a commit, commits of a repository, characters read of a text about a ticket, and shown of it.
 MAX_CHANGES, COMMITS, READ_CHARS, EXCERPT_CHARS = 250, 1000, 20_000, (6_000, 12_000)
@@ -73,58 +73,35 @@ def similar_cases(cases: DataFrame, query: str, limit: int = 5) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), F.col("latest_date").desc_nulls_last(), F.col("ticket").desc()).limit(limit)
 
 
-#: Most terms of queries that are broadcast to the postings; more of them are joined.
-BROADCAST_TERMS = 500_000
-
-
 def term_index(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key) postings, each once; to be kept as a table or written down, since searches read it several times."""
     return rows.where(F.col(text).isNotNull()).select(key, F.explode(terms(F.col(text))).alias("term")).distinct()
 
 
+def term_lists(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms): all terms of a key, each once; rows of the same key are put together."""
+    lists = rows.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("terms"))
+    if rows.where(F.col(text).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        return lists
+    return lists.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+
+
 def similar_by_terms(queries: DataFrame, index: DataFrame, query_key: str, key: str, text: str, limit: int = 5, *, first_postings: int = 20_000, direct_pairs: int = 20_000_000) -> DataFrame:
     """(query_key, key, score, rank): the nearest rows of each query by common terms, ties by the greater key.
 
-    Where all terms of all queries have ``direct_pairs`` postings at most they are simply
-    joined. Else rows that share only common terms with a query never meet it; the result is the same, as
-    the postings of its rarest terms, ``first_postings`` of them at most unless the rarest
-    has more, give a score that the ``limit``-th row has at least. The most frequent terms
-    that together weigh less cannot bring a row in, so rows are met through the others
-    only, and the common terms are looked up for those that can still reach that score.
+    ``index`` has ``term_index`` postings or ``term_lists`` rows; all of it is searched, in shards of
+    some 65,000 rows. In each of them the rarest terms of a query, ``first_postings`` postings
+    at least, give a score that the ``limit``-th row has at least; rows that what is left cannot
+    lift to it are not looked at again, so the result is the same. Where a block of queries and a shard have
+    ``direct_pairs`` pairs at most, all terms are simply added up.
     """
-    asked = queries.where(F.col(text).isNotNull()).select(F.col(query_key).alias("__q"), F.explode(terms(F.col(text))).alias("term")).distinct()
-    asked = asked.withColumn("w", F.least(F.lit(12), F.length("term")).cast("bigint"))
-    postings = index.select("term", F.col(key).alias("__k"))
-    count = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    asked = cut(asked.join(count, "term"))
-    size = asked.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
-    few = (lambda t: F.broadcast(t)) if size.rows <= BROADCAST_TERMS else (lambda t: t)
-    if size.pairs <= direct_pairs:
-        score = postings.join(few(asked.select("__q", "term", "w")), "term").groupBy("__q", "__k").agg(F.sum("w").alias("score"))
-        return _nearest(score, query_key, key, limit)
-    rare = Window.partitionBy("__q").orderBy("n", "term")
-    before = F.coalesce(F.sum("n").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = asked.withColumn("__b", before).where((F.col("__b") == 0) | (F.col("__b") + F.col("n") <= first_postings))
-    least = postings.join(few(some), "term").groupBy("__q", "__k").agg(F.sum("w").alias("s")).withColumn("__n", F.row_number().over(Window.partitionBy("__q").orderBy(F.col("s").desc()))).where(F.col("__n") == limit).select("__q", F.col("s").alias("__least"))
-    common = Window.partitionBy("__q").orderBy(F.col("n").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = asked.withColumn("__c", F.sum("w").over(common)).join(least, "__q", "left").withColumn("__least", F.coalesce("__least", F.lit(0)))
-    ranked = cut(ranked.withColumn("__spared", F.col("__c") < F.col("__least")))
-    spared = ranked.where("__spared")
-    rest = spared.groupBy("__q").agg(F.max("__c").alias("__rest"), F.max("__least").alias("__least"))
-    part = postings.join(few(ranked.where(~F.col("__spared"))), "term").groupBy("__q", "__k").agg(F.sum("w").alias("s")).join(rest, "__q", "left")
-    # of what is left only rows that can still reach the bound are looked up for the common terms
-    kept = part.where(F.col("s") + F.coalesce("__rest", F.lit(0)) >= F.coalesce("__least", F.lit(0))).select("__q", "__k", "s")
-    if not spared.isEmpty():
-        kept = cut(kept)
-        more = kept.select("__q", "__k").join(spared.select("__q", "term", "w"), "__q").join(postings, ["term", "__k"]).groupBy("__q", "__k").agg(F.sum("w").alias("m"))
-        kept = kept.join(more, ["__q", "__k"], "left").withColumn("s", F.col("s") + F.coalesce("m", F.lit(0))).drop("m")
-    score = kept.withColumnRenamed("s", "score")
-    return _nearest(score, query_key, key, limit)
-
-
-def _nearest(score: DataFrame, query_key: str, key: str, limit: int) -> DataFrame:
-    order = Window.partitionBy("__q").orderBy(F.col("score").desc(), F.col("__k").desc())
-    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("__q").alias(query_key), F.col("__k").alias(key), "score", "rank")
+    if "terms" not in index.columns:
+        index = index.groupBy(key).agg(F.collect_list("term").alias("terms"))
+    packs = overlap.packed(index, key)
+    asked = overlap.packed(term_lists(queries, query_key, text), query_key)
+    score = overlap.nearest(asked, packs, limit, first_postings, direct_pairs)
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("k").desc())
+    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")
 
 
 # What is replaced in a patch and by what, in this order.

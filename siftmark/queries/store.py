@@ -172,7 +172,7 @@ def token_terms(spark: SparkSession, sf: str) -> DataFrame:
 def term_overlap_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
     asked = docs.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "asked")
-    return H.similar_by_terms(asked, cut(H.term_index(docs, "doc_id", "text")), "asked", "doc_id", "text")
+    return H.similar_by_terms(asked, H.term_lists(docs, "doc_id", "text"), "asked", "doc_id", "text")
 
 
 def redaction(spark: SparkSession, sf: str) -> DataFrame:

@@ -123,6 +123,56 @@ def test_similar_rows_are_exact_whatever_is_left_out(spark):
         assert {tuple(r) for r in got.collect()} == want
 
 
+def test_search_by_terms_keeps_less_than_the_texts(spark, tmp_path):
+    import random
+    from pathlib import Path
+
+    from siftmark.queries import store
+    from siftmark.runtime import checkpoint_folder
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("bcdfghjklmnp", k=5)) for _ in range(400)]
+    rows = [(i, " ".join(rnd.choices(words, k=60))) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = lambda: sum(f.stat().st_size for f in Path(checkpoint_folder(spark).removeprefix("file:")).rglob("part-*"))
+    before = kept()
+    got = store.term_overlap_similarity(spark, str(tmp_path))
+    assert kept() - before < sum(len(t) for _, t in rows)
+    best = {r.asked: r.doc_id for r in got.where("rank = 1").collect()}
+    assert best[100] == 100 and all(a == d for a, d in best.items())
+
+
+def test_shards_and_blocks_give_what_one_gives(spark, monkeypatch):
+    import random
+
+    from siftmark.operators import overlap
+
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("bcdfghjklmnp", k=rnd.randint(3, 15))) for _ in range(300)]
+    # frequent and rare words, texts of any length, equal texts, and two rows of one key
+    rows = [(i, " ".join(words[int(300 * rnd.random() ** 3)] for _ in range(rnd.choice((0, 2, 20, 90))))) for i in range(500)]
+    rows += [(i + 500, t) for i, t in rows[:40]] + [(7, "only here"), (990, None)]
+    held: dict[int, set] = {}
+    for i, t in rows:
+        if t is not None:
+            held.setdefault(i, set()).update(t.split())
+    want = set()
+    for q in [q for q in held if q % 5 == 0 or q == 7]:
+        scores = sorted(((sum(min(12, len(w)) for w in held[q] & held[d]), d) for d in held if held[q] & held[d]), reverse=True)[:5]
+        want |= {(q, d, s, n) for n, (s, d) in enumerate(scores, 1)}
+    docs = spark.createDataFrame(rows, "doc int, text string").repartition(7)
+    asked = docs.where("doc % 5 = 0 or doc = 7").withColumnRenamed("doc", "asked")
+    for shard, block in (((65_536, 10**7), 16_384), ((100, 10**7), 30), ((65_536, 4000), 10)):
+        monkeypatch.setattr(overlap, "SHARD", shard)
+        monkeypatch.setattr(overlap, "BLOCK", block)
+        for index in (H.term_lists(docs, "doc", "text"), H.term_index(docs, "doc", "text")):
+            got = H.similar_by_terms(asked, index, "asked", "doc", "text", first_postings=10, direct_pairs=0)
+            assert {tuple(r) for r in got.collect()} == want
+    nothing = docs.limit(0)
+    assert H.similar_by_terms(asked, H.term_lists(nothing, "doc", "text"), "asked", "doc", "text").count() == 0
+    assert H.similar_by_terms(nothing.withColumnRenamed("doc", "asked"), H.term_lists(docs, "doc", "text"), "asked", "doc", "text").count() == 0
+
+
 def test_measures(spark):
     ranked = spark.createDataFrame([("c", 1, "a"), ("c", 2, "a"), ("c", 3, "b"), ("d", 1, "z")], "case string, rank int, item string")
     wanted = spark.createDataFrame([("c", "b"), ("c", "q"), ("d", None), ("e", "a")], "case string, item string")
