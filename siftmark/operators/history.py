@@ -86,8 +86,8 @@ def term_lists(rows: DataFrame, key: str, text: str) -> DataFrame:
     return lists.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
-def similar_by_terms(queries: DataFrame, index: DataFrame, query_key: str, key: str, text: str, limit: int = 5, *, first_postings: int = 20_000, direct_pairs: int = 20_000_000) -> DataFrame:
-    """(query_key, key, score, rank): the nearest rows of each query by common terms, ties by the greater key.
+def similar_by_terms(queries: DataFrame | None, index: DataFrame, query_key: str, key: str, text: str, limit: int = 5, *, first_postings: int = 20_000, direct_pairs: int = 20_000_000) -> DataFrame:
+    """(query_key, key, score, rank): the nearest rows of each query by common terms, ties by the greater key; without ``queries`` of each row of the index.
 
     ``index`` has ``term_index`` postings or ``term_lists`` rows; all of it is searched, in shards of
     some 65,000 rows. In each of them the rarest terms of a query, ``first_postings`` postings
@@ -98,7 +98,7 @@ def similar_by_terms(queries: DataFrame, index: DataFrame, query_key: str, key:
     if "terms" not in index.columns:
         index = index.groupBy(key).agg(F.collect_list("term").alias("terms"))
     packs = overlap.packed(index, key)
-    asked = overlap.packed(term_lists(queries, query_key, text), query_key)
+    asked = packs if queries is None else overlap.packed(term_lists(queries, query_key, text), query_key)
     score = overlap.nearest(asked, packs, limit, first_postings, direct_pairs)
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("k").desc())
     return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")

@@ -170,9 +170,7 @@ def token_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_overlap_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
-    asked = docs.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "asked")
-    return H.similar_by_terms(asked, H.term_lists(docs, "doc_id", "text"), "asked", "doc_id", "text")
+    return H.similar_by_terms(None, H.term_lists(table(spark, sf, "documents"), "doc_id", "text"), "asked", "doc_id", "text")
 
 
 def redaction(spark: SparkSession, sf: str) -> DataFrame:
@@ -549,7 +547,7 @@ s AS (SELECT ticket, latest_date, (CASE WHEN ticket = 'OPS-203' THEN 1000 ELSE 0
 SELECT ticket, score FROM s WHERE score > 0 ORDER BY score DESC, latest_date DESC NULLS LAST, ticket DESC LIMIT 5""",
     "token_terms": f"SELECT request_id, array_to_string({_terms('objective')}, ' ') AS terms FROM requests",
     "term_overlap_similarity": f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_terms("text")}) AS term FROM documents WHERE text IS NOT NULL),
-s AS (SELECT a.doc_id AS asked, b.doc_id, sum(least(12, length(a.term)))::BIGINT AS score FROM t a JOIN t b USING (term) WHERE a.doc_id % 100 = 0 GROUP BY ALL)
+s AS (SELECT a.doc_id AS asked, b.doc_id, sum(least(12, length(a.term)))::BIGINT AS score FROM t a JOIN t b USING (term) GROUP BY ALL)
 SELECT asked, doc_id, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id DESC) <= 5""",
     "redaction": f"WITH {CORPUS} SELECT blob, md5({_redact('content')}) AS digest FROM stored",
     "chunk_lines": f"WITH {_CHUNKS} SELECT * FROM c",

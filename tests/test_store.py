@@ -142,6 +142,16 @@ def test_search_by_terms_keeps_less_than_the_texts(spark, tmp_path):
     assert best[100] == 100 and all(a == d for a, d in best.items())
 
 
+def test_every_document_asks(spark, tmp_path):
+    from siftmark.queries import store
+
+    rows = [(1, "ledger harbor"), (2, "Harbor ledger voucher"), (100, "voucher"), (103, "the"), (104, None), (250, "unmatched")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = store.term_overlap_similarity(spark, str(tmp_path)).orderBy("asked", "rank")
+    assert got.columns == ["asked", "doc_id", "score", "rank"]
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 12, 1), (1, 1, 12, 2), (2, 2, 19, 1), (2, 1, 12, 2), (2, 100, 7, 3), (100, 100, 7, 1), (100, 2, 7, 2), (250, 250, 9, 1)]
+
+
 def test_shards_and_blocks_give_what_one_gives(spark, monkeypatch):
     import random
 
